@@ -8,22 +8,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The accepted spellings. Spaces may surround a number, not a date.
-INT_TEXT = r"^ *[+-]?[0-9]+ *\z"
-DECIMAL_TEXT = r"^ *[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+) *\z"
-TIMESTAMP_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?)?\z"
+# The first group is what gets converted.
+INT_TEXT = r"^ *([+-]?[0-9]+) *\z"
+DECIMAL_TEXT = r"^ *([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)) *\z"
+TIMESTAMP_TEXT = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}(?: [0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.][0-9]+)?)?)\z"
+
+
+def _matched(text: Column, pattern: str) -> Column:
+    # One reference to the text: checking and converting it in two expressions would
+    # make Catalyst repeat whatever computes the text. No match gives '', which no
+    # type accepts.
+    return F.regexp_extract(text, pattern, 1)
 
 
 def to_int(text: Column) -> Column:
-    return F.when(text.rlike(INT_TEXT), F.trim(text).try_cast("int"))
+    return _matched(text, INT_TEXT).try_cast("int")
 
 
 def to_money(text: Column) -> Column:
-    return F.when(text.rlike(DECIMAL_TEXT), F.trim(text).try_cast("decimal(12,2)"))
+    return _matched(text, DECIMAL_TEXT).try_cast("decimal(12,2)")
 
 
 def to_timestamp(text: Column) -> Column:
     """Zone-less timestamp; a blank is NULL because it does not match."""
-    return F.when(text.rlike(TIMESTAMP_TEXT), text.try_cast("timestamp_ntz"))
+    return _matched(text, TIMESTAMP_TEXT).try_cast("timestamp_ntz")
 
 
 def folded(text: Column) -> Column:

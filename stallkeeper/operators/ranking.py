@@ -24,38 +24,44 @@ def in_global_order(df: DataFrame, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).withColumn("_pos", F.monotonically_increasing_id())
 
 
-def _partition() -> Column:
-    return F.shiftright("_pos", _PARTITION_SHIFT)
-
-
-def with_rank(positioned: DataFrame, running: dict[str, str] | None = None) -> DataFrame:
-    """Adds `rn` = 1..N, and a running sum for each {result: summed column}."""
-    running = running or {}
-    df = positioned.withColumn("_part", _partition())
+def with_rank(positioned: DataFrame, running: str | None = None) -> DataFrame:
+    """Adds `rn` = 1..N and `n` = N; for a `running` column also its running and total sum."""
+    df = positioned.withColumn("_part", F.shiftright("_pos", _PARTITION_SHIFT))
     totals = df.groupBy("_part").agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.sum(column).alias(f"_sum_{result}") for result, column in running.items()],
+        *([F.sum(running).alias("_sum")] if running else []),
     )
     # One row per sort partition, so a single task is enough and broadcasting is safe:
     # there are never more of them than spark.sql.shuffle.partitions.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    all_parts = Window.partitionBy()
     offsets = totals.select(
         "_part",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
-        *[F.sum(f"_sum_{result}").over(before).alias(f"_before_{result}") for result in running],
+        F.sum("_rows").over(all_parts).alias("n"),
+        *(
+            [
+                F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_sum_before"),
+                F.sum("_sum").over(all_parts).alias(f"total_{running}"),
+            ]
+            if running
+            else []
+        ),
     )
+    row_in_partition = F.col("_pos").bitwiseAND(F.lit(_ROW_MASK)) + F.lit(1)
     ranked = df.join(F.broadcast(offsets), "_part").withColumn(
-        "rn", F.col("_pos").bitwiseAND(F.lit(_ROW_MASK)) + F.lit(1) + F.col("_rows_before")
-    )
-    inside = (
-        Window.partitionBy("_part")
-        .orderBy("_pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        "rn", row_in_partition + F.col("_rows_before")
     )
-    for result, column in running.items():
-        before_it = F.coalesce(F.col(f"_before_{result}"), F.lit(0))
-        ranked = ranked.withColumn(result, F.sum(column).over(inside) + before_it)
-    return ranked.drop("_part", "_pos", "_rows_before", *[f"_before_{r}" for r in running])
+    if running:
+        inside = (
+            Window.partitionBy("_part")
+            .orderBy("_pos")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        ranked = ranked.withColumn(
+            f"running_{running}", F.sum(running).over(inside) + F.col("_sum_before")
+        )
+    return ranked.drop("_part", "_pos", "_rows_before", "_sum_before")
 
 
 def bucket_end(bucket: int, buckets: int, rows: Column) -> Column:

@@ -112,16 +112,13 @@ def a4_rfm_scores(
     bucket is needed: a person's score is 1 + the number of those keys below its own,
     so persons are scored where they are, without a shuffle.
     """
-    everyone = customers.agg(F.count(F.lit(1)).alias("n")).scalar()
     last_purchase = fact_orders.agg(F.max("purchase_ts").cast("date").alias("d")).scalar()
-    ends = [bucket_end(b, buckets, F.col("n")) for b in range(1, buckets)]
+    people = (F.col("n") / 3).cast("bigint")  # each person is ranked once per dimension
+    ends = [bucket_end(b, buckets, people) for b in range(1, buckets)]
     key = F.struct("value_missing", "value", "customer_unique_id")
-    # Each dimension has n rows, so its ranks start after those of the earlier ones.
-    border_rows = (
-        ranked.withColumn("n", everyone)
-        .withColumn("rank", F.col("rn") - F.col("dimension") * F.col("n"))
-        .where(F.col("rank").isin(ends))
-    )
+    border_rows = ranked.withColumn(
+        "rank", F.col("rn") - F.col("dimension") * people
+    ).where(F.col("rank").isin(ends))
     borders = border_rows.agg(
         F.struct(
             *[
@@ -192,15 +189,13 @@ PARETO_CUTS = (Decimal("0.01"), Decimal("0.05"), Decimal("0.10"), Decimal("0.20"
 
 def a5_seller_curve(ranked: DataFrame) -> DataFrame:
     """Every seller with rank and running revenue, biggest first."""
-    total = ranked.agg(F.sum("revenue").cast(MONEY).alias("t")).scalar()
-    sellers = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
     return ranked.select(
         "seller_id",
         "revenue",
-        F.col("running_rev").cast(MONEY).alias("running_rev"),
-        total.alias("total_rev"),
+        F.col("running_revenue").cast(MONEY).alias("running_rev"),
+        F.col("total_revenue").cast(MONEY).alias("total_rev"),
         "rn",
-        sellers.alias("total_sellers"),
+        F.col("n").alias("total_sellers"),
     )
 
 
@@ -209,36 +204,34 @@ def a5_pareto(ranked: DataFrame, cuts: Sequence[Decimal] = PARETO_CUTS) -> DataF
 
     The running sum is needed at the cuts only, so one aggregate computes it there.
     """
-    sellers = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
-    at = [F.ceil(F.col("total_sellers") * F.lit(cut)) for cut in cuts]
-    read = ranked.withColumn("total_sellers", sellers).agg(
-        F.max("total_sellers").alias("total_sellers"),
-        F.sum("revenue").alias("total_rev"),
-        *[
-            F.sum(F.when(F.col("rn") <= rank, F.col("revenue"))).alias(f"top_{i}")
-            for i, rank in enumerate(at)
-        ],
-    )
+
+    def rank_at(cut: Decimal) -> Column:
+        # A decimal share: a double can land just above a whole number and round up.
+        return F.ceil(F.col("n") * F.lit(cut)).cast("bigint")
+
+    held = [
+        F.sum(F.when(F.col("rn") <= rank_at(cut), F.col("revenue"))).alias(f"top_{i}")
+        for i, cut in enumerate(cuts)
+    ]
+    totals = ranked.agg(F.max("n").alias("n"), F.sum("revenue").alias("revenue"), *held)
     points = F.array(
         *[
-            F.struct(rank.cast("bigint").alias("sellers"), F.col(f"top_{i}").alias("running_rev"))
-            for i, rank in enumerate(at)
+            F.struct(rank_at(cut).alias("sellers"), F.col(f"top_{i}").alias("running_rev"))
+            for i, cut in enumerate(cuts)
         ]
     )
     # Cuts that fall on the same seller are one row.
     return (
-        read.select("total_sellers", "total_rev", F.inline(F.array_distinct(points)))
+        totals.select("n", "revenue", F.inline(F.array_distinct(points)))
         .where(F.col("sellers") > 0)
         .select(
-            percent(F.col("sellers"), F.col("total_sellers"), "decimal(5,1)").alias(
-                "top_pct_of_sellers"
-            ),
+            percent(F.col("sellers"), F.col("n"), "decimal(5,1)").alias("top_pct_of_sellers"),
             "sellers",
-            percent(F.col("running_rev"), F.col("total_rev"), "decimal(5,1)").alias(
+            percent(F.col("running_rev"), F.col("revenue"), "decimal(5,1)").alias(
                 "cumulative_pct_of_revenue"
             ),
         )
-        .orderBy("top_pct_of_sellers")
+        .orderBy("top_pct_of_sellers", "sellers")
     )
 
 

@@ -1,5 +1,6 @@
 """The pipeline: staging, star, reporting view and rollups, each table written once."""
 
+import threading
 from collections.abc import Iterator, Mapping
 from functools import cached_property
 
@@ -11,7 +12,7 @@ from stallkeeper.operators.ranking import in_global_order, with_rank
 from stallkeeper.plans import advanced, mart
 from stallkeeper.sources import files, testdata
 from stallkeeper.sources.schemas import STAGING, STAR
-from stallkeeper.sources.store import TableStore, fingerprint, shared_folder
+from stallkeeper.sources.store import TableStore, delete_at_exit, fingerprint, shared_folder
 
 
 class Warehouse(Mapping[str, DataFrame]):
@@ -103,20 +104,26 @@ class Warehouse(Mapping[str, DataFrame]):
         return with_rank(self["rfm_positions"])
 
     def sellers_ranked(self, running: bool = False) -> DataFrame:
-        return with_rank(
-            self["seller_positions"], {"running_rev": "revenue"} if running else None
-        )
+        return with_rank(self["seller_positions"], "revenue" if running else None)
 
 
 _by_source: dict[tuple[str, str], Warehouse] = {}
+_lock = threading.Lock()
 
 
 def testdata_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """Warehouse over the bound test tables, shared by all queries of this application."""
+    """Warehouse over the bound test tables, shared by all queries of this application.
+
+    The tables are found again by the state of the source files, not by their path
+    alone, and are gone when the application ends.
+    """
     application = spark.sparkContext.applicationId
     source = fingerprint(spark, testdata.base_paths(sf_dir))
     key = (application, source)
-    if key not in _by_source:
-        folder = f"{shared_folder(spark)}/stallkeeper/{application}/{source}"
-        _by_source[key] = Warehouse(testdata.bind(spark, sf_dir), TableStore(spark, folder))
-    return _by_source[key]
+    with _lock:
+        if key not in _by_source:
+            own = f"{shared_folder(spark)}/stallkeeper-{application}"
+            delete_at_exit(spark, own)
+            store = TableStore(spark, f"{own}/{source}")
+            _by_source[key] = Warehouse(testdata.bind(spark, sf_dir), store)
+        return _by_source[key]

@@ -27,8 +27,7 @@ class TableStore:
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         with self._lock:
             if not self._complete(name):
-                build().write.mode("overwrite").parquet(self.path(name))
-                self._tables.pop(name, None)
+                return self.replace(name, build())
             if name not in self._tables:
                 self._tables[name] = self.spark.read.parquet(self.path(name))
             return self._tables[name]
@@ -44,7 +43,7 @@ class TableStore:
         """Empty and reload: the way to re-run a load on new input."""
         with self._lock:
             df.write.mode("overwrite").parquet(self.path(name))
-            self._tables[name] = self.spark.read.parquet(self.path(name))
+            self._tables[name] = self.spark.read.schema(df.schema).parquet(self.path(name))
             return self._tables[name]
 
     def _complete(self, name: str) -> bool:
@@ -77,6 +76,13 @@ def fingerprint(spark: SparkSession, paths: Iterable[str]) -> str:
     return digest.hexdigest()[:20]
 
 
+def delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """For tables that only serve this application."""
+    location, fs = _file_system(spark, folder)
+    fs.mkdirs(location)
+    fs.deleteOnExit(location)
+
+
 def _file_system(spark: SparkSession, path: str):
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location, location.getFileSystem(spark._jsc.hadoopConfiguration())
