@@ -91,13 +91,9 @@ def test_reports_on_hot_keys(shuffled_joins, hot):
 
 def test_references_are_counted_before_they_meet_parents(spark):
     w = warehouse_of(spark, f"{TESTDATA}/sf0.001")
-    check = quality.check_foreign_keys(w.staging, w)
-    assert {r.column_name: r.orphans for r in check.where("stage = 'raw'").collect()} == {
-        "customer_id": 8, "product_id": 65, "order_id": 0, "seller_id": 0,
-    }
     # The side of each anti join that has the references is an aggregate: one row per
     # key, so very many rows pointing at one missing parent do not make a hot task.
-    plan = executed(check).splitlines()
+    plan = executed(quality.check_foreign_keys(w.staging, w)).splitlines()
     for at, line in enumerate(plan):
         if "LeftAnti" in line:
             below = next(x for x in plan[at + 1 :] if re.search(r"Aggregate|FileScan|Window", x))
