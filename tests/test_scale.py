@@ -89,7 +89,7 @@ def test_reports_on_hot_keys(shuffled_joins, hot):
     assert advanced.a3_top_seller_per_category(view).first().seller_id == "s0"
 
 
-def test_references_are_counted_before_they_meet_parents(spark):
+def test_references_are_counted_before_they_meet_parents(spark, shuffled_joins):
     w = warehouse_of(spark, f"{TESTDATA}/sf0.001")
     # The side of each anti join that has the references is an aggregate: one row per
     # key, so very many rows pointing at one missing parent do not make a hot task.
