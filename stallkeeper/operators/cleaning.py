@@ -9,6 +9,10 @@ from stallkeeper.functions.casts import blank, folded, to_int, to_money, to_time
 from stallkeeper.functions.measures import days_between
 from stallkeeper.operators.dedup import in_order, keep_first
 
+ORDER_COLUMNS = (
+    "order_id", "customer_id", "order_status", "purchase_ts", "approved_ts", "delivered_ts",
+    "estimated_ts", "delivery_days",
+)
 ITEM_COLUMNS = (
     "order_id", "item_seq", "product_id", "seller_id", "price", "freight_value", "item_total",
 )
@@ -68,8 +72,8 @@ def dim_products(stg: DataFrame, stg_category: DataFrame, default: str = "unknow
     )
 
 
-def fact_orders(stg: DataFrame, customers: DataFrame) -> DataFrame:
-    """One row per order whose customer exists."""
+def order_headers(stg: DataFrame) -> DataFrame:
+    """Typed orders, one per order_id, customer not yet checked."""
     typed = stg.where(F.col("order_id").isNotNull()).select(
         "order_id",
         "customer_id",
@@ -87,15 +91,15 @@ def fact_orders(stg: DataFrame, customers: DataFrame) -> DataFrame:
             "estimated_ts",
         ),
     )
-    return first.join(customers, "customer_id", "left_semi").select(
-        "order_id",
-        "customer_id",
-        "order_status",
-        "purchase_ts",
-        "approved_ts",
-        "delivered_ts",
-        "estimated_ts",
-        days_between(F.col("purchase_ts"), F.col("delivered_ts")).alias("delivery_days"),
+    return first.withColumn(
+        "delivery_days", days_between(F.col("purchase_ts"), F.col("delivered_ts"))
+    )
+
+
+def fact_orders(stg: DataFrame, customers: DataFrame) -> DataFrame:
+    """Orders whose customer exists."""
+    return (
+        order_headers(stg).join(customers, "customer_id", "left_semi").select(*ORDER_COLUMNS)
     )
 
 

@@ -254,15 +254,10 @@ def a6_cohorts(customers: DataFrame) -> DataFrame:
     )
 
 
-def a7_delivery_sla(
-    fact_orders: DataFrame, customers: DataFrame, min_orders: int = 50
-) -> DataFrame:
+def a7_delivery_sla(placed: DataFrame, min_orders: int = 50) -> DataFrame:
+    """Delivery per customer state, from orders with their customer."""
     return (
-        arrived(fact_orders)
-        .join(
-            customers.select("customer_id", F.col("state").alias("customer_state")),
-            "customer_id",
-        )
+        arrived(placed)
         .groupBy("customer_state")
         .agg(*delivery_measures("pct_late"))
         .where(F.col("delivered_orders") >= min_orders)

@@ -63,7 +63,7 @@ _ON_WAREHOUSE: dict[str, Callable[[Warehouse], DataFrame]] = {
     "dim_customers": lambda w: w["dim_customers"],
     "dim_products": lambda w: w["dim_products"],
     "dim_sellers": lambda w: w["dim_sellers"],
-    "fact_orders": lambda w: w["fact_orders"],
+    "fact_orders": lambda w: cleaning.fact_orders(w.staging["stg_orders"], w["dim_customers"]),
     "fact_order_items": _fact_order_items,
     "fact_payments": lambda w: w["fact_payments"],
     "sales_lines": lambda w: w["sales_lines"],
@@ -88,9 +88,7 @@ _ON_WAREHOUSE: dict[str, Callable[[Warehouse], DataFrame]] = {
     "a5_pareto": lambda w: advanced.a5_pareto(w.sellers_ranked()),
     "a5_seller_curve": lambda w: advanced.a5_seller_curve(w.sellers_ranked(running=True)),
     "a6_cohorts": lambda w: advanced.a6_cohorts(w["customer_totals"]),
-    "a7_delivery_sla": lambda w: advanced.a7_delivery_sla(
-        w["fact_orders"], w["dim_customers"]
-    ),
+    "a7_delivery_sla": lambda w: advanced.a7_delivery_sla(w["placed_orders"]),
 }
 
 

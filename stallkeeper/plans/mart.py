@@ -12,26 +12,34 @@ SALES_COLUMNS = (
 )
 
 
+def placed_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Orders with the person, city and state behind them.
+
+    customer_id is unique, so the inner join also drops orders without a customer:
+    `orders` may be the checked fact or the headers before the referential check.
+    """
+    return orders.join(
+        customers.select(
+            "customer_id",
+            "customer_unique_id",
+            F.col("state").alias("customer_state"),
+            F.col("city").alias("customer_city"),
+        ),
+        "customer_id",
+    )
+
+
 def sales_lines(
-    lines: DataFrame,
-    orders: DataFrame,
-    customers: DataFrame,
-    products: DataFrame,
-    sellers: DataFrame,
+    lines: DataFrame, placed: DataFrame, products: DataFrame, sellers: DataFrame
 ) -> DataFrame:
     """One row per sold line with order, customer, product and seller attributes.
 
-    The inner joins are on unique keys, so they also drop lines without parents:
-    `lines` may be the checked fact or the lines before the referential check.
-    Orders meet customers first, which keeps that join at order size.
+    As in `placed_orders`, `lines` may come before or after the referential check.
     """
-    buyers = orders.join(customers, "customer_id").withColumnsRenamed(
-        {"state": "customer_state", "city": "customer_city"}
-    )
     return (
         lines.join(products, "product_id")
         .join(sellers, "seller_id")
-        .join(buyers, "order_id")
+        .join(placed, "order_id")
         .select(*SALES_COLUMNS)
     )
 

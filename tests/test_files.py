@@ -98,7 +98,7 @@ def test_warehouse_from_files(spark, tmp_path, raw):
     ]
     assert rows(w.rejects["stg_order_payments"]) == [("bad row",)]
     assert w["fact_payments"].count() == 1
-    assert set(w) >= {"dim_customers", "fact_order_items", "sales_lines", "order_totals"}
+    assert set(w) >= {"dim_customers", "fact_order_items", "fact_orders", "sales_lines", "order_totals"}
     assert len(w) == len(set(w))
 
 

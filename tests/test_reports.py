@@ -122,9 +122,10 @@ def test_q9(spark):
 
 def test_a7_ignores_small_states(spark):
     customers = spark.createDataFrame([("a", "SP"), ("b", "RJ")], "customer_id string, state string")
-    fact = orders(spark, *DELIVERIES)
-    assert rows(advanced.a7_delivery_sla(fact, customers)) == []
-    assert rows(advanced.a7_delivery_sla(fact, customers, min_orders=1)) == [
+    customers = customers.selectExpr("*", "'u' AS customer_unique_id", "'x' AS city")
+    placed = mart.placed_orders(orders(spark, *DELIVERIES), customers)
+    assert rows(advanced.a7_delivery_sla(placed)) == []
+    assert rows(advanced.a7_delivery_sla(placed, min_orders=1)) == [
         ("SP", 1, D("2.0"), D("100.00")), ("RJ", 1, D("1.0"), D("0.00")),
     ]
 
