@@ -32,7 +32,7 @@ def with_rank(positioned: DataFrame, running: str | None = None) -> DataFrame:
         *([F.sum(running).alias("_sum")] if running else []),
     )
     # One row per sort partition, so a single task is enough and broadcasting is safe:
-    # there are never more of them than spark.sql.shuffle.partitions.
+    # there are never more of them than shuffle partitions, a setting.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     all_parts = Window.partitionBy()
     offsets = totals.select(

@@ -1,4 +1,4 @@
-"""Every query by name, over the bound test tables."""
+"""Every query by name: over a warehouse, and over the bound test tables."""
 
 from collections.abc import Callable
 
@@ -53,7 +53,7 @@ def _rfm_scores(w: Warehouse) -> DataFrame:
     return advanced.a4_rfm_scores(w["customer_totals"], w.rfm_ranked(), w["fact_orders"])
 
 
-_ON_WAREHOUSE: dict[str, Callable[[Warehouse], DataFrame]] = {
+REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "staging_counts": lambda w: quality.staging_counts(w.staging),
     "dq_profile": lambda w: quality.dq_profile(w.staging),
     "reconcile_counts": lambda w: quality.reconcile_counts(w.staging, w),
@@ -110,7 +110,7 @@ def _preview_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {
-        **{name: _bound(plan) for name, plan in _ON_WAREHOUSE.items()},
+        **{name: _bound(plan) for name, plan in REPORTS.items()},
         "load_accepted": _load_accepted,
         "load_rejects": _load_rejects,
         "preview_customers": _preview_customers,

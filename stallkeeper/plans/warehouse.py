@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from stallkeeper.operators import cleaning
 from stallkeeper.operators.ranking import in_global_order, with_rank
 from stallkeeper.plans import advanced, mart
+from stallkeeper.session import size_for_input
 from stallkeeper.sources import files, testdata
 from stallkeeper.sources.schemas import STAGING, STAR
-from stallkeeper.sources.store import TableStore, delete_at_exit, fingerprint, shared_folder
-
+from stallkeeper.sources.store import TableStore, delete_at_exit, shared_folder, source_state
 
 # The two biggest facts are written together with the parents' columns: the joins that
 # fetch those also do the referential check, so orders and lines cross the network
@@ -40,6 +40,7 @@ class Warehouse(Mapping[str, DataFrame]):
         cls, spark: SparkSession, paths: Mapping[str, str], folder: str, comma: bool = False
     ) -> "Warehouse":
         """Loads raw files into `folder`, replacing what an earlier load left there."""
+        size_for_input(spark, source_state(spark, paths.values())[1])
         store = TableStore(spark, folder)
         loaded = {
             name: store.replace(f"loaded_{name}", df)
@@ -62,6 +63,11 @@ class Warehouse(Mapping[str, DataFrame]):
     def __len__(self) -> int:
         return len(list(iter(self)))
 
+    @property
+    def stored(self) -> list[str]:
+        """Tables that are written, parents before children."""
+        return list(self._builders)
+
     def rebuild(self) -> None:
         """Writes every table again, parents before children."""
         for name, build in self._builders.items():
@@ -125,10 +131,11 @@ def testdata_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     alone, and are gone when the application ends.
     """
     application = spark.sparkContext.applicationId
-    source = fingerprint(spark, testdata.base_paths(sf_dir))
+    source, size = source_state(spark, testdata.base_paths(sf_dir))
     key = (application, source)
     with _lock:
         if key not in _by_source:
+            size_for_input(spark, size)
             own = f"{shared_folder(spark)}/stallkeeper-{application}"
             delete_at_exit(spark, own)
             store = TableStore(spark, f"{own}/{source}")

@@ -1,11 +1,20 @@
-"""Session for local runs. On a cluster, use the session the cluster gives."""
+"""Session settings."""
 
 import os
 
 from pyspark.sql import SparkSession
 
+SHUFFLE_BYTES_PER_PARTITION = 256 << 20
+# Beyond this the bookkeeping of map x reduce blocks costs more than the spills it saves.
+MAX_SHUFFLE_PARTITIONS = 30_000
+MAX_SCAN_TASKS = 200_000
+
+_INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_SCAN_TASKS = "spark.sql.files.maxPartitionNum"
+
 
 def local_session(cores: int | str = 8, memory: str = "16g") -> SparkSession:
+    """For tests and the bench. On a cluster, use the session the cluster gives."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("stallkeeper")
@@ -16,3 +25,18 @@ def local_session(cores: int | str = 8, memory: str = "16g") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def size_for_input(spark: SparkSession, input_bytes: int) -> None:
+    """Enough shuffle partitions for the input, where the session does not say.
+
+    Adaptive execution merges small partitions at run time but splits only skewed joins,
+    so it has to start with many: the default of 200 would mean half a terabyte each on
+    100 TB. Never lowers a setting.
+    """
+    wanted = min(input_bytes // SHUFFLE_BYTES_PER_PARTITION, MAX_SHUFFLE_PARTITIONS)
+    current = int(spark.conf.get(_INITIAL_PARTITIONS, None) or 0)
+    if wanted > max(current, int(spark.conf.get("spark.sql.shuffle.partitions"))):
+        spark.conf.set(_INITIAL_PARTITIONS, str(wanted))
+    if not spark.conf.get(_SCAN_TASKS, None):
+        spark.conf.set(_SCAN_TASKS, str(MAX_SCAN_TASKS))

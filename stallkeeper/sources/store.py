@@ -63,17 +63,19 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir")
 
 
-def fingerprint(spark: SparkSession, paths: Iterable[str]) -> str:
-    """Changes when the files under the paths change, so stale tables are not reused."""
+def source_state(spark: SparkSession, paths: Iterable[str]) -> tuple[str, int]:
+    """A text that changes when the files under the paths change, and their total bytes."""
     digest = hashlib.sha256()
+    total = 0
     for path in paths:
         location, fs = _file_system(spark, path)
         summary = fs.getContentSummary(location)
+        total += summary.getLength()
         digest.update(
             f"{path}|{summary.getLength()}|{summary.getFileCount()}|"
             f"{fs.getFileStatus(location).getModificationTime()}\n".encode()
         )
-    return digest.hexdigest()[:20]
+    return digest.hexdigest()[:20], total
 
 
 def delete_at_exit(spark: SparkSession, folder: str) -> None:

@@ -3,10 +3,11 @@ from decimal import Decimal
 import pytest
 from frames import rows
 
+from stallkeeper.plans.catalog import REPORTS
 from stallkeeper.plans.warehouse import Warehouse
 from stallkeeper.sources import files
 from stallkeeper.sources.schemas import STAGING
-from stallkeeper.sources.store import TableStore, fingerprint
+from stallkeeper.sources.store import TableStore, source_state
 
 SELLERS = STAGING["stg_sellers"]
 
@@ -102,6 +103,21 @@ def test_warehouse_from_files(spark, tmp_path, raw):
     assert len(w) == len(set(w))
 
 
+def test_reports_on_a_warehouse_from_files(spark, tmp_path, raw):
+    w = Warehouse.from_files(spark, raw, str(tmp_path / "warehouse"))
+    assert rows(REPORTS["q1_kpis"](w)) == [
+        (2, 1, 2, Decimal("15.00"), Decimal("1.00"), Decimal("7.50")),
+    ]
+    assert dict(rows(REPORTS["dq_profile"](w))) == {
+        "customer_id rows vs real people (unique_id)": "2 rows / 1 people",
+        "products with missing category": "0",
+        "orders marked delivered but no delivery date": "1",
+        "order_items with non-numeric/negative price": "0",
+        "duplicate order_item keys (order_id,item_id)": "0",
+    }
+    assert rows(REPORTS["a4_rfm_segments"](w), "segment", "customers") == [("Others", 1)]
+
+
 def test_views_can_be_queried_with_sql(spark, tmp_path, raw):
     Warehouse.from_files(spark, raw, str(tmp_path / "warehouse")).register_views()
     assert spark.sql(
@@ -131,10 +147,11 @@ def test_interrupted_write_is_done_again(spark, tmp_path):
     assert store.table("t", lambda: pytest.fail("built twice")).count() == 7
 
 
-def test_fingerprint_follows_the_files(spark, tmp_path):
+def test_source_state_follows_the_files(spark, tmp_path):
     path = tmp_path / "data.txt"
     path.write_text("one")
-    before = fingerprint(spark, [str(path)])
-    assert fingerprint(spark, [str(path)]) == before
+    before = source_state(spark, [str(path)])
+    assert before[1] == 3
+    assert source_state(spark, [str(path)]) == before
     path.write_text("other")
-    assert fingerprint(spark, [str(path)]) != before
+    assert source_state(spark, [str(path)])[0] != before[0]

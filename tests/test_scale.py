@@ -10,6 +10,7 @@ from stallkeeper.operators import quality
 from stallkeeper.plans import advanced, business, mart
 from stallkeeper.plans.catalog import all_queries
 from stallkeeper.plans.warehouse import testdata_warehouse as warehouse_of
+from stallkeeper.session import size_for_input
 
 LINES = 60_000
 
@@ -118,6 +119,21 @@ def test_plans_have_no_python_and_no_cross_joins(spark, name):
         assert bad not in plan
 
 
+def test_shuffle_partitions_grow_with_the_input(spark):
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        size_for_input(spark, 100 << 20)
+        assert spark.conf.get(initial, None) is None
+        size_for_input(spark, 1 << 40)
+        assert spark.conf.get(initial) == "4096"
+        size_for_input(spark, 100 << 40)
+        assert spark.conf.get(initial) == "30000"
+        size_for_input(spark, 1 << 40)  # never lowered
+        assert spark.conf.get(initial) == "30000"
+    finally:
+        spark.conf.unset(initial)
+
+
 def test_reports_read_only_their_columns_and_push_the_status_down(spark):
     plan = executed(all_queries()["q3_category_share"](spark, f"{TESTDATA}/sf0.001"))
     assert "EqualTo(order_status,delivered)" in plan
