@@ -13,14 +13,16 @@ PERCENT = "decimal(5,2)"
 _OPERAND = "decimal(20,2)"
 
 
+def _divided(part: Column, whole: Column) -> Column:
+    return part / F.nullif(whole.cast(_OPERAND), F.lit(Decimal("0.00")))
+
+
 def ratio(part: Column, whole: Column, as_type: str = MONEY) -> Column:
-    divisor = F.nullif(whole.cast(_OPERAND), F.lit(Decimal("0.00")))
-    return (part.cast(_OPERAND) / divisor).cast(as_type)
+    return _divided(part.cast(_OPERAND), whole).cast(as_type)
 
 
 def percent(part: Column, whole: Column, as_type: str = PERCENT) -> Column:
-    divisor = F.nullif(whole.cast(_OPERAND), F.lit(Decimal("0.00")))
-    return (F.lit(Decimal("100.0")) * part.cast(_OPERAND) / divisor).cast(as_type)
+    return _divided(F.lit(Decimal("100.0")) * part.cast(_OPERAND), whole).cast(as_type)
 
 
 def count_where(condition: Column) -> Column:

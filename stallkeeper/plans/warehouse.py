@@ -30,10 +30,15 @@ class Warehouse(Mapping[str, DataFrame]):
     Asking for a table builds what it depends on, in dependency order.
     """
 
-    def __init__(self, staging: Mapping[str, DataFrame], store: TableStore):
+    def __init__(
+        self,
+        staging: Mapping[str, DataFrame],
+        store: TableStore,
+        rejects: Mapping[str, DataFrame] | None = None,
+    ):
         self.staging = staging
         self.store = store
-        self.rejects: dict[str, DataFrame] = {}
+        self.rejects = rejects or {}
 
     @classmethod
     def from_files(
@@ -42,15 +47,23 @@ class Warehouse(Mapping[str, DataFrame]):
         """Loads raw files into `folder`, replacing what an earlier load left there."""
         size_for_input(spark, source_state(spark, paths.values())[1])
         store = TableStore(spark, folder)
-        loaded = {
-            name: store.replace(f"loaded_{name}", df)
-            for name, df in files.read_all(spark, paths, comma).items()
-        }
-        warehouse = cls({name: files.accepted(df) for name, df in loaded.items()}, store)
-        warehouse.rejects = {name: files.rejected(df) for name, df in loaded.items()}
+        for name, df in files.read_all(spark, paths, comma).items():
+            store.replace(f"loaded_{name}", df)
+        warehouse = cls.open(spark, folder)
         warehouse.rebuild()
         return warehouse
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> "Warehouse":
+        """A warehouse loaded earlier."""
+        store = TableStore(spark, folder)
+        loaded = {name: store.existing(f"loaded_{name}") for name in STAGING}
+        return cls(
+            {name: files.accepted(df) for name, df in loaded.items()},
+            store,
+            {name: files.rejected(df) for name, df in loaded.items()},
+        )
+
     def __getitem__(self, name: str) -> DataFrame:
         if name in _PROJECTIONS:
             source, columns = _PROJECTIONS[name]

@@ -28,9 +28,13 @@ class TableStore:
         with self._lock:
             if not self._complete(name):
                 return self.replace(name, build())
-            if name not in self._tables:
-                self._tables[name] = self.spark.read.parquet(self.path(name))
-            return self._tables[name]
+            return self._read(name)
+
+    def existing(self, name: str) -> DataFrame:
+        with self._lock:
+            if not self._complete(name):
+                raise FileNotFoundError(self.path(name))
+            return self._read(name)
 
     def text(self, name: str, build: Callable[[], DataFrame]) -> str:
         """Path of a folder of text lines, written from a one-column frame."""
@@ -46,6 +50,11 @@ class TableStore:
             self._tables[name] = self.spark.read.schema(df.schema).parquet(self.path(name))
             return self._tables[name]
 
+    def _read(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(self.path(name))
+        return self._tables[name]
+
     def _complete(self, name: str) -> bool:
         # An interrupted write leaves no marker and is done again.
         marker, fs = _file_system(self.spark, f"{self.path(name)}/_SUCCESS")
@@ -54,7 +63,9 @@ class TableStore:
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = (
+        spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    )
     if configured:
         return configured
     if spark.sparkContext.master.startswith("local"):

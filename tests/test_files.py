@@ -1,4 +1,5 @@
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pytest
 from frames import rows
@@ -7,7 +8,7 @@ from stallkeeper.plans.catalog import REPORTS
 from stallkeeper.plans.warehouse import Warehouse
 from stallkeeper.sources import files
 from stallkeeper.sources.schemas import STAGING
-from stallkeeper.sources.store import TableStore, source_state
+from stallkeeper.sources.store import TableStore, shared_folder, source_state
 
 SELLERS = STAGING["stg_sellers"]
 
@@ -139,6 +140,32 @@ def test_loading_again_replaces_everything(spark, tmp_path, raw):
     assert changed["sales_lines"].count() == 3
 
 
+def test_a_loaded_warehouse_can_be_opened_later(spark, tmp_path, raw):
+    folder = str(tmp_path / "warehouse")
+    with pytest.raises(FileNotFoundError):
+        Warehouse.open(spark, folder)
+    loaded = Warehouse.from_files(spark, raw, folder)
+    opened = Warehouse.open(spark, folder)
+    assert opened["sales_lines"].collect() == loaded["sales_lines"].collect()
+    assert rows(opened.rejects["stg_order_payments"]) == [("bad row",)]
+
+
+def session_with(settings, master, checkpoint_dir=None):
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: checkpoint_dir)
+    conf = SimpleNamespace(get=lambda key, default=None: settings.get(key, default))
+    return SimpleNamespace(conf=conf, sparkContext=context)
+
+
+def test_shared_folder_is_the_one_the_cluster_names():
+    named = {"spark.checkpoint.dir": "/shared", "spark.sql.warehouse.dir": "/tables"}
+    unnamed = {"spark.sql.warehouse.dir": "/tables"}
+    assert shared_folder(session_with(named, "local[2]")) == "/shared"
+    assert shared_folder(session_with(named, "yarn")) == "/shared"
+    assert shared_folder(session_with(unnamed, "yarn", "/set/later")) == "/set/later"
+    assert shared_folder(session_with(unnamed, "yarn")) == "/tables"
+    assert "stallkeeper-" in shared_folder(session_with(unnamed, "local[2]"))
+
+
 def test_interrupted_write_is_done_again(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "store"))
     store.table("t", lambda: spark.range(5))
