@@ -34,9 +34,8 @@ def _reloaded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(number % 43 == 0, files.tab_joined([*fields, F.lit("extra")]))
         .otherwise(files.tab_joined(fields))
     )
-    path = w.store.text(
-        "exported_orders", lambda: w.staging["stg_orders"].select(line.alias("value"))
-    )
+    lines = w.staging["stg_orders"].select(line.alias("value"))
+    path = w.store.export("exported_orders", lambda to: lines.write.mode("overwrite").text(to))
     return w.store.table(
         "loaded_exported_orders",
         lambda: files.read_tab_separated(spark, path, STAGING["stg_orders"], header=False),
@@ -104,6 +103,21 @@ def _load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.rejected(_reloaded_orders(spark, sf_dir))
 
 
+def _load_comma_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staging customers written as quoted text with a header, and loaded again."""
+    w = testdata_warehouse(spark, sf_dir)
+    customers = w.staging["stg_customers"]
+    path = w.store.export(
+        "exported_customers", lambda to: files.write_comma_separated(customers, to)
+    )
+    return files.accepted(
+        w.store.table(
+            "loaded_exported_customers",
+            lambda: files.read_comma_separated(spark, path, STAGING["stg_customers"]),
+        )
+    )
+
+
 def _preview_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.preview(testdata_warehouse(spark, sf_dir).staging["stg_customers"], 5)
 
@@ -113,5 +127,6 @@ def all_queries() -> dict[str, Query]:
         **{name: _bound(plan) for name, plan in REPORTS.items()},
         "load_accepted": _load_accepted,
         "load_rejects": _load_rejects,
+        "load_comma_separated": _load_comma_separated,
         "preview_customers": _preview_customers,
     }

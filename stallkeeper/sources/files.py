@@ -72,6 +72,19 @@ def rejected(loaded: DataFrame) -> DataFrame:
     return loaded.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
 
 
+def write_comma_separated(df: DataFrame, path: str) -> None:
+    """The form `read_comma_separated` reads, blanks around values kept."""
+    (
+        df.write.mode("overwrite")
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("emptyValue", "")
+        .csv(path)
+    )
+
+
 def tab_joined(columns: list[Column]) -> Column:
     """One text line per row; NULL is written as an empty field."""
     return F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in columns])

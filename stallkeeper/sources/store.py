@@ -36,11 +36,11 @@ class TableStore:
                 raise FileNotFoundError(self.path(name))
             return self._read(name)
 
-    def text(self, name: str, build: Callable[[], DataFrame]) -> str:
-        """Path of a folder of text lines, written from a one-column frame."""
+    def export(self, name: str, write: Callable[[str], None]) -> str:
+        """Path of files in another format, written once by the given writer."""
         with self._lock:
             if not self._complete(name):
-                build().write.mode("overwrite").text(self.path(name))
+                write(self.path(name))
             return self.path(name)
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:

@@ -66,6 +66,14 @@ def test_comma_separated_with_quotes(spark, tmp_path):
     assert rows(files.rejected(loaded)) == [("short,row",)]
 
 
+def test_comma_separated_round_trip(spark, tmp_path):
+    values = [("s1", "01", ' a, "b" ', "c\td"), ("s,2", None, "\\", "é")]
+    df = spark.createDataFrame(values, SELLERS)
+    files.write_comma_separated(df.coalesce(1), str(tmp_path / "out"))
+    read = files.read_comma_separated(spark, str(tmp_path / "out"), SELLERS)
+    assert rows(files.accepted(read)) == values
+
+
 FILES = {
     "stg_customers": "c1\tu1\t1\tRio\trj\nc2\tu1\t1\tRio\trj\n",
     "stg_orders": (

@@ -1,3 +1,4 @@
+from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
@@ -69,12 +70,12 @@ def people(spark, *rows):
     )
 
 
-def rfm(spark, customers, folder, buckets=4):
+def rfm(spark, customers, folder, buckets=4, as_of=None):
     store = TableStore(spark, str(folder))
     order = [F.asc_nulls_first(c) for c in advanced.RFM_ORDER]
     positions = store.table("p", lambda: in_global_order(advanced.rfm_values(customers), order))
     all_orders = customers.select(F.col("last_purchase_ts").alias("purchase_ts"))
-    return advanced.a4_rfm_scores(customers, with_rank(positions), all_orders, buckets)
+    return advanced.a4_rfm_scores(customers, with_rank(positions), all_orders, buckets, as_of)
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 4, 6, 103])
@@ -105,6 +106,22 @@ def test_rfm_scores_same_as_ntile(spark, tmp_path, size, buckets):
     assert by_person(got) == by_person(expected)
 
 
+def test_recency_counts_to_the_last_purchase_or_the_given_day(spark, tmp_path):
+    customers = people(
+        spark,
+        ("a", 1, Decimal("1.00"), datetime(2017, 1, 1, 23, 0)),
+        ("b", 1, Decimal("1.00"), datetime(2017, 1, 31, 1, 0)),
+        ("c", 1, Decimal("1.00"), None),
+    )
+
+    def recency(**options):
+        scores = rfm(spark, customers, tmp_path, **options).collect()
+        return {row.customer_unique_id: row.recency_days for row in scores}
+
+    assert recency() == {"a": 30, "b": 0, "c": None}
+    assert recency(as_of=date(2017, 2, 1)) == {"a": 31, "b": 1, "c": None}
+
+
 def test_rfm_of_nobody(spark, tmp_path):
     assert rfm(spark, people(spark), tmp_path).collect() == []
 
