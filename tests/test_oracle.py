@@ -5,10 +5,12 @@ import pytest
 from conftest import TESTDATA
 
 import __spark_entry__ as contract
+from stallkeeper.oracle import all_sql
+from stallkeeper.plans.catalog import all_queries
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = all_queries()
+SQL = all_sql()
 
 
 @pytest.fixture(scope="module", params=["sf0.001", "sf0.01"])
