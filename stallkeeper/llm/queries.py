@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.llm import bpe
+from stallkeeper.llm import bpe, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,8 +33,22 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard_by_bytes(_documents(spark, sf_dir).select("doc_id", "text"), 24)
+    return sharded.select(
+        "doc_id",
+        F.col("shard_size").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("shard_slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_sharding": op2_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
