@@ -8,6 +8,7 @@ by one Aho-Corasick pass over the bytes, each written as the character of the sa
 """
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # Bounds for each Python worker; what does not fit is worked out again.
-MAX_PAIRS = 1_000_000
-MAX_CACHED = 200_000
+MAX_PAIRS = 250_000
+MAX_CACHED = 80_000
 NONE = -1
 
 
@@ -129,9 +130,6 @@ class Vocabulary:
                 token, last = shorter[token], ids[-1] if ids else NONE
         return ids
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 class _Recent(dict):
     """What `make` gives, kept for at least the last `MAX_CACHED` different keys."""
@@ -178,15 +176,29 @@ class Encoder:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
 
-@lru_cache(maxsize=2)
-def _vocabulary(content: bytes) -> Vocabulary:
+class Decoder:
+    """Ids, as the encoder gives them, to the bytes of their tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self._token = {rank: token for token, rank in ranks.items()}.__getitem__
+
+    def __call__(self, ids: bytes) -> bytes:
+        return b"".join(map(self._token, array("I", ids)))
+
+
+def read_ranks(content: bytes) -> dict[bytes, int]:
     lines = (line.split() for line in content.splitlines() if line.strip())
-    return Vocabulary({base64.b64decode(token): int(rank) for token, rank in lines})
+    return {base64.b64decode(token): int(rank) for token, rank in lines}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(content: bytes, pattern: str) -> Encoder:
-    return Encoder(_vocabulary(content), pattern)
+    return Encoder(Vocabulary(read_ranks(content)), pattern)
+
+
+@lru_cache(maxsize=1)
+def _decoder(content: bytes) -> Decoder:
+    return Decoder(read_ranks(content))
 
 
 class ByteBpe:
@@ -207,12 +219,9 @@ class ByteBpe:
 
         @F.pandas_udf("binary")
         def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            vocabulary = _vocabulary(content.value)
+            decoder = _decoder(content.value)
             for batch in ids:
-                yield pd.Series(
-                    [vocabulary.decode(memoryview(x or b"").cast("I")) for x in batch],
-                    dtype=object,
-                )
+                yield pd.Series([decoder(x or b"") for x in batch], dtype=object)
 
         self._encode, self._decode = encode, decode
 
