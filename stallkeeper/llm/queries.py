@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.llm import bpe, line_dedup, sharding, simhash, toxicity
+from stallkeeper.llm import bpe, language_id, line_dedup, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,15 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = language_id.fit(docs.where("NOT held_out").select("text", "lang"))
+    return language_id.identify(docs.drop("lang"), model).select(
+        "doc_id", "held_out", "lang_pred", "score", "rejected"
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir), shingle_words=3, max_bits=2)
 
@@ -70,6 +79,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_sharding": op2_sharding,
+    "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
