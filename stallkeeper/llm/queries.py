@@ -6,7 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.llm import bpe, language_id, line_dedup, sharding, simhash, toxicity
+from stallkeeper.llm import (
+    bpe,
+    language_id,
+    line_dedup,
+    sharding,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +67,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir), shingle_words=3, max_bits=2)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.shared_passages(_documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -81,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
 }
