@@ -10,6 +10,7 @@ from stallkeeper.llm import (
     bpe,
     language_id,
     line_dedup,
+    quality,
     sharding,
     simhash,
     substring_dedup,
@@ -67,6 +68,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir), shingle_words=3, max_bits=2)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir), ["doc_id"])
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.shared_passages(_documents(spark, sf_dir))
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
