@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallkeeper.llm.scratch import let, written
+from stallkeeper.llm.words import BLANKS, parts, sequence_hashes
 
 # Base rules, fixed.
 LEAST_WORDS = 20
@@ -24,26 +25,6 @@ TWO_SIDED = ("word_length",)
 LEAST_GROUP = 100
 SKETCH_K = 200
 
-_BLANK = "[\\x20\\x09-\\x0D]"
-
-
-def _pairs(values: Column, apart: int) -> Column:
-    """Hash of each two values that stand `apart` places from each other."""
-    return let(
-        values,
-        lambda v: F.zip_with(
-            F.slice(v, 1, F.greatest(F.size(v) - apart, F.lit(0))),
-            F.slice(v, apart + 1, F.greatest(F.size(v) - apart, F.lit(0))),
-            lambda a, b: F.xxhash64(a, b),
-        ),
-    )
-
-
-def _windows(words: Column) -> Column:
-    """A 64-bit hash of every window of eight words, in order."""
-    hashes = F.transform(words, lambda word: F.xxhash64(word))
-    return _pairs(_pairs(_pairs(hashes, 1), 2), 4)
-
 
 def _covered(starts: Column) -> Column:
     """Words in windows that begin at these places, ascending."""
@@ -78,7 +59,7 @@ def _repeated_starts(windows: Column) -> Column:
 
 def _repeat_words(words: Column) -> Column:
     return let(
-        _windows(words),
+        sequence_hashes(words, WINDOW_WORDS),
         lambda w: F.when(F.size(w) == F.size(F.array_distinct(w)), F.lit(0)).otherwise(
             _covered(_repeated_starts(w))
         ),
@@ -93,9 +74,8 @@ def _dup_lines(text: Column) -> Column:
 def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep`, `lang`, `source`, and the counts of the base rules for each row."""
     text = F.coalesce("text", F.lit(""))
-    words = F.filter(F.split(text, f"{_BLANK}+", -1), lambda word: word != "")
     by_words = let(
-        words,
+        parts(text, BLANKS),
         lambda w: F.struct(
             F.size(w).cast("bigint").alias("n_words"),
             F.aggregate(w, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x)).alias(

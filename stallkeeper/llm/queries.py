@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from stallkeeper.llm import (
     bpe,
+    decontaminate,
     language_id,
+    licences,
     line_dedup,
     quality,
     sharding,
@@ -76,6 +78,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.shared_passages(_documents(spark, sf_dir))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.labelled(licences.scan(_documents(spark, sf_dir), ["doc_id"]), ["doc_id"])
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -93,6 +99,20 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = decontaminate.report(
+        _documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), ["doc_id"]
+    )
+    return report.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_sharding": op2_sharding,
@@ -100,8 +120,10 @@ QUERIES: dict[str, Query] = {
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_licences": op7_licences,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
