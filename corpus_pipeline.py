@@ -1,12 +1,44 @@
-"""From raw documents to tokens in five stages, each written and read again."""
+"""From raw documents to tokens in five stages, each written and read again.
+
+All stages but the last return the columns of documents. `n_chars` follows the text where a stage
+changes it.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.llm import bpe
+from stallkeeper.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from stallkeeper.llm.queries import vocabulary_path
 from stallkeeper.llm.scratch import written
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, learned from the labelled ones among them, does not reject."""
+    docs = docs.select(*COLUMNS)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("NOT toxic").select(*COLUMNS)
+
+
+def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each without the lines of which another one keeps the copy."""
+    docs = docs.select(*COLUMNS)
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", n_chars.cast("bigint")).select(*COLUMNS)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one(docs.select(*COLUMNS), shingle_words=3, max_bits=2)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.clean(docs.select(*COLUMNS), items)
+
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, with digests of them and of what they decode to."""
@@ -21,10 +53,15 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_shared_lines),
+    ("simhash", without_near_duplicates),
+    ("decontamination", without_benchmarks),
     ("byte_bpe", tokens),
 ]
 
-# Models, similarity links and BPE are beyond SQL; tests/llm holds each stage against brute force.
+# A fitted model, links between fingerprints and BPE are beyond SQL; tests/llm holds each stage
+# against brute force.
 ORACLE_SQL = None
 
 
