@@ -134,22 +134,19 @@ def thresholds(measured: DataFrame) -> DataFrame:
     of_group = written(of_group, "sketches")
     merged = [F.kll_merge_agg_double(n, F.lit(SKETCH_K)).alias(f"wide_{n}") for n in names]
     of_lang = of_group.groupBy(F.col("_lang").alias("_l")).agg(F.sum("_n").alias("_m"), *merged)
+    # One row of one small sketch for each measure.
     of_all = of_group.agg(
-        *[F.kll_merge_agg_double(n, F.lit(SKETCH_K)).alias(f"all_{n}") for n in names]
-    )
+        *[F.kll_merge_agg_double(n, F.lit(SKETCH_K)).alias(n) for n in names]
+    ).first()
     chosen = [
         F.when(F.col("_n") >= LEAST_GROUP, F.col(n))
         .when(F.col("_m") >= LEAST_GROUP, F.col(f"wide_{n}"))
-        .otherwise(F.col(f"all_{n}"))
+        .otherwise(F.lit(of_all[n]).cast("binary"))
         .alias(n)
         for n in names
     ]
-    # `of_all` is one row.
-    picked = (
-        of_group.join(of_lang, F.col("_lang").eqNullSafe(F.col("_l")))
-        .join(F.broadcast(of_all))
-        .select("_lang", "_source", *chosen)
-    )
+    same_language = F.col("_lang").eqNullSafe(F.col("_l"))
+    picked = of_group.join(of_lang, same_language).select("_lang", "_source", *chosen)
     return picked.select("_lang", "_source", *[f for n in names for f in _fences(F.col(n), n)])
 
 

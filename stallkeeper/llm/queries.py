@@ -15,6 +15,7 @@ from stallkeeper.llm import (
     quality,
     sharding,
     simhash,
+    sql,
     substring_dedup,
     toxicity,
 )
@@ -126,4 +127,7 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": sql.LINE_DEDUP,
+    "op10_decontamination": sql.DECONTAMINATION,
+}

@@ -1,0 +1,227 @@
+"""Quality rules, licence scans and decontamination against brute force."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from samples import documents, lowered, odd_rows, same, sentence, with_clashes
+
+from stallkeeper.llm import decontaminate, licences, quality
+from stallkeeper.llm.queries import op5_quality, op7_licences, op10_decontamination
+
+
+def blank_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+
+
+def python_nodes(df) -> list[str]:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"\w*(?:Python|Pandas|InArrow)\w*", plan)
+
+
+def base(doc_id, text):
+    found = blank_words(text)
+    windows = [tuple(found[i : i + 8]) for i in range(len(found) - 7)]
+    counts = Counter(windows)
+    covered = {j for i, w in enumerate(windows) if counts[w] > 1 for j in range(i, i + 8)}
+    lines = [line for line in (text or "").split("\n") if blank_words(line)]
+    return (
+        doc_id,
+        len(found),
+        sum(map(len, found)),
+        len(re.findall(r"[#*$%&|<>]", text or "")),
+        len(lines) - len(set(lines)),
+        len(covered),
+        len(found) < 20 or 100 * len(covered) > 30 * len(found),
+    )
+
+
+def repeating(count):
+    r = random.Random(6)
+    for i in range(count):
+        parts = [sentence(r, r.randrange(1, 12)) for _ in range(5)]
+        lines = [r.choice(parts) for _ in range(r.randrange(1, 12))]
+        yield (2000 + i, r.choice("\n ").join(lines) + r.choice(["", " #|", "<>"]), "en", "s", 0)
+
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def test_base_rules(spark, tmp_path):
+    rows = odd_rows() + list(repeating(300))
+    with_clashes(documents(spark, rows)).write.parquet(f"{tmp_path}/documents.parquet")
+    judged = op5_quality(spark, str(tmp_path))
+    assert python_nodes(judged) == []
+    got = judged.collect()
+    assert same(tuple(r[c] for c in ["doc_id", *COUNTS]) for r in got) == same(
+        base(i, t) for i, t, *_ in rows
+    )
+    assert not any(r.kept for r in got if r.base_failed)
+    assert all((r.reason is None) == r.kept for r in got)
+
+
+def test_thresholds_follow_language_and_source(spark):
+    """Long words are ordinary in one source and far out in another; small groups, nulls among
+    them, go by their language."""
+    r = random.Random(8)
+
+    def text(letters):
+        return " ".join("x" * r.randrange(letters - 1, letters + 2) + str(i) for i in range(60))
+
+    rows = [(i, text(5), "en", "short", 0) for i in range(150)]
+    rows += [(200 + i, text(20), "en", "long", 0) for i in range(150)]
+    rows += [(400, text(20), "en", "short", 0), (401, text(5), "en", "long", 0)]
+    rows += [(402, text(90), "en", "rare", 0), (403, text(5), None, None, 0)]
+    got = {r.doc_id: r for r in quality.judge(documents(spark, rows), ["doc_id"]).collect()}
+    dropped = {i for i, row in got.items() if not row.kept}
+    assert dropped == {400, 401, 402}
+    assert got[402].reason == "word_length"
+
+
+def test_quality_of_an_empty_table(spark):
+    assert quality.judge(documents(spark, []), ["doc_id"]).collect() == []
+    few = quality.judge(documents(spark, [(1, None, None, None, None)]), ["doc_id"]).collect()
+    assert [(r.kept, r.reason) for r in few] == [(False, "base")]
+
+
+def licence_rows():
+    r = random.Random(9)
+    notices = [
+        "Released under the MIT License.",
+        "licensed under the APACHE license, Version 2.0",
+        "CC BY-NC 4.0",
+        "cc by nc cc by nc",
+        "This work is licensed under the GNU General Public License, version 3.",
+        "under the\n\nMIT\tlicense",
+        "under the mit-license",
+        "under the Kmit license",
+        "underthe mit license",
+        "apache license version 3",
+        "Mozilla Public License, v. 2.0",
+        "ünder the mit license under the mit license",
+        "under the Kmit license",
+    ]
+    for i, notice in enumerate(notices * 3):
+        yield (3000 + i, f"{sentence(r, i)} {notice} {sentence(r, i % 4)}", "en", "s", 0)
+    yield (4000, "mit license apache cc version " * 2000 + notices[0], "en", "s", 0)
+
+
+def base_places(text):
+    found = words(text)
+    places = defaultdict(list)
+    for label, phrase in licences.BASE.items():
+        sought = phrase.split()
+        for i in range(len(found)):
+            if found[i : i + len(sought)] == sought:
+                places[label].append(i)
+    starts = sorted(s for v in places.values() for s in v)
+    first, last = (starts[0], starts[-1]) if starts else (None, None)
+    return len(found), len(starts), first, last, ",".join(sorted(places))
+
+
+def test_licences(spark, tmp_path):
+    rows = odd_rows() + list(licence_rows())
+    with_clashes(documents(spark, rows)).write.parquet(f"{tmp_path}/documents.parquet")
+    scanned = op7_licences(spark, str(tmp_path))
+    assert python_nodes(scanned) == []
+    got = scanned.collect()
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    assert same(tuple(r[c] for c in columns) for r in got) == same(
+        (i, *base_places(t)) for i, t, *_ in rows
+    )
+    for row in got:
+        assert set(row.base_labels.split(",")) <= set(row.labels.split(",")) | {""}
+        assert 0 <= row.score <= 1
+        assert (row.score > 0) == bool(row.labels)
+    labels = {r.labels for r in got}
+    assert {"mit", "apache-2", "cc-by-nc", "gpl-3", "mpl-2", ""} <= labels
+
+
+def test_whole_notices_score_higher(spark):
+    rows = [
+        (1, "Licensed under the Apache License, Version 2.0", "en", "s", 0),
+        (2, "see apache license version 2", "en", "s", 0),
+    ]
+    scanned = licences.labelled(licences.scan(documents(spark, rows), ["doc_id"]), ["doc_id"])
+    score = {r.doc_id: r.score for r in scanned.collect()}
+    assert score[1] == pytest.approx(1.0)
+    assert 0 < score[2] < 0.9
+
+
+def test_licences_of_an_empty_table(spark):
+    assert licences.scan(documents(spark, []), ["doc_id"]).collect() == []
+
+
+ITEM_SCHEMA = "item_id bigint, text string, found string"
+
+
+def items(spark):
+    r = random.Random(10)
+    long = [sentence(r, n) for n in (30, 14, 11, 10, 9, 5, 4)]
+    rows = [(i, text, "x") for i, text in enumerate(long)]
+    rows += [(20, "One word-pair", None), (21, "solitary", None), (22, None, None), (23, " .", None)]
+    rows += [(24, long[0], None), (None, long[1], None), (5, long[2] + " more", None)]
+    return rows
+
+
+def leaking(rows):
+    r = random.Random(11)
+    texts = [text for _, text, _ in rows if text]
+    for i in range(150):
+        found = r.choice(texts).split()
+        cut = found[r.randrange(3) : len(found) - r.randrange(3)]
+        noise = sentence(r, r.randrange(12))
+        yield (5000 + i, f"{noise} {', '.join(cut).upper()}! {sentence(r, 5)}", "en", "s", 0)
+
+
+def brute_leaks(rows, bench):
+    owners = defaultdict(set)
+    for item_id, text, _ in bench:
+        found = words(text)
+        for i in range(max(len(found) - 10, 0) + 1 if found else 0):
+            owners[tuple(found[i : i + 10])].add(item_id)
+    for doc_id, text, *_ in rows:
+        found = words(text)
+        hit, named = set(), set()
+        for size in {len(w) for w in owners}:
+            for i in range(len(found) - size + 1):
+                window = tuple(found[i : i + size])
+                if window in owners:
+                    hit.update(range(i, i + size))
+                    named |= owners[window]
+        ids = sorted(str(i) for i in named if i is not None)
+        digest = hashlib.sha256(",".join(ids).encode()).hexdigest()
+        yield doc_id, len(found), len(hit), len(ids), digest, bool(hit)
+
+
+@pytest.mark.parametrize("most_broadcast", [200_000, 0])
+def test_decontamination(spark, tmp_path, monkeypatch, most_broadcast):
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most_broadcast)
+    bench = items(spark)
+    rows = odd_rows() + list(leaking(bench))
+    docs = with_clashes(documents(spark, rows))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, ITEM_SCHEMA).write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = op10_decontamination(spark, str(tmp_path))
+    assert python_nodes(found) == []
+    want = list(brute_leaks(rows, bench))
+    assert same(found.collect()) == same(want)
+    assert 50 < sum(row[-1] for row in want) < len(want)
+    cleaned = decontaminate.clean(docs, spark.createDataFrame(bench, ITEM_SCHEMA))
+    assert cleaned.columns == docs.columns
+    assert same(cleaned.select("doc_id").collect()) == same((w[0],) for w in want if not w[-1])
+
+
+def test_empty_documents_or_benchmark(spark):
+    bench = spark.createDataFrame(items(spark), ITEM_SCHEMA)
+    none = bench.where("false")
+    assert decontaminate.report(documents(spark, []), bench, ["doc_id"]).collect() == []
+    got = decontaminate.report(documents(spark), none, ["doc_id"]).collect()
+    assert len(got) == len(odd_rows())
+    assert not any(row.contaminated for row in got)

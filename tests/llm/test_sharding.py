@@ -1,0 +1,76 @@
+"""Shards of near equal bytes: the law, slots, hot groups, odd tables."""
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from samples import documents, odd_rows, sentence, with_clashes
+
+from stallkeeper.llm import sharding
+from stallkeeper.llm.queries import op2_sharding
+
+
+def check_law(rows, shards, tolerance):
+    sizes, slots = defaultdict(int), defaultdict(list)
+    for row in rows:
+        sizes[row.shard] += row.size
+        slots[row.shard].append(row.slot)
+    assert set(sizes) <= set(range(shards))
+    for got in slots.values():
+        assert sorted(got) == list(range(len(got)))
+    mean = sum(sizes.values()) / shards
+    largest = max((row.size for row in rows), default=0)
+    for shard in range(shards):
+        assert abs(sizes[shard] - mean) <= tolerance * mean + largest
+
+
+def query(spark, folder, docs):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return op2_sharding(spark, str(folder)).collect()
+
+
+def test_odd_rows(spark, tmp_path):
+    got = query(spark, tmp_path, with_clashes(documents(spark)))
+    assert len(got) == len(odd_rows())
+    check_law(got, 24, 0.01)
+    raw = [(i, (t or "").encode()) for i, t, *_ in odd_rows()]
+    want = sorted(repr((i, len(b) + 8, zlib.crc32(b), "bytes", None)) for i, b in raw)
+    assert want == sorted(
+        repr((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard)) for r in got
+    )
+
+
+def test_a_third_of_equal_rows_divides(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LEAST_INTERVAL_ROWS", 50)
+    r = np.random.default_rng(1)
+    import random
+
+    rows = [(i, sentence(random.Random(i), int(r.integers(1, 30))), "en", "s", 0) for i in range(4000)]
+    rows += [(7, "the same row again", "en", "s", 0)] * 2000
+    got = sharding.shard_by_bytes(documents(spark, rows), 24).withColumnsRenamed(
+        {"shard_size": "size", "shard_slot": "slot"}
+    )
+    got = got.select("size", "shard", "slot", "text", "doc_id").collect()
+    check_law(got, 24, 0.02)
+    assert len(got) == 6000
+    # Equal texts lie in adjoining shards.
+    homes = sorted({row.shard for row in got if row.doc_id == 7 and row.text.startswith("the same")})
+    assert homes == list(range(homes[0], homes[-1] + 1))
+
+
+def test_intervals_are_counted_exactly(spark):
+    sharded = sharding.shard_by_bytes(documents(spark), 3)
+    assert sharded.columns[-3:] == ["shard_size", "shard", "shard_slot"]
+    assert sharded.count() == len(odd_rows())
+
+
+def test_replaces_columns_of_its_names(spark):
+    docs = documents(spark).selectExpr("*", "'x' AS shard")
+    assert dict(sharding.shard_by_bytes(docs, 3).dtypes)["shard"] == "int"
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "only", "en", "s", 1)]])
+def test_fewer_rows_than_shards(spark, rows):
+    got = sharding.shard_by_bytes(documents(spark, rows), 24).collect()
+    assert [row.shard_slot for row in got] == [0] * len(rows)
