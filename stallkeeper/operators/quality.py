@@ -18,8 +18,9 @@ def _union_all(parts: Iterable[DataFrame]) -> DataFrame:
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
-    """Any n rows, for a first look."""
-    return df.limit(n)
+    """The first n rows in the order of all columns, for a first look: any n would do, and these
+    are the same ones every time, without a full sort."""
+    return df.orderBy(*df.columns).limit(n)
 
 
 def staging_counts(staging: Tables) -> DataFrame:
@@ -135,36 +136,40 @@ def check_primary_keys(staging: Tables, star: Tables) -> DataFrame:
 
 
 def check_foreign_keys(staging: Tables, star: Tables) -> DataFrame:
-    """Rows whose parent is missing. A NULL reference is not an orphan."""
-
-    def orphans(child: DataFrame, parent: DataFrame, column: str) -> DataFrame:
-        # Counted per key before the join, so one missing parent that very many
-        # rows point at is a single row in the shuffle.
-        references = (
-            child.where(F.col(column).isNotNull())
-            .groupBy(column)
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        return references.join(parent, column, "left_anti").agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("orphans")
-        )
-
-    def edge(stage: str, child: str, parent: str, column: str, tables: Tables) -> DataFrame:
-        return orphans(tables[child], tables[parent], column).select(
-            F.lit(stage).alias("stage"),
-            F.lit(child).alias("child"),
-            F.lit(parent).alias("parent"),
-            F.lit(column).alias("column_name"),
-            "orphans",
-        )
-
-    return _union_all(
-        part
-        for fk in FOREIGN_KEYS
-        for part in (
-            edge("raw", RULES[fk.child].staging, RULES[fk.parent].staging, fk.column, staging),
-            edge("clean", fk.child, fk.parent, fk.column, star),
-        )
+    """Rows whose parent is missing. A NULL reference is not an orphan.
+
+    Each child is read once for all of its references. They are counted per key before the one
+    join, so a missing parent that very many rows point at is a single row in the shuffle.
+    """
+    edges = []
+    for fk in FOREIGN_KEYS:
+        raw = RULES[fk.child].staging, RULES[fk.parent].staging
+        edges += [("raw", *raw, fk.column), ("clean", fk.child, fk.parent, fk.column)]
+    numbered = list(enumerate(edges))
+    tables = {"raw": staging, "clean": star}
+
+    def pair(edge: int, column: str) -> Column:
+        return F.struct(F.lit(edge).alias("edge"), F.col(column).alias("key"))
+
+    def references(stage: str, child: str) -> DataFrame:
+        own = [pair(n, e[3]) for n, e in numbered if e[:2] == (stage, child)]
+        return tables[stage][child].select(F.inline(F.array(*own))).where("key IS NOT NULL")
+
+    children = dict.fromkeys(e[:2] for e in edges)
+    counted = _union_all(references(*child) for child in children)
+    counted = counted.groupBy("edge", "key").agg(F.count(F.lit(1)).alias("n"))
+    parents = _union_all(
+        tables[stage][parent].select(F.lit(n).alias("edge"), F.col(column).alias("key"))
+        for n, (stage, _, parent, column) in numbered
+    )
+    orphans = counted.join(parents, ["edge", "key"], "left_anti").select("edge", "n")
+    found = orphans.groupBy("edge").agg(F.sum("n").alias("n"))
+    names = found.sparkSession.createDataFrame(
+        [(n, *e) for n, e in numbered],
+        "edge int, stage string, child string, parent string, column_name string",
+    )
+    return names.join(found, "edge", "left").select(
+        "stage", "child", "parent", "column_name", F.coalesce("n", F.lit(0)).alias("orphans")
     )
 
 

@@ -1,20 +1,19 @@
 """Business questions Q1-Q9.
 
 Ties in an ordering are broken by the group's own key, so results are repeatable.
-Windows without partition keys appear only over rows already grouped by category,
-status, payment type or month: dictionaries, not data.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stallkeeper.functions.measures import (
     MONEY, PERCENT, count_where, days_between, month_label, percent, ratio,
 )
 
-def _total(column: str) -> Column:
-    return F.sum(column).over(Window.partitionBy())
+def _total(grouped: DataFrame, column: str) -> Column:
+    """Sum over all groups, as a subquery: however many groups there are, none has to be in one
+    task with all others."""
+    return grouped.agg(F.sum(column)).scalar()
 
 
 def _delivered(sales: DataFrame, status: str) -> DataFrame:
@@ -54,7 +53,7 @@ def q3_category_share(sales: DataFrame, status: str = "delivered") -> DataFrame:
             F.sum("price").cast(MONEY).alias("revenue_brl"),
         )
     )
-    total = _total("revenue_brl")
+    total = _total(per_category, "revenue_brl")
     return per_category.withColumn(
         "pct_of_revenue", percent(F.col("revenue_brl"), total)
     ).orderBy(F.desc("revenue_brl"), "category")
@@ -85,7 +84,7 @@ def q4b_top_categories(sales: DataFrame, status: str = "delivered", n: int = 10)
 
 def q5a_status_mix(fact_orders: DataFrame) -> DataFrame:
     counted = fact_orders.groupBy("order_status").agg(F.count(F.lit(1)).alias("orders"))
-    total = _total("orders")
+    total = _total(counted, "orders")
     return counted.withColumn("pct_of_orders", percent(F.col("orders"), total)).orderBy(
         F.desc("orders"), "order_status"
     )
@@ -121,7 +120,7 @@ def q7_payment_mix(fact_payments: DataFrame) -> DataFrame:
         .alias("avg_installments"),
         F.sum("payment_value").cast(MONEY).alias("total_paid_brl"),
     )
-    total = _total("payment_rows")
+    total = _total(counted, "payment_rows")
     return counted.select(
         "payment_type",
         "payment_rows",
@@ -136,8 +135,8 @@ def q8_loyalty(customers: DataFrame) -> DataFrame:
     grouped = customers.groupBy(kind.alias("customer_type")).agg(
         F.count(F.lit(1)).alias("customers"), F.sum("revenue").cast(MONEY).alias("revenue_brl")
     )
-    people = _total("customers")
-    revenue = _total("revenue_brl")
+    people = _total(grouped, "customers")
+    revenue = _total(grouped, "revenue_brl")
     return grouped.select(
         "customer_type",
         "customers",

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.operators import cleaning, quality
+from stallkeeper.operators import quality
 from stallkeeper.plans import advanced, business
 from stallkeeper.plans.warehouse import Warehouse, testdata_warehouse
 from stallkeeper.sources import files
@@ -42,12 +42,6 @@ def _reloaded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _fact_order_items(w: Warehouse) -> DataFrame:
-    return cleaning.fact_order_items(
-        w.staging["stg_order_items"], w["fact_orders"], w["dim_products"], w["dim_sellers"]
-    )
-
-
 def _rfm_scores(w: Warehouse) -> DataFrame:
     return advanced.a4_rfm_scores(w["customer_totals"], w.rfm_ranked(), w["fact_orders"])
 
@@ -62,8 +56,8 @@ REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "dim_customers": lambda w: w["dim_customers"],
     "dim_products": lambda w: w["dim_products"],
     "dim_sellers": lambda w: w["dim_sellers"],
-    "fact_orders": lambda w: cleaning.fact_orders(w.staging["stg_orders"], w["dim_customers"]),
-    "fact_order_items": _fact_order_items,
+    "fact_orders": lambda w: w["fact_orders"],
+    "fact_order_items": lambda w: w["fact_order_items"],
     "fact_payments": lambda w: w["fact_payments"],
     "sales_lines": lambda w: w["sales_lines"],
     "q1_kpis": lambda w: business.q1_kpis(w["customer_totals"]),

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from stallkeeper.operators import cleaning
 from stallkeeper.operators.ranking import in_global_order, with_rank
 from stallkeeper.plans import advanced, mart
-from stallkeeper.session import size_for_input
+from stallkeeper.session import Sizing
 from stallkeeper.sources import files, testdata
 from stallkeeper.sources.schemas import STAGING, STAR
-from stallkeeper.sources.store import TableStore, delete_at_exit, shared_folder, source_state
+from stallkeeper.sources.store import (
+    Generations, StoredTables, TableStore, delete_at_exit, shared_folder, source_state,
+)
 
 # The two biggest facts are written together with the parents' columns: the joins that
 # fetch those also do the referential check, so orders and lines cross the network
@@ -27,7 +29,9 @@ _PROJECTIONS = {
 class Warehouse(Mapping[str, DataFrame]):
     """Star tables, `sales_lines` and rollups by name, over seven staging tables.
 
-    Asking for a table builds what it depends on, in dependency order.
+    Asking for a table builds what it depends on, in dependency order. The session is sized for
+    the input as long as the warehouse is open: `close`, or the end of a `with` block, puts back
+    the settings from before.
     """
 
     def __init__(
@@ -35,7 +39,9 @@ class Warehouse(Mapping[str, DataFrame]):
         staging: Mapping[str, DataFrame],
         store: TableStore,
         rejects: Mapping[str, DataFrame] | None = None,
+        sizing: Sizing | None = None,
     ):
+        self.sizing = sizing
         self.staging = staging
         self.store = store
         self.rejects = rejects or {}
@@ -44,26 +50,52 @@ class Warehouse(Mapping[str, DataFrame]):
     def from_files(
         cls, spark: SparkSession, paths: Mapping[str, str], folder: str, comma: bool = False
     ) -> "Warehouse":
-        """Loads raw files into `folder`, replacing what an earlier load left there."""
-        size_for_input(spark, source_state(spark, paths.values())[1])
-        store = TableStore(spark, folder)
-        for name, df in files.read_all(spark, paths, comma).items():
-            store.replace(f"loaded_{name}", df)
-        warehouse = cls.open(spark, folder)
-        warehouse.rebuild()
+        """Loads raw files into `folder`, replacing what an earlier load left there.
+
+        The new load is read only once all of its tables are complete; if one fails, the earlier
+        load stays as it was.
+        """
+        input_bytes = source_state(spark, paths.values())[1]
+        sizing = Sizing(spark, input_bytes).apply()
+        try:
+            generations = Generations(spark, folder)
+            store = generations.begin()
+            for name, df in files.read_all(spark, paths, comma).items():
+                store.replace(f"loaded_{name}", df)
+            warehouse = cls._over(store, sizing)
+            warehouse.rebuild()
+            generations.publish(store, input_bytes=input_bytes)
+        except BaseException:
+            sizing.restore()
+            raise
         return warehouse
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> "Warehouse":
-        """A warehouse loaded earlier."""
-        store = TableStore(spark, folder)
+        """A warehouse loaded earlier, with the session sized as for loading it."""
+        store, about = Generations(spark, folder).published()
+        return cls._over(store, Sizing(spark, about["input_bytes"]).apply())
+
+    @classmethod
+    def _over(cls, store: TableStore, sizing: Sizing) -> "Warehouse":
         loaded = {name: store.existing(f"loaded_{name}") for name in STAGING}
         return cls(
             {name: files.accepted(df) for name, df in loaded.items()},
             store,
             {name: files.rejected(df) for name, df in loaded.items()},
+            sizing,
         )
 
+    def close(self) -> None:
+        if self.sizing:
+            self.sizing.restore()
+
+    def __enter__(self) -> "Warehouse":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def __getitem__(self, name: str) -> DataFrame:
         if name in _PROJECTIONS:
             source, columns = _PROJECTIONS[name]
@@ -109,12 +141,13 @@ class Warehouse(Mapping[str, DataFrame]):
             "fact_payments": lambda: cleaning.fact_payments(
                 stg["stg_order_payments"], self["fact_orders"]
             ),
+            # Sorted in each file, so that a filter on the status skips row groups.
             "sales_lines": lambda: mart.sales_lines(
                 cleaning.order_lines(stg["stg_order_items"]),
                 self["placed_orders"],
                 self["dim_products"],
                 self["dim_sellers"],
-            ),
+            ).sortWithinPartitions("order_status"),
             "order_totals": lambda: mart.order_totals(self["sales_lines"]),
             "customer_totals": lambda: mart.customer_totals(self["order_totals"]),
             "rfm_positions": lambda: in_global_order(
@@ -148,9 +181,11 @@ def testdata_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     key = (application, source)
     with _lock:
         if key not in _by_source:
-            size_for_input(spark, size)
             own = f"{shared_folder(spark)}/stallkeeper-{application}"
             delete_at_exit(spark, own)
             store = TableStore(spark, f"{own}/{source}")
-            _by_source[key] = Warehouse(testdata.bind(spark, sf_dir), store)
-        return _by_source[key]
+            staging = StoredTables(store, testdata.bind(spark, sf_dir))
+            _by_source[key] = Warehouse(staging, store, sizing=Sizing(spark, size))
+        warehouse = _by_source[key]
+        warehouse.sizing.apply()
+        return warehouse

@@ -5,8 +5,6 @@ import os
 from pyspark.sql import SparkSession
 
 SHUFFLE_BYTES_PER_PARTITION = 256 << 20
-# Beyond this the bookkeeping of map x reduce blocks costs more than the spills it saves.
-MAX_SHUFFLE_PARTITIONS = 30_000
 MAX_SCAN_TASKS = 200_000
 
 _INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
@@ -27,16 +25,45 @@ def local_session(cores: int | str = 8, memory: str = "16g") -> SparkSession:
     )
 
 
-def size_for_input(spark: SparkSession, input_bytes: int) -> None:
-    """Enough shuffle partitions for the input, where the session does not say.
+class Sizing:
+    """Initial shuffle partitions for an input, one for each `bytes_per_partition` of it.
 
-    Adaptive execution merges small partitions at run time but splits only skewed joins,
-    so it has to start with many: the default of 200 would mean half a terabyte each on
-    100 TB. Never lowers a setting.
+    Adaptive execution merges small partitions at run time but splits only skewed joins, so it
+    has to start with many: the default of 200 would mean half a terabyte each on 100 TB. The
+    number follows from the input alone, whatever the session did before; `least` is the
+    session's own shuffle partitions, and `most`, if given, bounds the bookkeeping of map x reduce
+    blocks. `restore` puts back what the session had.
     """
-    wanted = min(input_bytes // SHUFFLE_BYTES_PER_PARTITION, MAX_SHUFFLE_PARTITIONS)
-    current = int(spark.conf.get(_INITIAL_PARTITIONS, None) or 0)
-    if wanted > max(current, int(spark.conf.get("spark.sql.shuffle.partitions"))):
-        spark.conf.set(_INITIAL_PARTITIONS, str(wanted))
-    if not spark.conf.get(_SCAN_TASKS, None):
-        spark.conf.set(_SCAN_TASKS, str(MAX_SCAN_TASKS))
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        input_bytes: int,
+        bytes_per_partition: int = SHUFFLE_BYTES_PER_PARTITION,
+        most: int | None = None,
+    ):
+        self.spark = spark
+        wanted = -(-input_bytes // bytes_per_partition)
+        if most is not None:
+            wanted = min(wanted, most)
+        self.partitions = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self._settings = {
+            _INITIAL_PARTITIONS: str(self.partitions),
+            _SCAN_TASKS: str(MAX_SCAN_TASKS),
+        }
+        self._before: dict[str, str | None] | None = None
+
+    def apply(self) -> "Sizing":
+        if self._before is None:
+            self._before = {key: self.spark.conf.get(key, None) for key in self._settings}
+        for key, value in self._settings.items():
+            self.spark.conf.set(key, value)
+        return self
+
+    def restore(self) -> None:
+        for key, value in (self._before or {}).items():
+            if value is None:
+                self.spark.conf.unset(key)
+            else:
+                self.spark.conf.set(key, value)
+        self._before = None

@@ -1,12 +1,19 @@
 """Named tables written once to the cluster's shared folder and read back from there."""
 
 import hashlib
+import json
 import tempfile
 import threading
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from urllib.parse import urlparse
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Written into a table's folder after its files. Readers skip names that begin with "_".
+_MARKER = "_stallkeeper_complete"
+_POINTER = "_published.json"
+
 
 class TableStore:
     """Tables under one folder.
@@ -26,13 +33,13 @@ class TableStore:
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         with self._lock:
-            if not self._complete(name):
+            if name not in self._tables and not self._complete(name):
                 return self.replace(name, build())
             return self._read(name)
 
     def existing(self, name: str) -> DataFrame:
         with self._lock:
-            if not self._complete(name):
+            if name not in self._tables and not self._complete(name):
                 raise FileNotFoundError(self.path(name))
             return self._read(name)
 
@@ -41,12 +48,14 @@ class TableStore:
         with self._lock:
             if not self._complete(name):
                 write(self.path(name))
+                _write_text(self.spark, f"{self.path(name)}/{_MARKER}", name)
             return self.path(name)
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """Empty and reload: the way to re-run a load on new input."""
         with self._lock:
             df.write.mode("overwrite").parquet(self.path(name))
+            _write_text(self.spark, f"{self.path(name)}/{_MARKER}", name)
             self._tables[name] = self.spark.read.schema(df.schema).parquet(self.path(name))
             return self._tables[name]
 
@@ -57,36 +66,97 @@ class TableStore:
 
     def _complete(self, name: str) -> bool:
         # An interrupted write leaves no marker and is done again.
-        marker, fs = _file_system(self.spark, f"{self.path(name)}/_SUCCESS")
+        marker, fs = _file_system(self.spark, f"{self.path(name)}/{_MARKER}")
         return fs.exists(marker)
 
 
+class StoredTables(Mapping[str, DataFrame]):
+    """Tables by name, each written to the store when it is first asked for."""
+
+    def __init__(self, store: TableStore, tables: Mapping[str, DataFrame]):
+        self._store = store
+        self._source = tables
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._store.table(name, lambda: self._source[name])
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._source)
+
+    def __len__(self) -> int:
+        return len(self._source)
+
+
+class Generations:
+    """Loads of one warehouse, each in a folder of its own; readers see the published one.
+
+    A load that fails leaves the published one as it is. Publishing writes one small file.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder.rstrip("/")
+
+    def begin(self) -> TableStore:
+        return TableStore(self.spark, f"{self.folder}/load-{uuid4().hex}")
+
+    def publish(self, store: TableStore, **about) -> None:
+        """Makes a complete load the one that is read, then removes the others."""
+        name = store.folder.rsplit("/", 1)[1]
+        _write_text(self.spark, f"{self.folder}/{_POINTER}", json.dumps({"load": name, **about}))
+        home, fs = _file_system(self.spark, self.folder)
+        for status in fs.listStatus(home):
+            other = status.getPath().getName()
+            if other.startswith("load-") and other != name:
+                fs.delete(status.getPath(), True)
+
+    def published(self) -> tuple[TableStore, dict]:
+        pointer, fs = _file_system(self.spark, f"{self.folder}/{_POINTER}")
+        if not fs.exists(pointer):
+            raise FileNotFoundError(f"no complete load in {self.folder}")
+        about = json.loads(self.spark.read.text(str(pointer), wholetext=True).first()[0])
+        return TableStore(self.spark, f"{self.folder}/{about.pop('load')}"), about
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach."""
+    """Folder every executor can reach: the one named by spark.checkpoint.dir."""
     configured = (
         spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     )
     if configured:
         return configured
-    if spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
         return tempfile.mkdtemp(prefix="stallkeeper-")
-    # Unset on a cluster: managed tables already need this one to be shared.
-    return spark.conf.get("spark.sql.warehouse.dir")
+    # Managed tables need the warehouse folder to be shared, too, but its default is not.
+    folder = spark.conf.get("spark.sql.warehouse.dir")
+    if urlparse(folder).scheme == "file":
+        raise ValueError(
+            f"{folder} is on each machine's own disk: set spark.checkpoint.dir to a shared folder"
+        )
+    return folder
 
 
 def source_state(spark: SparkSession, paths: Iterable[str]) -> tuple[str, int]:
-    """A text that changes when the files under the paths change, and their total bytes."""
-    digest = hashlib.sha256()
-    total = 0
+    """A text that changes when any file under the paths (globs, too) changes, and their bytes."""
+    found = []
     for path in paths:
         location, fs = _file_system(spark, path)
-        summary = fs.getContentSummary(location)
-        total += summary.getLength()
-        digest.update(
-            f"{path}|{summary.getLength()}|{summary.getFileCount()}|"
-            f"{fs.getFileStatus(location).getModificationTime()}\n".encode()
-        )
-    return digest.hexdigest()[:20], total
+        matches = fs.globStatus(location)
+        if not matches:
+            raise FileNotFoundError(path)
+        for match in matches:
+            if match.isFile():
+                found.append(match)
+                continue
+            files = fs.listFiles(match.getPath(), True)
+            while files.hasNext():
+                found.append(files.next())
+    states = sorted(
+        (f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found
+    )
+    digest = hashlib.sha256("\n".join(map(str, states)).encode()).hexdigest()
+    return digest[:20], sum(length for _, length, _ in states)
 
 
 def delete_at_exit(spark: SparkSession, folder: str) -> None:
@@ -96,6 +166,15 @@ def delete_at_exit(spark: SparkSession, folder: str) -> None:
     fs.deleteOnExit(location)
 
 
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    location, fs = _file_system(spark, path)
+    out = fs.create(location, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
 def _file_system(spark: SparkSession, path: str):
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location, location.getFileSystem(spark._jsc.hadoopConfiguration())
