@@ -7,11 +7,13 @@ fractions as integers), so each conversion first checks one pattern.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The accepted spellings. Spaces may surround a number, not a date.
-# The first group is what gets converted.
+# The accepted spellings; blanks may surround them. A time of day follows a blank or
+# a T, and may lack its seconds. The first group is what gets converted.
 INT_TEXT = r"^ *([+-]?[0-9]+) *\z"
 DECIMAL_TEXT = r"^ *([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)) *\z"
-TIMESTAMP_TEXT = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}(?: [0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.][0-9]+)?)?)\z"
+TIMESTAMP_TEXT = (
+    r"^ *([0-9]{4}-[0-9]{2}-[0-9]{2}(?:[ T][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]+)?)?)?) *\z"
+)
 
 
 def _matched(text: Column, pattern: str) -> Column:

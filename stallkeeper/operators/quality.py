@@ -6,9 +6,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallkeeper.functions.casts import blank, folded, to_money
+from stallkeeper.functions.casts import blank, folded, to_int, to_money, to_timestamp
 from stallkeeper.functions.measures import count_where
-from stallkeeper.sources.schemas import FOREIGN_KEYS, RULES, STAGING
+from stallkeeper.sources.schemas import CONVERSIONS, FOREIGN_KEYS, RULES, STAGING
 
 Tables = Mapping[str, DataFrame]
 
@@ -32,15 +32,26 @@ def staging_counts(staging: Tables) -> DataFrame:
     )
 
 
+def _unconverted(name: str) -> list[Column]:
+    """For each converted column, how many texts that are not blank became NULL."""
+    to_type = {"int": to_int, "money": to_money, "timestamp": to_timestamp}
+    return [
+        F.struct(
+            F.lit(f"text not converted: {name}.{column}").alias("check_name"),
+            F.count_if(~blank(F.col(column)) & to_type[kind](F.col(column)).isNull())
+            .cast("string")
+            .alias("finding"),
+        )
+        for column, kind in CONVERSIONS[name].items()
+    ]
+
+
 def dq_profile(staging: Tables) -> DataFrame:
-    """Five findings on the raw text, one pass per table."""
+    """Findings on the raw text, one pass per table."""
 
     def finding(check: str, value: Column) -> Column:
         return F.struct(F.lit(check).alias("check_name"), value.alias("finding"))
 
-    def of(name: str, *findings: Column) -> DataFrame:
-        return staging[name].agg(F.array(*findings).alias("f")).select(F.inline("f"))
-
     people = F.concat(
         F.count(F.lit(1)).cast("string"),
         F.lit(" rows / "),
@@ -56,37 +67,34 @@ def dq_profile(staging: Tables) -> DataFrame:
         F.coalesce("order_id", F.lit("")), F.lit("|"), F.coalesce("order_item_id", F.lit(""))
     )
     repeated = F.count(F.lit(1)) - F.countDistinct(line_key)
-    return _union_all(
-        [
-            of(
-                "stg_customers",
-                finding("customer_id rows vs real people (unique_id)", people),
+    # The texts of the first five checks.
+    findings = {
+        "stg_customers": [finding("customer_id rows vs real people (unique_id)", people)],
+        "stg_products": [
+            finding(
+                "products with missing category",
+                count_where(blank(F.col("product_category_name"))).cast("string"),
+            )
+        ],
+        "stg_orders": [
+            finding(
+                "orders marked delivered but no delivery date", count_where(undated).cast("string")
+            )
+        ],
+        "stg_order_items": [
+            finding(
+                "order_items with non-numeric/negative price",
+                count_where(price.isNull() | (price < 0)).cast("string"),
             ),
-            of(
-                "stg_products",
-                finding(
-                    "products with missing category",
-                    count_where(blank(F.col("product_category_name"))).cast("string"),
-                ),
-            ),
-            of(
-                "stg_orders",
-                finding(
-                    "orders marked delivered but no delivery date",
-                    count_where(undated).cast("string"),
-                ),
-            ),
-            of(
-                "stg_order_items",
-                finding(
-                    "order_items with non-numeric/negative price",
-                    count_where(price.isNull() | (price < 0)).cast("string"),
-                ),
-                finding(
-                    "duplicate order_item keys (order_id,item_id)", repeated.cast("string")
-                ),
-            ),
-        ]
+            finding("duplicate order_item keys (order_id,item_id)", repeated.cast("string")),
+        ],
+        "stg_order_payments": [],
+    }
+    return _union_all(
+        staging[name]
+        .agg(F.array(*own, *_unconverted(name)).alias("f"))
+        .select(F.inline("f"))
+        for name, own in findings.items()
     )
 
 

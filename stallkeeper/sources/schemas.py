@@ -101,3 +101,19 @@ FOREIGN_KEYS = (
     ForeignKey("fact_order_items", "dim_sellers", "seller_id"),
     ForeignKey("fact_payments", "fact_orders", "order_id"),
 )
+
+# What the text columns that are converted are converted to.
+CONVERSIONS = {
+    "stg_customers": {"customer_zip_code_prefix": "int"},
+    "stg_products": {"product_weight_g": "int"},
+    "stg_orders": {
+        "order_purchase_timestamp": "timestamp",
+        "order_approved_at": "timestamp",
+        "order_delivered_customer_date": "timestamp",
+        "order_estimated_delivery_date": "timestamp",
+    },
+    "stg_order_items": {"order_item_id": "int", "price": "money", "freight_value": "money"},
+    "stg_order_payments": {
+        "payment_sequential": "int", "payment_installments": "int", "payment_value": "money",
+    },
+}

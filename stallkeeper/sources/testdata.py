@@ -81,6 +81,7 @@ def _customers(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> Dat
 
 def _orders(orders: DataFrame) -> DataFrame:
     arrived = (F.col("o_orderstatus") == "F") & ~_every("o_orderkey", 97)
+    next_day = F.substring(_days_later("o_orderdate", F.lit(1)), 1, 10)
     return _staging(
         orders,
         "stg_orders",
@@ -92,9 +93,10 @@ def _orders(orders: DataFrame) -> DataFrame:
         .when(F.col("o_orderstatus") == "O", "shipped")
         .when(F.col("o_orderstatus") == "P", "CANCELED"),
         order_purchase_timestamp=_text("o_orderdate"),
-        order_approved_at=F.when(_every("o_orderkey", 97, 1), "not a date").otherwise(
-            _days_later("o_orderdate", F.lit(1))
-        ),
+        order_approved_at=F.when(_every("o_orderkey", 97, 1), "not a date")
+        .when(_every("o_orderkey", 89, 3), F.concat(F.lit(" "), next_day, F.lit("T10:56:33 ")))
+        .when(_every("o_orderkey", 83, 5), F.concat(next_day, F.lit(" 10:56")))
+        .otherwise(_days_later("o_orderdate", F.lit(1))),
         order_delivered_customer_date=F.when(
             arrived,
             _days_later("o_orderdate", (F.col("o_orderkey") % 23 + 2).cast("int")),
