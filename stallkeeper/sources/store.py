@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Written into a table's folder after its files. Readers skip names that begin with "_".
 _MARKER = "_stallkeeper_complete"
-_POINTER = "_published.json"
+_POINTER = "published.json"
 
 
 class TableStore:

@@ -23,8 +23,13 @@ TIMESTAMPS = {
     "2017-10-02 10:56:33": datetime(2017, 10, 2, 10, 56, 33),
     "2017-10-02": datetime(2017, 10, 2),
     "2017-10-02 10:56:33.5": datetime(2017, 10, 2, 10, 56, 33, 500000),
+    "2017-10-02 10:56": datetime(2017, 10, 2, 10, 56),
+    "2017-10-02T10:56:33": datetime(2017, 10, 2, 10, 56, 33),
+    " 2017-10-02": datetime(2017, 10, 2), "2017-10-02 ": datetime(2017, 10, 2),
+    " 2017-10-02T10:56 ": datetime(2017, 10, 2, 10, 56),
     "2017-02-30": None, "2017-10": None, "2017": None, "not a date": None, "": None,
-    " 2017-10-02": None, "2017-10-02T10:56:33": None, "2017-10-02 25:00:00": None,
+    "2017-10-02 25:00:00": None, "2017-10-02T": None, "2017-10-02 10": None,
+    "2017-10-02\t": None, "2017-10-02\n": None, "2017-10-02  10:56": None,
 }
 
 
@@ -51,6 +56,10 @@ def test_conversions_agree_with_sql_on_random_text(spark):
         {"".join(draw.choices("0123456789  +-.eE:", k=draw.randint(0, 7))) for _ in range(3000)}
         | {f"20{draw.randint(10, 99)}-{draw.randint(0, 14):02}-{draw.randint(0, 33):02}"
            for _ in range(300)}
+        | {f"{draw.choice(['', ' '])}2017-10-02{draw.choice(' Tt')}"
+           f"{''.join(draw.choices('0123:. ', k=draw.randint(0, 9)))}" for _ in range(300)}
+        | {f"2017-10-02{draw.choice(' T')}1{draw.randint(0, 9)}:{draw.randint(10, 70)}{end}"
+           for end in ("", ":05", ":05.25", ":5", " ", "  ", "Z") for _ in range(30)}
     )
     con = duckdb.connect()
     con.execute("CREATE TABLE texts (t VARCHAR)")

@@ -1,9 +1,12 @@
+import json
+import os
 from decimal import Decimal
 from types import SimpleNamespace
 
 import pytest
 from frames import rows
 
+from stallkeeper.plans import mart
 from stallkeeper.plans.catalog import REPORTS
 from stallkeeper.plans.warehouse import Warehouse
 from stallkeeper.sources import files
@@ -117,7 +120,8 @@ def test_reports_on_a_warehouse_from_files(spark, tmp_path, raw):
     assert rows(REPORTS["q1_kpis"](w)) == [
         (2, 1, 2, Decimal("15.00"), Decimal("1.00"), Decimal("7.50")),
     ]
-    assert dict(rows(REPORTS["dq_profile"](w))) == {
+    findings = dict(rows(REPORTS["dq_profile"](w)))
+    assert {k: v for k, v in findings.items() if not k.startswith("text not converted: ")} == {
         "customer_id rows vs real people (unique_id)": "2 rows / 1 people",
         "products with missing category": "0",
         "orders marked delivered but no delivery date": "1",
@@ -170,19 +174,45 @@ def test_shared_folder_is_the_one_the_cluster_names():
     assert shared_folder(session_with(named, "local[2]")) == "/shared"
     assert shared_folder(session_with(named, "yarn")) == "/shared"
     assert shared_folder(session_with(unnamed, "yarn", "/set/later")) == "/set/later"
-    assert shared_folder(session_with(unnamed, "yarn")) == "/tables"
     assert "stallkeeper-" in shared_folder(session_with(unnamed, "local[2]"))
+    remote = {"spark.sql.warehouse.dir": "hdfs://host/tables"}
+    assert shared_folder(session_with(remote, "yarn")) == "hdfs://host/tables"
 
 
-def test_interrupted_write_is_done_again(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "store"))
-    store.table("t", lambda: spark.range(5))
-    (tmp_path / "store" / "t" / "_SUCCESS").unlink()
-    assert store.table("t", lambda: spark.range(7)).count() == 7
-    assert store.table("t", lambda: pytest.fail("built twice")).count() == 7
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[2,1,1024]", "spark://host:7077"])
+def test_a_machines_own_disk_is_refused_on_a_cluster(master):
+    own = {"spark.sql.warehouse.dir": "file:/home/x/spark-warehouse"}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session_with(own, master))
 
 
-def test_source_state_follows_the_files(spark, tmp_path):
+def test_interrupted_write_is_done_again(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    TableStore(spark, folder).table("t", lambda: spark.range(5))
+    (tmp_path / "store" / "t" / "_stallkeeper_complete").unlink()
+    again = TableStore(spark, folder)
+    assert again.table("t", lambda: spark.range(7)).count() == 7
+    assert again.table("t", lambda: pytest.fail("built twice")).count() == 7
+    opened = TableStore(spark, folder)
+    assert opened.table("t", lambda: pytest.fail("built twice")).count() == 7
+
+
+def test_store_needs_no_success_files(spark, tmp_path):
+    key = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set(key, "false")
+    try:
+        store = TableStore(spark, str(tmp_path / "store"))
+        first = store.table("t", lambda: spark.range(5))
+        assert not (tmp_path / "store" / "t" / "_SUCCESS").exists()
+        assert store.table("t", lambda: pytest.fail("built twice")).count() == 5
+        assert first.count() == 5
+        assert TableStore(spark, str(tmp_path / "store")).existing("t").count() == 5
+    finally:
+        conf.unset(key)
+
+
+def test_source_state_follows_every_file(spark, tmp_path):
     path = tmp_path / "data.txt"
     path.write_text("one")
     before = source_state(spark, [str(path)])
@@ -190,3 +220,75 @@ def test_source_state_follows_the_files(spark, tmp_path):
     assert source_state(spark, [str(path)]) == before
     path.write_text("other")
     assert source_state(spark, [str(path)])[0] != before[0]
+
+
+def test_source_state_sees_a_rewritten_file_in_a_subfolder(spark, tmp_path):
+    inner = tmp_path / "table" / "day=1"
+    inner.mkdir(parents=True)
+    (inner / "a.txt").write_text("one")
+    before = source_state(spark, [str(tmp_path / "table")])
+    (inner / "a.txt").write_text("two")
+    os.utime(inner / "a.txt", (1, 1))
+    assert source_state(spark, [str(tmp_path / "table")])[0] != before[0]
+    with pytest.raises(FileNotFoundError):
+        source_state(spark, [str(tmp_path / "nothing*")])
+
+
+def test_globs_can_be_loaded(spark, tmp_path, raw):
+    parts = tmp_path / "parts"
+    parts.mkdir()
+    with open(raw["stg_customers"]) as file:
+        header, *lines = file.readlines()
+    for i, line in enumerate(lines):
+        (parts / f"{i}.tsv").write_text(header + line)
+    globbed = raw | {"stg_customers": str(parts / "*.tsv")}
+    w = Warehouse.from_files(spark, globbed, str(tmp_path / "warehouse"))
+    assert w.staging["stg_customers"].count() == len(lines)
+
+
+def prices(w):
+    return (
+        sorted(str(r.price) for r in w["fact_order_items"].collect()),
+        sorted(str(r.price) for r in REPORTS["fact_order_items"](w).collect()),
+        sorted(r.price for r in w.staging["stg_order_items"].collect()),
+        str(REPORTS["q1_kpis"](w).first().product_revenue_brl),
+    )
+
+
+def test_a_failed_reload_leaves_the_old_load(spark, tmp_path, raw, monkeypatch):
+    folder = str(tmp_path / "warehouse")
+    old = prices(Warehouse.from_files(spark, raw, folder))
+    with open(raw["stg_order_items"]) as file:
+        text = file.read()
+    with open(raw["stg_order_items"], "w") as file:
+        file.write(text.replace("\t10", "\t1000").replace("\t5", "\t5000"))
+
+    with monkeypatch.context() as broken:
+        broken.setattr(mart, "sales_lines", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            Warehouse.from_files(spark, raw, folder)
+    assert prices(Warehouse.open(spark, folder)) == old
+    retried = prices(Warehouse.from_files(spark, raw, folder))
+    assert retried != old
+    assert prices(Warehouse.open(spark, folder)) == retried
+    assert len(list((tmp_path / "warehouse").glob("load-*"))) == 1
+
+
+def test_opening_sizes_the_session_as_loading_does(spark, tmp_path, raw):
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(initial, None)
+    folder = tmp_path / "warehouse"
+    with Warehouse.from_files(spark, raw, str(folder)) as loaded:
+        with Warehouse.open(spark, str(folder)) as opened:
+            assert opened.sizing.partitions == loaded.sizing.partitions
+        # As if what was loaded had been large.
+        pointer = folder / "published.json"
+        about = json.loads(pointer.read_text()) | {"input_bytes": 1 << 40}
+        (folder / ".published.json.crc").unlink(missing_ok=True)
+        pointer.write_text(json.dumps(about))
+        with Warehouse.open(spark, str(folder)) as opened:
+            assert spark.conf.get(initial) == str(opened.sizing.partitions) == "4096"
+        with Warehouse.from_files(spark, raw, str(folder)) as small:
+            assert spark.conf.get(initial) == str(small.sizing.partitions)
+            assert small.sizing.partitions < 4096
+    assert spark.conf.get(initial, None) == before

@@ -52,13 +52,10 @@ def test_same_as_sql(sides, name):
     )
 
 
-def test_only_the_unordered_preview_has_no_sql():
-    assert set(QUERIES) - set(SQL) == {"preview_customers"}
-
-
-def test_preview_returns_rows_of_the_table(spark):
-    sf_dir = f"{TESTDATA}/sf0.001"
-    assert QUERIES["preview_customers"](spark, sf_dir).count() == 5
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql())
 
 
 def test_entry_is_the_flagship(spark):

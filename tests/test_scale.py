@@ -6,11 +6,11 @@ import pytest
 from conftest import TESTDATA
 from pyspark.sql import functions as F
 
-from stallkeeper.operators import quality
+from stallkeeper.operators import cleaning, quality
 from stallkeeper.plans import advanced, business, mart
 from stallkeeper.plans.catalog import all_queries
 from stallkeeper.plans.warehouse import testdata_warehouse as warehouse_of
-from stallkeeper.session import size_for_input
+from stallkeeper.session import Sizing
 
 LINES = 60_000
 
@@ -103,15 +103,67 @@ def test_references_are_counted_before_they_meet_parents(spark, shuffled_joins):
 
 @pytest.mark.parametrize("table", ["fact_orders", "fact_order_items"])
 def test_facts_cut_from_the_joined_tables_are_the_checked_facts(spark, table):
-    sf_dir = f"{TESTDATA}/sf0.001"
-    cut = warehouse_of(spark, sf_dir)[table]
-    checked = all_queries()[table](spark, sf_dir)
-    assert cut.columns == checked.columns
-    assert sorted(map(str, map(tuple, cut.collect()))) == sorted(
+    w = warehouse_of(spark, f"{TESTDATA}/sf0.01")
+    checked = {
+        "fact_orders": lambda: cleaning.fact_orders(w.staging["stg_orders"], w["dim_customers"]),
+        "fact_order_items": lambda: cleaning.fact_order_items(
+            w.staging["stg_order_items"], w["fact_orders"], w["dim_products"], w["dim_sellers"]
+        ),
+    }[table]()
+    assert w[table].columns == checked.columns
+    assert sorted(map(str, map(tuple, w[table].collect()))) == sorted(
         map(str, map(tuple, checked.collect()))
     )
 
 
+CHECKS = {
+    "check_foreign_keys": 1, "check_primary_keys": 1, "check_not_null": 1, "dq_profile": 1,
+    "reconcile_counts": 1, "staging_counts": 1,
+}
+
+
+@pytest.mark.parametrize("name", sorted(CHECKS))
+def test_checks_read_the_items_once_per_stage(spark, shuffled_joins, name):
+    """Staging is read as it was written once, not bound again for each check."""
+    plan = executed(all_queries()[name](spark, f"{TESTDATA}/sf0.001")).split("Initial Plan")[0]
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert not any("lineitem.parquet" in line for line in scans)
+    assert sum("/stg_order_items" in line for line in scans) <= CHECKS[name]
+    assert sum("/sales_lines" in line for line in scans) <= CHECKS[name]
+
+
+@pytest.mark.parametrize(
+    "name", ["q3_category_share", "q5a_status_mix", "q7_payment_mix", "q8_loyalty"]
+)
+def test_shares_of_the_whole_need_no_window(spark, name):
+    plan = executed(all_queries()[name](spark, f"{TESTDATA}/sf0.001"))
+    assert "Window" not in plan
+    assert "ubquery" in plan
+
+
+def test_default_settings_split_a_hot_order(spark):
+    """The factor stays as it is; only sizes follow the small test data."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "64",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        lines = spark.range(0, LINES, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"),
+            F.sha2(F.col("id").cast("string"), 256).alias("v"),
+        )
+        joined = lines.join(spark.range(LINES).withColumnRenamed("id", "k"), "k")
+        assert len(joined.collect()) == LINES
+        assert "skew=true" in executed(joined).split("Initial Plan")[0]
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 @pytest.mark.parametrize("name", sorted(all_queries()))
 def test_plans_have_no_python_and_no_cross_joins(spark, name):
     plan = executed(all_queries()[name](spark, f"{TESTDATA}/sf0.001"))
@@ -119,19 +171,28 @@ def test_plans_have_no_python_and_no_cross_joins(spark, name):
         assert bad not in plan
 
 
-def test_shuffle_partitions_grow_with_the_input(spark):
-    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    try:
-        size_for_input(spark, 100 << 20)
-        assert spark.conf.get(initial, None) is None
-        size_for_input(spark, 1 << 40)
-        assert spark.conf.get(initial) == "4096"
-        size_for_input(spark, 100 << 40)
-        assert spark.conf.get(initial) == "30000"
-        size_for_input(spark, 1 << 40)  # never lowered
-        assert spark.conf.get(initial) == "30000"
-    finally:
-        spark.conf.unset(initial)
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def test_shuffle_partitions_follow_the_input_alone(spark):
+    before = spark.conf.get(INITIAL, None)
+    large = Sizing(spark, 100 << 40).apply()
+    assert spark.conf.get(INITIAL) == str(large.partitions) == "409600"
+    small = Sizing(spark, 1 << 20).apply()
+    assert spark.conf.get(INITIAL) == str(small.partitions)
+    assert small.partitions == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small.restore()
+    assert spark.conf.get(INITIAL) == "409600"
+    large.restore()
+    assert spark.conf.get(INITIAL, None) == before
+    large.restore()  # nothing left to put back
+    assert spark.conf.get(INITIAL, None) == before
+
+
+def test_sizing_parameters(spark):
+    assert Sizing(spark, 1 << 40, bytes_per_partition=1 << 30).partitions == 1024
+    assert Sizing(spark, 1 << 40, most=1000).partitions == 1000
+    assert Sizing(spark, (1 << 40) + 1).partitions == 4097
 
 
 def test_reports_read_only_their_columns_and_push_the_status_down(spark):
