@@ -93,7 +93,7 @@ def keep_bitmaps(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         partitions=partitions,
         write=lambda df: written(df, "lines"),
     )
-    dropped = shared.where("_doc <> _first").groupBy(F.col("_doc").alias("_id"), "_text")
+    dropped = shared.where("_later").groupBy(F.col("_doc").alias("_id"), "_text")
     return dropped.agg(F.collect_set("_pos").alias("_gone")).select(
         given_id().alias("doc_id"),
         F.col("_text").alias("text_hash"),

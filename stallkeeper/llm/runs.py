@@ -2,9 +2,9 @@
 
 A key with a large share of all rows spreads over many partitions, as the document takes part in
 the order. Each partition is streamed with constant memory: a row can be judged as soon as enough
-documents of its key were seen. Only rows of the key that a partition begins or ends with may
-depend on its neighbours; they are marked, and settled by summaries of at most two keys for each
-partition.
+documents of its key were seen. Only of the key that a partition begins or ends with, the rows of
+one document, or of fewer than enough, may depend on its neighbours; they are marked, and settled
+by summaries of at most two keys for each partition.
 """
 
 from collections.abc import Iterator
@@ -20,95 +20,102 @@ _LONG = np.int64
 class _Run:
     """The key that a partition's last rows so far have."""
 
-    def __init__(self, key, first, opens: bool):
-        self.key, self.first, self.last = key, first, first
-        self.docs = 1
+    def __init__(self, k1, k2, docs: np.ndarray, opens: bool):
+        self.key, self.first, self.last = (k1, k2), docs[0], docs[-1]
+        self.docs = 1 + int((docs[1:] != docs[:-1]).sum())
         self.opens = opens  # the partition begins with it, so earlier ones may have rows of it
 
-
-def _stream(batches: Iterator[pd.DataFrame], payload: list[str], least: int):
-    """Yields rows with `_first`, the first document of their key, where the key has `least`
-    documents; rows that neighbours decide on have `_open`; summaries have `_docs`."""
-    run: _Run | None = None
-    held: pd.DataFrame | None = None  # rows of `run`, not judged: fewer than `least` documents
-
-    def found(rows: pd.DataFrame, first, is_open: bool) -> pd.DataFrame:
-        out = rows[["_k1", "_k2", "_doc", *payload]].assign(_first=first, _open=is_open)
-        return out.assign(_docs=_LONG(0), _last=_LONG(0))
-
-    def summary(of: _Run) -> pd.DataFrame:
-        values = {"_k1": of.key[0], "_k2": of.key[1], "_doc": of.first}
-        values |= dict.fromkeys(payload, 0) | {"_first": of.first, "_open": True}
-        return pd.DataFrame([values | {"_docs": of.docs, "_last": of.last}])
-
-    def end(of: _Run, is_last: bool):
-        """What is left to say about a run that ends here."""
-        if of.opens or is_last:
-            yield summary(of)
-            if held is not None and len(held):
-                yield found(held, of.first, True)
-
-    for batch in batches:
-        if not len(batch):
-            continue
-        k1, k2 = batch["_k1"].to_numpy(_LONG), batch["_k2"].to_numpy(_LONG)
-        doc = batch["_doc"].to_numpy(_LONG)
+    def add(self, docs: np.ndarray) -> None:
+        self.docs += int((docs[1:] != docs[:-1]).sum()) + int(docs[0] != self.last)
+        self.last = docs[-1]
+
+
+class _Stream:
+    """Judges the rows of one partition, batch by batch."""
+
+    def __init__(self, payload: list[str], least: int):
+        self.payload, self.least = payload, least
+        self.run: _Run | None = None
+        # Rows of `run` that wait for more documents; fewer than `least` have any here.
+        self.held: list[pd.DataFrame] = []
+
+    def _found(self, rows: pd.DataFrame, later, is_open: bool) -> pd.DataFrame:
+        out = rows[["_k1", "_k2", "_doc", *self.payload]]
+        return out.assign(_later=later, _open=is_open, _docs=_LONG(0), _last=_LONG(0))
+
+    def _summary(self) -> pd.DataFrame:
+        run = self.run
+        values = {"_k1": run.key[0], "_k2": run.key[1], "_doc": run.first}
+        values |= dict.fromkeys(self.payload, 0) | {"_later": False, "_open": True}
+        return pd.DataFrame([values | {"_docs": run.docs, "_last": run.last}])
+
+    def _take(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Rows of the run, after it has counted them."""
+        run = self.run
+        of_first = rows["_doc"] == run.first
+        if run.opens and of_first.any():  # the key's first document, unless it began earlier
+            yield self._found(rows[of_first], False, True)
+            rows = rows[~of_first]
+        if run.docs < self.least:
+            self.held.append(rows)
+            return
+        for waiting in (*self.held, rows):
+            if len(waiting):
+                yield self._found(waiting, waiting["_doc"] != run.first, False)
+        self.held = []
+
+    def _end(self, is_last: bool) -> Iterator[pd.DataFrame]:
+        if self.run is not None and (self.run.opens or is_last):
+            yield self._summary()
+            for waiting in self.held:
+                if len(waiting):
+                    yield self._found(waiting, waiting["_doc"] != self.run.first, True)
+        self.run, self.held = None, []
+
+    def _batch(self, batch: pd.DataFrame, is_first: bool) -> Iterator[pd.DataFrame]:
+        k1, k2, doc = (batch[c].to_numpy(_LONG) for c in ("_k1", "_k2", "_doc"))
         begins = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(batch))
+        first, last = slice(0, ends[0]), slice(starts[-1], ends[-1])
+        if self.run is not None and self.run.key == (k1[0], k2[0]):
+            self.run.add(doc[first])
+            yield from self._take(batch[first])
+            inner = 1
+        elif is_first:
+            self.run = _Run(k1[0], k2[0], doc[first], True)
+            yield from self._take(batch[first])
+            inner = 1
+        else:
+            inner = 0
+        if inner == len(starts):
+            return
+        yield from self._end(False)
         new_doc = begins | np.concatenate([[True], doc[1:] != doc[:-1]])
-        docs = np.add.reduceat(new_doc.astype(_LONG), starts)
-        whole = np.zeros(len(starts), bool)  # runs that begin and end inside this batch
-        whole[:-1] = True
-        done = 0
-        if run is not None and run.key == (k1[0], k2[0]):
-            rows = batch.iloc[: ends[0]]
-            run.docs += int(docs[0]) - (run.last == doc[0])
-            run.last = doc[ends[0] - 1]
-            if run.opens:
-                yield found(rows, run.first, True)
-            elif run.docs >= least:
-                if held is not None:
-                    yield found(held, run.first, False)
-                    held = None
-                yield found(rows, run.first, False)
-            else:
-                held = pd.concat([held, rows])
-            done = 1
-        if done < len(starts) and run is not None:
-            yield from end(run, False)
-            held = None
-        if run is None:  # the partition's first key
-            run = _Run((k1[0], k2[0]), doc[0], True)
-            run.docs, run.last = int(docs[0]), doc[ends[0] - 1]
-            yield found(batch.iloc[: ends[0]], run.first, True)
-            done = 1
-            if len(starts) > 1:
-                yield from end(run, False)
-        whole[:done] = False
-        chosen = np.repeat(whole & (docs >= least), ends - starts)
+        enough = np.add.reduceat(new_doc.astype(_LONG), starts) >= self.least
+        enough[:inner] = enough[-1] = False  # the last one may go on
+        chosen = np.repeat(enough, ends - starts)
         if chosen.any():
-            first = np.repeat(doc[starts], ends - starts)
-            yield found(batch[chosen], first[chosen], False)
-        if done < len(starts):
-            s, e = starts[-1], ends[-1]
-            run = _Run((k1[s], k2[s]), doc[s], False)
-            run.docs, run.last = int(docs[-1]), doc[e - 1]
-            rows = batch.iloc[s:e]
-            if run.docs >= least:
-                yield found(rows, run.first, False)
-                held = None
-            else:
-                held = rows.copy()
-    if run is not None:
-        yield from end(run, True)
+            later = doc != np.repeat(doc[starts], ends - starts)
+            yield self._found(batch[chosen], later[chosen], False)
+        self.run = _Run(k1[last.start], k2[last.start], doc[last], False)
+        yield from self._take(batch[last])
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        is_first = True
+        for batch in batches:
+            if len(batch):
+                yield from self._batch(batch, is_first)
+                is_first = False
+        yield from self._end(True)
 
 
 def shared_rows(
     rows: DataFrame, payload: list[str], least: int, descending: bool, partitions: int, write
 ) -> DataFrame:
     """The rows whose key (`_k1`, `_k2`) occurs in at least `least` different documents (`_doc`),
-    with `_first`: the first of these documents, in ascending or descending order.
+    with `_later`: whether the document is another than the first of these, in ascending or
+    descending order.
 
     All columns are bigint and without nulls; `payload` names those besides key and document.
     `write` puts a table into the shared folder. One exchange, of these narrow rows.
@@ -120,30 +127,32 @@ def shared_rows(
         F.desc("_doc") if descending else F.asc("_doc"),
         *[F.col(c) for c in payload],
     ]
-    schema = ", ".join(f"{c} bigint" for c in [*columns, "_first", "_docs", "_last"])
-    names = [*columns, "_first", "_docs", "_last", "_open"]
+    schema = ", ".join(f"{c} bigint" for c in [*columns, "_docs", "_last"])
+    names = [*columns, "_docs", "_last", "_later", "_open"]
     streamed = write(
         rows.select(*columns)
         .repartitionByRange(partitions, *order)
         .sortWithinPartitions(*order)
         .mapInPandas(
-            lambda batches: (out[names] for out in _stream(batches, payload, least)),
-            f"{schema}, _open boolean",
+            lambda batches: (out[names] for out in _Stream(payload, least)(batches)),
+            f"{schema}, _later boolean, _open boolean",
         )
     )
     settled = _settle(streamed.where("_docs > 0"), least, descending)
-    judged = streamed.where("_docs = 0 AND NOT _open").select(*columns, "_first")
+    judged = streamed.where("_docs = 0 AND NOT _open").select(*columns, "_later")
     waiting = streamed.where("_docs = 0 AND _open").select(*columns)
     # Two keys for each partition at most.
+    found = waiting.join(F.broadcast(settled), ["_k1", "_k2"])
     return judged.unionByName(
-        waiting.join(F.broadcast(settled), ["_k1", "_k2"]).select(*columns, "_first")
+        found.select(*columns, (F.col("_doc") != F.col("_first")).alias("_later"))
     )
 
 
 def _settle(summaries: DataFrame, least: int, descending: bool) -> DataFrame:
     """Keys cut by partition borders that have enough documents after all, and their first."""
     spark = summaries.sparkSession
-    found = summaries.select("_k1", "_k2", "_first", "_last", "_docs").toPandas().astype(_LONG)
+    found = summaries.select("_k1", "_k2", F.col("_doc").alias("_first"), "_last", "_docs")
+    found = found.toPandas().astype(_LONG)
     found = found.sort_values(
         ["_k1", "_k2", "_first", "_last"], ascending=[True, True, not descending, not descending]
     )

@@ -96,9 +96,8 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_passages(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """A row for each span of a document that other documents have, too: `doc_id`, `start` and
-    `end` (byte offsets in UTF-8), `first_doc_id` (the smallest id that has its first chunk), and
-    `removed`: whether all of the span's chunks occur in a document of a smaller id, so that the
-    span can go while one copy stays.
+    `end` (byte offsets in UTF-8), and `removed`: whether all of the span's chunks occur in
+    documents of smaller ids, so that the span can go while one copy stays.
 
     Documents without such a span have no row; nor have null, empty and short texts. Null ids are
     together one document that ranks below all others; rows with the same id and text have the
@@ -117,29 +116,20 @@ def shared_passages(docs: DataFrame, partitions: int | None = None) -> DataFrame
         write=lambda df: written(df, "chunks"),
     )
     # Chunks overlap; a span goes on while the next chunk begins before it ends, and is as long
-    # as copies of smaller ids hold all of it, or none.
-    kept = (F.col("_doc") == F.col("_first")).alias("_kept")
-    of_text = Window.partitionBy("_doc", "_text", "_kept").orderBy("_start", "_end")
+    # as documents of smaller ids hold all of it, or none.
+    of_text = Window.partitionBy("_doc", "_text", "_later").orderBy("_start", "_end")
     reach = F.max("_end").over(of_text.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.coalesce(F.col("_start") > reach, F.lit(True))
     start = F.shiftright("_place", _LENGTH_BITS)
     end = start + F.col("_place").bitwiseAND((1 << _LENGTH_BITS) - 1)
     spans = (
-        shared.select("_doc", "_text", start.alias("_start"), end.alias("_end"), "_first", kept)
+        shared.select("_doc", "_text", start.alias("_start"), end.alias("_end"), "_later")
         .distinct()
         .withColumn("_begins", begins.cast("int"))
         .withColumn("_span", F.sum("_begins").over(of_text))
-        .groupBy("_doc", "_text", "_kept", "_span")
-        .agg(
-            F.min("_start").alias("start"),
-            F.max("_end").alias("end"),
-            F.min_by("_first", "_start").alias("_first"),
-        )
+        .groupBy("_doc", "_text", "_later", "_span")
+        .agg(F.min("_start").alias("start"), F.max("_end").alias("end"))
     )
     return spans.select(
-        given_id("_doc").alias("doc_id"),
-        "start",
-        "end",
-        given_id("_first").alias("first_doc_id"),
-        (~F.col("_kept")).alias("removed"),
+        given_id("_doc").alias("doc_id"), "start", "end", F.col("_later").alias("removed")
     )

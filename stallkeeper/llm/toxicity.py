@@ -80,9 +80,15 @@ class Model:
 
 
 def fit_cumulative(
-    rows: list[np.ndarray], values_of: list[np.ndarray], grades: np.ndarray, features: int
+    rows: list[np.ndarray],
+    values_of: list[np.ndarray],
+    grades: np.ndarray,
+    features: int,
+    balanced: bool = True,
+    penalty: float = PENALTY,
 ):
-    """Weights and thresholds of the penalised maximum likelihood, by Adam.
+    """Weights and thresholds of the penalised maximum likelihood, by Adam. If balanced, grades
+    count by the inverse root of their frequency, so that rare ones are not given up.
 
     `rows` has the numbers of each row's features, `values_of` their values. Thresholds are the
     first plus positive gaps.
@@ -96,8 +102,8 @@ def fit_cumulative(
     wanted = np.maximum.accumulate(np.log(1 / np.array(share) - 1))
     gaps = np.log(np.expm1(np.maximum(np.diff(wanted), 1e-2)))
     values = np.concatenate([np.zeros(features), wanted[:1], gaps])
-    # Grades count by the inverse root of their frequency, so that rare ones are not given up.
-    weight = 1 / np.sqrt(np.bincount(grades, minlength=top + 1)[grades])
+    frequency = np.bincount(grades, minlength=top + 1)[grades]
+    weight = 1 / np.sqrt(frequency) if balanced else np.ones(len(rows))
     weight /= weight.sum()
     first, second = np.zeros_like(values), np.zeros_like(values)
     for step in range(1, STEPS + 1):
@@ -126,7 +132,7 @@ def fit_cumulative(
                 later[1:] / (1 + np.exp(-raw)),
             ]
         )
-        gradient[:features] += PENALTY * w / max(features, 1)
+        gradient[:features] += penalty * w / max(features, 1)
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         mean, spread = first / (1 - 0.9**step), second / (1 - 0.999**step)

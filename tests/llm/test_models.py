@@ -125,6 +125,9 @@ def test_cumulative_links_order_grades():
     latent = 2 * x + r.logistic(size=4000)
     grades = np.digitize(latent, [-1.0, 1.0, 3.0])
     rows = [np.array([0])] * 4000
-    weights, thresholds = toxicity.fit_cumulative(rows, [np.array([v]) for v in x], grades, 1)
+    values = [np.array([v]) for v in x]
+    weights, thresholds = toxicity.fit_cumulative(
+        rows, values, grades, 1, balanced=False, penalty=0
+    )
     assert weights[0] == pytest.approx(2, abs=0.25)
     assert thresholds == pytest.approx([-1, 1, 3], abs=0.35)
