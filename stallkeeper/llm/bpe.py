@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # Bounds for each Python worker; what does not fit is worked out again.
-MAX_PAIRS = 250_000
-MAX_CACHED = 80_000
+MAX_PAIRS = 150_000
+MAX_CACHED = 60_000
 NONE = -1
 
 
@@ -149,6 +149,10 @@ class _Recent(dict):
         self[key] = found
         return found
 
+    def forget(self) -> None:
+        self._before = {}
+        self.clear()
+
 
 class Encoder:
     """Whole texts to ids, each as four bytes, the lowest first."""
@@ -159,8 +163,8 @@ class Encoder:
         # Under this pattern a space after any other character than white space begins a piece.
         self._cut_at_spaces = pattern == PATTERN
         self._other_space = regex.compile(r"\s ").search
-        self._of_piece = _Recent(self._encode_piece).__getitem__
-        self._of_word = _Recent(lambda word: self._encode(f" {word}")).__getitem__
+        self._recent = _Recent(self._encode_piece), _Recent(lambda word: self._encode(f" {word}"))
+        self._of_piece, self._of_word = (recent.__getitem__ for recent in self._recent)
 
     def __call__(self, text: str) -> bytes:
         if not self._cut_at_spaces or self._other_space(text):
@@ -168,6 +172,11 @@ class Encoder:
         first, *rest = text.split(" ")
         return self._encode(first) + b"".join(map(self._of_word, rest))
 
+    def forget(self) -> None:
+        """Lets the memory go that earlier texts took."""
+        for recent in self._recent:
+            recent.forget()
+
     def _encode(self, text: str) -> bytes:
         return b"".join(map(self._of_piece, self._pieces(text)))
 
@@ -201,6 +210,16 @@ def _decoder(content: bytes) -> Decoder:
     return Decoder(read_ranks(content))
 
 
+def _encoded(texts: Iterator[pd.Series], content: bytes, pattern: str) -> Iterator[list[bytes]]:
+    """The ids of each batch; what the worker keeps for its next task is the vocabulary alone."""
+    encoder = _encoder(content, pattern)
+    try:
+        for batch in texts:
+            yield [encoder(text or "") for text in batch]
+    finally:
+        encoder.forget()
+
+
 class ByteBpe:
     """Column functions for the vocabulary in a file of lines `base64(token) rank`.
 
@@ -213,9 +232,8 @@ class ByteBpe:
 
         @F.pandas_udf("binary")
         def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encoder = _encoder(content.value, pattern)
-            for batch in texts:
-                yield pd.Series([encoder(text or "") for text in batch], dtype=object)
+            for ids in _encoded(texts, content.value, pattern):
+                yield pd.Series(ids, dtype=object)
 
         @F.pandas_udf("binary")
         def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -223,7 +241,13 @@ class ByteBpe:
             for batch in ids:
                 yield pd.Series([decoder(x or b"") for x in batch], dtype=object)
 
-        self._encode, self._decode = encode, decode
+        @F.pandas_udf("ids binary, decoded binary")
+        def round_trip(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            decoder = _decoder(content.value)
+            for ids in _encoded(texts, content.value, pattern):
+                yield pd.DataFrame({"ids": ids, "decoded": list(map(decoder, ids))}, dtype=object)
+
+        self._encode, self._decode, self._round_trip = encode, decode, round_trip
 
     def encode(self, text: Column) -> Column:
         """Ids as little-endian unsigned 32-bit integers; none for a null or empty text."""
@@ -234,6 +258,11 @@ class ByteBpe:
         return self._decode(ids)
 
 
+    def round_trip(self, text: Column) -> Column:
+        """Both at once: a struct of `ids` and of the bytes they are `decoded` to."""
+        return self._round_trip(text)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids and the decoded bytes of every document, a row for each row.
 
@@ -242,10 +271,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = PATTERN) -> Data
     and bounded caches.
     """
     bpe = ByteBpe(docs.sparkSession, path, pattern)
-    ids = docs.select("doc_id", bpe.encode(F.col("text")).alias("ids"))
-    return ids.select(
+    found = docs.select("doc_id", bpe.round_trip(F.col("text")).alias("_found"))
+    return found.select(
         "doc_id",
-        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-        "ids",
-        bpe.decode(F.col("ids")).alias("decoded"),
+        (F.octet_length("_found.ids") / 4).cast("bigint").alias("n_tokens"),
+        "_found.ids",
+        "_found.decoded",
     )
