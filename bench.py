@@ -1,8 +1,9 @@
 """Times the pipeline build and every query; prints one JSON line.
 
 Each query first runs once on the smallest test data, untimed, so that the numbers are
-about the queries and not about starting and compiling. Tables are timed as `build_*`
-when they are written; queries are timed reading what was written, the better of two runs.
+about the queries and not about starting and compiling. Tables are timed as `stage_*`
+and `build_*` when they are written; queries are timed reading what was written, the better of
+two runs.
 """
 
 import json
@@ -37,6 +38,8 @@ def main() -> None:
             run(query(spark, WARM_UP_DIR))
     seconds = {}
     warehouse = testdata_warehouse(spark, SF_DIR)
+    for name in warehouse.staging:
+        seconds[f"stage_{name}"] = timed(lambda: warehouse.staging[name])
     for name in warehouse.stored:
         seconds[f"build_{name}"] = timed(lambda: warehouse[name])
     for name, query in queries.items():
