@@ -2,9 +2,10 @@
 
 import hashlib
 import json
-import tempfile
 import threading
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from functools import cache
+from tempfile import TemporaryDirectory
 from urllib.parse import urlparse
 from uuid import uuid4
 
@@ -118,6 +119,12 @@ class Generations:
         return TableStore(self.spark, f"{self.folder}/{about.pop('load')}"), about
 
 
+@cache
+def _local_folder() -> TemporaryDirectory:
+    """One for the process, removed at its end."""
+    return TemporaryDirectory(prefix="stallkeeper-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one named by spark.checkpoint.dir."""
     configured = (
@@ -127,7 +134,7 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     master = spark.sparkContext.master
     if master == "local" or master.startswith("local["):
-        return tempfile.mkdtemp(prefix="stallkeeper-")
+        return _local_folder().name
     # Managed tables need the warehouse folder to be shared, too, but its default is not.
     folder = spark.conf.get("spark.sql.warehouse.dir")
     if urlparse(folder).scheme == "file":
