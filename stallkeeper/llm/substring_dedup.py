@@ -1,9 +1,12 @@
 """Passages that documents share, by content-defined chunking.
 
-A gear hash rolls over the bytes of a text; a place where it falls below a threshold is a cut. That
-depends on the bytes just before the place alone, so an insertion moves cuts but makes or removes
-none beyond it. A chunk goes from each cut to the first cut at least `LEAST_BYTES` on. Chunks of
-equal digest in different documents are duplicates, and adjoining ones make up a span.
+Chunks begin at word starts chosen by their content: of each `WINDOW_WORDS` word starts in a row, the
+one with the smallest hash of the bytes that follow. A chunk ends after `CHUNK_WORDS` words or at the
+first cut of a gear hash at least `LEAST_BYTES` on, whichever comes first. All of that depends on the
+bytes nearby alone, so a passage of `WINDOW_WORDS + CHUNK_WORDS - 1` whole words holds a whole chunk
+in every document it stands in, however short the words. Where there are no blanks, chunks begin at
+the cuts. Chunks of equal digest in different documents are duplicates, and adjoining ones make up
+a span.
 """
 
 from collections.abc import Iterator
@@ -20,11 +23,15 @@ from stallkeeper.llm.scratch import document_key, given_id, written
 # One place in so many is a cut; the hash of a place depends on the 16 bytes up to it.
 CUT_EVERY = 20
 WINDOW = 16
-# A shared passage is found wherever a chunk lies in it. With one of 290 bytes (over 50 words),
-# that fails about once in 200; chance repeats are shorter than any chunk.
+# A chunk goes to the first cut so many bytes on, or the end of its last word if that comes first.
+# With 8 word starts to choose from, 49 words hold a chunk: 51 without the two at the borders, which
+# may have other letters or marks around them.
 LEAST_BYTES = 112
+CHUNK_WORDS = 42
+WINDOW_WORDS = 8
 # Without a cut for so long, as in a word said again and again, there is one by count.
 MOST_GAP = 128
+MOST_BYTES = LEAST_BYTES + MOST_GAP
 # Start and length of a chunk in one number.
 _LENGTH_BITS = 20
 _BLOCK = 1 << 20
@@ -32,6 +39,7 @@ _BLOCK = 1 << 20
 # The numbers of the gear hash: any fixed ones will do that look random.
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 16, 256, dtype=np.uint16)
 _BELOW = (1 << 16) // CUT_EVERY
+_IS_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def _gear(raw: np.ndarray) -> np.ndarray:
@@ -45,32 +53,66 @@ def _gear(raw: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(raw: bytes) -> np.ndarray:
-    """Places (byte offsets) where chunks may begin and end, without the ends of the text."""
-    data = np.frombuffer(raw, np.uint8)
-    found = []
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """The gear hash of each place: of the up to `WINDOW` bytes that end with it."""
+    found = [np.empty(0, np.uint16)]
     for at in range(0, len(data), _BLOCK):
         before = min(at, WINDOW - 1)
-        h = _gear(data[at - before : at + _BLOCK])[before:]
-        found.append(np.flatnonzero(h < _BELOW) + at + 1)
-    places = np.concatenate([[0], *found])
-    places = places[(places > WINDOW) | (places == 0)]
-    gaps = np.diff(np.append(places, len(data)))
+        found.append(_gear(data[at - before : at + _BLOCK])[before:])
+    return np.concatenate(found)
+
+
+def _gear_cuts(h: np.ndarray) -> np.ndarray:
+    places = np.flatnonzero(h < _BELOW) + 1
+    return places[places > WINDOW]
+
+
+def _spaced(places: np.ndarray, end: int, most: int) -> np.ndarray:
+    """The places, with others by count where there is none for more than `most` bytes."""
+    gaps = np.diff(np.append(places, end))
     extra = [
-        np.arange(start + MOST_GAP, start + gap, MOST_GAP)
-        for start, gap in zip(places[gaps > MOST_GAP], gaps[gaps > MOST_GAP], strict=True)
+        np.arange(start + most, start + gap, most)
+        for start, gap in zip(places[gaps > most], gaps[gaps > most], strict=True)
     ]
     return np.unique(np.concatenate([places, *extra]))
 
 
+def cuts(raw: bytes) -> np.ndarray:
+    """Places (byte offsets) where the gear hash cuts, and by count where it does not, without the
+    end of the text."""
+    found = _gear_cuts(_hashes(np.frombuffer(raw, np.uint8)))
+    return _spaced(np.concatenate([[0], found]), len(raw), MOST_GAP)
+
+
+def _chosen_words(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Of each `WINDOW_WORDS` word starts in a row, the one with the smallest hash of the bytes from
+    it on, the first of equal ones."""
+    words = words[words + WINDOW <= len(h)]
+    if len(words) < WINDOW_WORDS:
+        return words
+    windows = np.lib.stride_tricks.sliding_window_view(h[words + WINDOW - 1], WINDOW_WORDS)
+    return words[np.unique(windows.argmin(axis=1) + np.arange(len(windows)))]
+
+
 def chunks(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every chunk. Starts are cuts and the beginning; the end of the text ends
-    the last ones."""
-    starts = cuts(raw)
-    places = np.append(starts[1:], len(raw))
-    after = np.searchsorted(places, starts + LEAST_BYTES)
-    starts, after = starts[after < len(places)], after[after < len(places)]
-    return starts, places[after]
+    """Start and end of every chunk. The beginning of the text is a start, and its end a cut."""
+    data = np.frombuffer(raw, np.uint8)
+    h, blank = _hashes(data), _IS_BLANK[data]
+    borders = np.diff(np.concatenate([[True], blank, [True]]).view(np.int8))
+    words, word_ends = np.flatnonzero(borders < 0), np.flatnonzero(borders > 0)
+    found = _gear_cuts(h)
+    blanks = np.concatenate([[0], np.cumsum(blank)])
+    inside = found[blanks[found] == blanks[found - WINDOW]]  # of a word longer than the window
+    starts = np.unique(np.concatenate([[0], _chosen_words(h, words), inside]))
+    starts = _spaced(starts, len(raw), LEAST_BYTES)  # so that chunks adjoin
+    none = len(raw) + 1
+    places = np.concatenate([found[found < len(raw)], [len(raw), none]])
+    by_bytes = places[np.minimum(np.searchsorted(places, starts + LEAST_BYTES), len(places) - 1)]
+    by_count = np.where(starts + MOST_BYTES <= len(raw), starts + MOST_BYTES, none)
+    last_word = np.searchsorted(word_ends, starts, "right") + CHUNK_WORDS - 1
+    by_words = np.append(word_ends, none)[np.minimum(last_word, len(word_ends))]
+    ends = np.minimum(np.minimum(by_bytes, by_count), by_words)
+    return starts[ends < none], ends[ends < none]
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +123,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, places, digests = [], [], []
         for row, text in enumerate(texts):
             raw = (text.as_py() or "").encode()
-            if len(raw) < LEAST_BYTES:
+            if len(raw) < 2 * CHUNK_WORDS - 1:  # so many words have
                 continue
             a, b = chunks(raw)
             owner.append(np.full(len(a), row, np.int64))

@@ -119,6 +119,39 @@ def test_finds_planted_passages_and_nothing_else(spark, partitions):
         assert not row.removed or row.doc_id > min(holders)
 
 
+@pytest.mark.parametrize("letters", [1, 2, 3, 4, 5, 9])
+def test_every_passage_of_51_words_holds_a_chunk(letters):
+    """Between other words, quotes, line ends, and the ends of the text."""
+    r = random.Random(letters)
+
+    def words(count, length):
+        return " ".join("".join(r.choices("abcdefghij", k=length)) for _ in range(count))
+
+    def digests(text):
+        raw = text.encode()
+        starts, ends = substring_dedup.chunks(raw)
+        return {raw[a:b] for a, b in zip(starts, ends, strict=True)}
+
+    for _ in range(300):
+        passage = words(51, letters)
+        before, after = words(r.randrange(1, 60), 5), words(r.randrange(1, 60), 5)
+        whole = digests(f'{before} "{passage}" {after}')
+        for other in (passage, f"{after}\n{passage}", f"({passage}), {before}"):
+            assert whole & digests(other)
+
+
+def test_finds_passages_of_51_short_words(spark):
+    r = random.Random(12)
+    rows, wanted = [], set()
+    for i in range(0, 120, 2):
+        passage = " ".join("".join(r.choices("abcdefghij", k=2 + i % 3)) for _ in range(51))
+        rows += [(i + j, f"{sentence(r, 30)} {passage} {sentence(r, 9)}", "en", "s", 0) for j in (0, 1)]
+        wanted |= {i, i + 1}
+    rows.append((999, sentence(r, 200), "en", "s", 0))
+    spans = substring_dedup.shared_passages(documents(spark, rows)).collect()
+    assert {row.doc_id for row in spans} == wanted
+
+
 def test_cuts_resist_insertions():
     text = sentence(random.Random(1), 500).encode()
     before = set(substring_dedup.cuts(text).tolist())
