@@ -1,10 +1,11 @@
 """Licence notices found by a positional index of rare words.
 
-Templates are word sequences with the key phrases that must stand in them. Each phrase is indexed
-by its rarest word, as counted over all documents, with the word's place in it. A document's
-occurrences of indexed words are its only candidates: each gives the place where the phrase would
-begin, its other words are looked for at their relative places, and a template is given a score by
-the weight of the words that stand where it has them. Everything is built-in functions.
+Templates are word sequences with the key phrases that must stand in them. Short ones are found by
+their key phrase: it is indexed by its rarest word, as counted over all documents, and its other
+words are looked for at their relative places. Whole notices are found by the rarest of their words
+that a document has: each occurrence says where the notice would begin, and where several agree, the
+notice is accepted by the weight of its words that stand where it has them, and by its phrases.
+Everything is built-in functions.
 """
 
 from dataclasses import dataclass
@@ -85,11 +86,109 @@ TEMPLATES = (
     Template("cc0", "released under the creative commons cc0 license", "creative commons cc0"),
 )
 
+# Notices in their own words: of a document's rarest words of a notice so many are looked up, so
+# many must agree on where it begins, and its words that stand there, give or take a few places for
+# words put in or left out, must have so much of its weight.
+ANCHORS = 6
+AGREEING = 2
+SLIP = 4
+LEAST_WEIGHT = 0.6
+
+
+@dataclass(frozen=True)
+class Notice:
+    """The text that works carry, and short phrases that tell it from notices like it."""
+
+    label: str
+    text: str
+    phrases: tuple[str, ...]
+
+    @property
+    def words(self) -> list[str]:
+        return self.text.split()
+
+    def phrase_at(self, phrase: list[str]) -> int:
+        starts = range(len(self.words) - len(phrase) + 1)
+        return next(i for i in starts if self.words[i : i + len(phrase)] == phrase)
+
+
+_GPL = """this program is free software you can redistribute it and or modify it under the terms of
+the gnu general public license as published by the free software foundation either version {} of the
+license or at your option any later version"""
+_CC_BY_NC = "this work is licensed under a creative commons attribution noncommercial {} license"
+
+NOTICES = (
+    Notice(
+        "mit",
+        """permission is hereby granted free of charge to any person obtaining a copy of this
+        software and associated documentation files the software to deal in the software without
+        restriction including without limitation the rights to use copy modify merge publish
+        distribute sublicense and or sell copies of the software and to permit persons to whom the
+        software is furnished to do so subject to the following conditions the above copyright
+        notice and this permission notice shall be included in all copies or substantial portions
+        of the software""",
+        ("permission is hereby granted free of charge", "subject to the following conditions"),
+    ),
+    Notice(
+        "apache-2",
+        """licensed under the apache license version 2 0 the license you may not use this file
+        except in compliance with the license you may obtain a copy of the license at http www
+        apache org licenses license 2 0 unless required by applicable law or agreed to in writing
+        software distributed under the license is distributed on an as is basis without warranties
+        or conditions of any kind either express or implied""",
+        ("apache license", "2 0 the license"),
+    ),
+    Notice(
+        "cc-by-nc",
+        _CC_BY_NC.format("4 0 international"),
+        ("attribution noncommercial 4 0 international",),
+    ),
+    Notice(
+        "cc-by-nc",
+        _CC_BY_NC.format("3 0 unported"),
+        ("attribution noncommercial 3 0 unported",),
+    ),
+    *[
+        Notice(
+            f"gpl-{version}",
+            _GPL.format(version),
+            (
+                "gnu general public license as published by the free software foundation",
+                f"version {version}",
+            ),
+        )
+        for version in (2, 3)
+    ],
+    Notice(
+        "mpl-2",
+        """this source code form is subject to the terms of the mozilla public license v 2 0 if a
+        copy of the mpl was not distributed with this file you can obtain one at""",
+        ("mozilla public license", "2 0 if a copy of the mpl"),
+    ),
+    Notice(
+        "bsd",
+        """redistribution and use in source and binary forms with or without modification are
+        permitted provided that the following conditions are met redistributions of source code
+        must retain the above copyright notice this list of conditions and the following disclaimer
+        redistributions in binary form must reproduce the above copyright notice this list of
+        conditions and the following disclaimer in the documentation and or other materials
+        provided with the distribution""",
+        ("in source and binary forms", "redistributions of source code must retain"),
+    ),
+    Notice(
+        "cc0",
+        "has waived all copyright and related or neighboring rights to this work",
+        ("waived all copyright and related or neighboring rights",),
+    ),
+)
+
 
 _FOUND = "array<struct<label: string, start: int, base: boolean, score: double>>"
 
 
-def document_counts(docs: DataFrame, templates: tuple[Template, ...]) -> tuple[int, dict]:
+def document_counts(
+    docs: DataFrame, templates: tuple[Template | Notice, ...]
+) -> tuple[int, dict]:
     """How many documents there are, and how many have each word of the templates: as many
     numbers as words, counted over all documents."""
     vocabulary = sorted({word for t in templates for word in t.words})
@@ -112,7 +211,7 @@ def _stands_at(words: Column, start: Column, sought: list[str]) -> Column:
     return F.coalesce(reduce(Column.__and__, at), F.lit(False))
 
 
-def _weights(template: Template, total: int, counts: dict[str, int]) -> list[float]:
+def _weights(template: Template | Notice, total: int, counts: dict[str, int]) -> list[float]:
     raw = [1 + log((1 + total) / (1 + counts[word])) for word in template.words]
     return [value / sum(raw) for value in raw]
 
@@ -152,28 +251,131 @@ def _found(words: Column, template: Template, total: int, counts: dict[str, int]
     )
 
 
+def _noticed(words: Column, notice: Notice, total: int, counts: dict[str, int]) -> Column:
+    """Structs as of `_found`, for each place where the whole notice stands; `start` is that of its
+    first phrase."""
+    sought = notice.words
+    by_rarity = sorted(set(sought), key=lambda word: (counts[word], sought.index(word)))
+    index = F.array(
+        *[
+            F.struct(
+                F.lit(word).alias("word"),
+                F.array(*[F.lit(i) for i, w in enumerate(sought) if w == word]).alias("at"),
+            )
+            for word in by_rarity
+        ]
+    )
+    weighted = F.array(
+        *[
+            F.struct(F.lit(i).alias("at"), F.lit(w).alias("word"), F.lit(v).alias("weight"))
+            for i, (w, v) in enumerate(zip(sought, _weights(notice, total, counts), strict=True))
+        ]
+    )
+
+    def postings(anchor: Column) -> Column:
+        """Where the notice would begin by the occurrences of one word."""
+        places = F.filter(
+            F.transform(words, lambda w, i: F.when(w == anchor["word"], i)),
+            lambda i: i.isNotNull(),
+        )
+        starts = F.transform(places, lambda i: F.transform(anchor["at"], lambda at: i - at))
+        return F.array_distinct(F.flatten(starts))
+
+    present = F.filter(index, lambda anchor: F.array_contains(words, anchor["word"]))
+    agreed = let(
+        F.array_sort(F.flatten(F.transform(F.slice(present, 1, ANCHORS), postings))),
+        lambda p: F.array_distinct(
+            F.filter(p, lambda start, i: F.get(p, i + (AGREEING - 1)) == start)
+        ),
+    )
+
+    def place(start: Column, phrase: list[str]) -> Column:
+        at = notice.phrase_at(phrase)
+        slips = sorted(range(-SLIP, SLIP + 1), key=abs)
+        places = [start + (at + slip) for slip in slips]
+        return F.coalesce(*[F.when(_stands_at(words, p, phrase), p) for p in places])
+
+    def weight(start: Column) -> Column:
+        def stands(t: Column) -> Column:
+            first = start + t["at"] - SLIP
+            around = F.slice(words, F.greatest(first + 1, F.lit(1)), 2 * SLIP + 1)
+            return (first + 2 * SLIP >= 0) & F.array_contains(around, t["word"])
+
+        return F.aggregate(
+            weighted,
+            F.lit(0.0),
+            lambda sum_, t: sum_ + F.when(stands(t), t["weight"]).otherwise(F.lit(0.0)),
+            lambda sum_: F.least(sum_, F.lit(1.0)),
+        )
+
+    def judged(start: Column) -> Column:
+        places = [place(start, phrase.split()) for phrase in notice.phrases]
+        whole = reduce(Column.__and__, [p.isNotNull() for p in places])
+        return F.when(whole, F.struct(places[0].alias("start"), weight(start).alias("score")))
+
+    accepted = F.filter(
+        F.transform(agreed, judged), lambda f: f.isNotNull() & (f["score"] >= LEAST_WEIGHT)
+    )
+    # Words put in or left out give one notice several beginnings; the best one counts.
+    best = let(
+        F.array_sort(accepted),
+        lambda found: F.filter(
+            found, lambda f, i: F.coalesce(F.get(found, i + 1)["start"] != f["start"], F.lit(True))
+        ),
+    )
+    return F.transform(
+        best,
+        lambda f: F.struct(
+            F.lit(notice.label).alias("label"),
+            f["start"].alias("start"),
+            F.lit(False).alias("base"),
+            f["score"].alias("score"),
+        ),
+    )
+
+
 def scan(
-    docs: DataFrame, keep: list[str], templates: tuple[Template, ...] = TEMPLATES
+    docs: DataFrame,
+    keep: list[str],
+    templates: tuple[Template, ...] = TEMPLATES,
+    notices: tuple[Notice, ...] = NOTICES,
 ) -> DataFrame:
     """The columns `keep` of every row, `n_words`, and `found`: an array of structs of `label`,
-    `start` (word, from 0), `base` and `score` (0 to 1), a struct for each place of a key phrase.
+    `start` (word, from 0), `base` and `score` (0 to 1), a struct for each place of a key phrase
+    and for each whole notice.
 
     Null and empty texts have no words and nothing found. Rows are judged one by one, so repeated
     ones and null ids change nothing; other columns may have any name.
     """
-    total, counts = document_counts(docs, templates)
+    total, counts = document_counts(docs, (*templates, *notices))
     anchors = sorted({t.key[_rarest(t.key, counts)] for t in templates})
+    # A notice has all of its phrases, so the rarest words of each.
+    needed = [sorted({p[_rarest(p, counts)] for p in map(str.split, n.phrases)}) for n in notices]
     # Lower case of all letters keeps what lower case of A-Z makes of them, and is quick.
     quick = F.lower(F.coalesce("text", F.lit("")))
-    candidate = reduce(Column.__or__, [F.contains(quick, F.lit(a)) for a in anchors])
+    none = F.from_json(F.lit("[]"), _FOUND)
+
+    def candidate(q: Column) -> Column:
+        whole = [reduce(Column.__and__, [F.contains(q, F.lit(w)) for w in n]) for n in needed]
+        return reduce(Column.__or__, [*[F.contains(q, F.lit(a)) for a in anchors], *whole])
+
+    def noticed(w: Column, notice: Notice, words: list[str]) -> Column:
+        has_all = reduce(Column.__and__, [F.array_contains(w, F.lit(x)) for x in words])
+        return F.when(has_all, _noticed(w, notice, total, counts)).otherwise(none)
+
     found = let(
         lower_words(F.col("text")),
-        lambda w: F.flatten(F.array(*[_found(w, t, total, counts) for t in templates])),
+        lambda w: F.flatten(
+            F.array(
+                *[_found(w, t, total, counts) for t in templates],
+                *[noticed(w, n, x) for n, x in zip(notices, needed, strict=True)],
+            )
+        ),
     )
     return docs.select(
         *keep,
         count_words(F.col("text")).alias("n_words"),
-        F.when(candidate, found).otherwise(F.from_json(F.lit("[]"), _FOUND)).alias("found"),
+        F.when(let(quick, candidate), found).otherwise(none).alias("found"),
     )
 
 

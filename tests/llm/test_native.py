@@ -154,6 +154,75 @@ def test_whole_notices_score_higher(spark):
     assert 0 < score[2] < 0.9
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction, including without limitation the rights
+# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+# copies of the Software, and to permit persons to whom the Software is
+# furnished to do so, subject to the following conditions:
+#
+# The above copyright notice and this permission notice shall be included in all
+# copies or substantial portions of the Software."""
+MIT_0 = MIT[: MIT.index(", subject")] + """.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
+NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE."""
+GPL = """This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a
+copy of the software and accompanying documentation covered by this license (the "Software") to
+use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative
+works of the Software, and to permit third-parties to whom the Software is furnished to do so, all
+subject to the following:"""
+BSD = """Redistribution and use of this software in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided with
+the distribution."""
+CC = "This work is licensed under a Creative Commons Attribution-NonCommercial{} 4.0 International"
+
+
+def test_real_notices(spark):
+    """Whole notices without a short key phrase, with words put in, changed or missing; notices
+    that begin alike are told apart."""
+    cases = [
+        (MIT, "mit"),
+        (MIT.replace("of this software", "of this fine software"), "mit"),
+        (MIT.replace("sublicense, and/or", "or"), "mit"),
+        (MIT[MIT.index("free of") :], ""),
+        (MIT_0, ""),
+        (BOOST, ""),
+        (GPL, "gpl-3"),
+        (GPL.replace("version 3", "version 2"), "gpl-2"),
+        (GPL.replace("either version 3 of the License, or", "version 3."), "gpl-3"),
+        (GPL.replace("General", "Lesser General"), "lgpl"),
+        (BSD, "bsd"),
+        (CC.format(""), "cc-by-nc"),
+        (CC.format("-ShareAlike"), ""),
+        (f"{MIT}\n{GPL}\n{MIT}", "gpl-3,mit"),
+        ("permission is hereby granted free of charge subject to the following conditions", ""),
+    ]
+    r = random.Random(14)
+    rows = [
+        (i, f"{sentence(r, i % 7 * 9)} {text} {sentence(r, 20)}", "en", "s", 0)
+        for i, (text, _) in enumerate(cases)
+    ]
+    rows += [(100 + i, sentence(r, 50), "en", "s", 0) for i in range(50)]
+    found = licences.scan(documents(spark, rows), ["doc_id"])
+    got = {r.doc_id: r for r in licences.labelled(found, ["doc_id"]).collect()}
+    assert [got[i].labels for i in range(len(cases))] == [label for _, label in cases]
+    assert got[0].score == pytest.approx(1.0)
+    assert licences.LEAST_WEIGHT <= got[2].score < 1
+    assert not any(got[100 + i].labels for i in range(50))
+    both = {r.doc_id: [(f.label, f.start) for f in r.found] for r in found.collect()}[13]
+    begin = words(rows[13][1])
+    firsts = [i for i, w in enumerate(begin) if w == "permission" and begin[i + 1] == "is"]
+    assert sorted(s for label, s in both if label == "mit") == firsts
+
+
 def test_licences_of_an_empty_table(spark):
     assert licences.scan(documents(spark, []), ["doc_id"]).collect() == []
 
