@@ -18,8 +18,9 @@ MOST_REPEATED = (30, 100)
 WINDOW_WORDS = 8
 # Adaptive rules: beyond the quartile by so many interquartile ranges. A range counts at least the
 # measure's resolution, so that a group of nearly equal documents keeps ordinary ones.
+# That of repeats leaves room below the base rule, which takes what is over 0.30.
 RANGES = 3.0
-RESOLUTION = {"word_length": 0.5, "symbols": 0.05, "dup_lines": 0.1, "repeats": 0.1}
+RESOLUTION = {"word_length": 0.5, "symbols": 0.05, "dup_lines": 0.1, "repeats": 0.03}
 # Both sides for the length of words, only the upper one for the others.
 TWO_SIDED = ("word_length",)
 LEAST_GROUP = 100

@@ -84,6 +84,23 @@ def test_thresholds_follow_language_and_source(spark):
     assert got[402].reason == "word_length"
 
 
+def test_repeats_far_out_in_their_group(spark):
+    """A quarter of repeated words is under the base rule, but far out where none repeat."""
+    r = random.Random(15)
+
+    def text(repeated):
+        own = " ".join(f"{r.choice('abcd')}{r.randrange(10**5, 10**6)}" for _ in range(72))
+        again = " ".join(own.split()[:8])
+        return f"{own} {again}" if repeated else own
+
+    rows = [(i, text(False), "en", "plain", 0) for i in range(150)]
+    rows += [(200, text(True), "en", "plain", 0)]
+    rows += [(300 + i, text(i % 2), "en", "mixed", 0) for i in range(150)]
+    got = {r.doc_id: r for r in quality.judge(documents(spark, rows), ["doc_id"]).collect()}
+    assert {(i, row.reason) for i, row in got.items() if not row.kept} == {(200, "repeats")}
+    assert 0.15 < got[200].n_repeat_words / got[200].n_words < 0.3
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality.judge(documents(spark, []), ["doc_id"]).collect() == []
     few = quality.judge(documents(spark, [(1, None, None, None, None)]), ["doc_id"]).collect()
