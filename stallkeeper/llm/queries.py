@@ -10,14 +10,17 @@ from stallkeeper.llm import (
     bpe,
     decontaminate,
     language_id,
+    lexical_search,
     licences,
     line_dedup,
+    neighbours,
     quality,
     sharding,
     simhash,
     sql,
     substring_dedup,
     toxicity,
+    vector_codes,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +117,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.encode(_table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_errors(codes).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256"
+    )
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = neighbours.build(vectors)
+    return neighbours.search(index, vectors.where("vec_id % 100 = 0"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(_documents(spark, sf_dir))
+    return lexical_search.search(index, _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_sharding": op2_sharding,
@@ -125,9 +146,14 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_neighbours": op12_neighbours,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_line_dedup": sql.LINE_DEDUP,
     "op10_decontamination": sql.DECONTAMINATION,
+    "op11_vector_codes": sql.VECTOR_CODES,
+    "op13_lexical_search": sql.LEXICAL_SEARCH,
 }

@@ -11,15 +11,24 @@ from stallkeeper.sources.store import delete_at_exit, shared_folder
 NO_ID = -(1 << 63)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+# For tables whose rows are megabytes: Spark reads up to 4,096 rows of a row group at once.
+LARGE_ROWS = {
+    "parquet.block.size": 4 << 20,
+    "parquet.page.size.row.check.min": 1,
+    "parquet.page.size.row.check.max": 8,
+}
+
+
+def written(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """The rows of `df`, written once and read back, so that what follows neither computes
     them again nor depends on the executors that did. The table goes when the application ends.
+    `options` go to the Parquet writer.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}"
     delete_at_exit(spark, folder)
     path = f"{folder}/{name}-{uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
