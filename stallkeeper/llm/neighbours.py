@@ -302,6 +302,21 @@ def _nearest(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, near: np.n
     return found[new][: k + 1], scores[new][: k + 1]
 
 
+def _merged(columns: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of rows found in several lists, each query's k + 1 nearest, and each of them once."""
+    query, which, ids, scores = columns
+    order = np.lexsort((ids, scores, which, query))
+    query, which, ids, scores = (c[order] for c in columns)
+    same = np.zeros(len(ids), bool)
+    same[1:] = (query[1:] == query[:-1]) & (which[1:] == which[:-1])
+    again = same.copy()
+    again[1:] &= (ids[1:] == ids[:-1]) & (scores[1:] == scores[:-1])
+    query, which, ids, scores, same = (c[~again] for c in (query, which, ids, scores, same))
+    starts = np.flatnonzero(~same)
+    place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
+    return [c[place <= k] for c in (query, which, ids, scores)]
+
+
 def search(
     index: Index,
     queries: DataFrame,
@@ -331,22 +346,19 @@ def search(
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for i in range(len(batch)):
                 row = {n: batch.column(n)[i].values.to_numpy() for n in batch.schema.names}
                 listed, asked = row["v"].reshape(-1, size), row["q"].reshape(-1, size)
                 near = _distances(asked, listed)
-                found = [
-                    _nearest(row["vec_id"], listed, q, near[j], k) for j, q in enumerate(asked)
-                ]
-                lengths = [len(ids) for ids, _ in found]
+                for j, q in enumerate(asked):
+                    ids, scores = _nearest(row["vec_id"], listed, q, near[j], k)
+                    query = np.full((2, len(ids)), [[row["query_id"][j]], [row["which"][j]]])
+                    found.append((*query, ids, scores))
+            if found:
+                columns = _merged([np.concatenate(c) for c in zip(*found, strict=True)], k)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(row["query_id"], lengths)),
-                        pa.array(np.repeat(row["which"], lengths)),
-                        pa.array(np.concatenate([ids for ids, _ in found])),
-                        pa.array(np.concatenate([scores for _, scores in found])),
-                    ],
-                    names=["query_id", "which", "vec_id", "score"],
+                    [pa.array(c) for c in columns], names=["query_id", "which", "vec_id", "score"]
                 )
 
     met = index.blocks.join(visits, "list").select("query_id", "which", "q", "vec_id", "v")
