@@ -39,43 +39,55 @@ BLOCK_POSTINGS = 250_000
 FIRST_VISITS = 16
 # Items are searched in passes of at most so many different (item, term) pairs, or of one item.
 PASS_TERMS = 200_000
+# Strata of more than one block are broadcast up to so many, beyond that they are joined by shuffle.
+MOST_LARGE_STRATA = 100_000
+_COMPACT = {"compression": "zstd"}
 # Sums of whole numbers below this are exact as doubles.
 _EXACT = float(1 << 53)
 
 
 def _terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """`key`, `n` (terms with repeats), `terms` and `tfs` for each row that has a term."""
+    """`key`, `n` (terms with repeats), `terms` and `tfs` for each row that has a term. Terms are
+    one text, with a blank after each."""
     kind = df.schema[key].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.cast(batch.column(1), pa.binary())
-            keep, ns, ends, terms, tfs = [], [], [0], [], []
+            keep, ns, terms, ends, tfs = [], [], [], [0], []
             for i in range(len(texts)):
                 words = (texts[i].as_py() or b"").translate(_TERM_BYTES).split()
                 if words:
                     counted = Counter(words)
                     keep.append(i)
                     ns.append(len(words))
-                    terms.extend(counted)
+                    terms.append(b" ".join(counted) + b" ")
                     tfs.extend(counted.values())
-                    ends.append(len(terms))
-            offsets = pa.array(ends, pa.int32())
+                    ends.append(len(tfs))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(keep, pa.int64())),
                     pa.array(ns, pa.int64()),
-                    pa.ListArray.from_arrays(offsets, pa.array(terms, pa.binary())),
-                    pa.ListArray.from_arrays(offsets, pa.array(tfs, pa.int32())),
+                    pa.array(terms, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tfs, pa.int32())),
                 ],
                 names=[key, "n", "terms", "tfs"],
             )
 
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(
-        count, f"`{key}` {kind}, n bigint, terms array<binary>, tfs array<int>"
+        count, f"`{key}` {kind}, n bigint, terms binary, tfs array<int>"
     )
 
 
+def _split(terms: bytes) -> pa.Array:
+    """The single terms, each with its blank, without a copy."""
+    data = np.frombuffer(terms, np.uint8)
+    ends = np.flatnonzero(data == ord(" ")) + 1
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.binary(), len(ends), buffers)
+
+
 @dataclass
 class Index:
     """`blocks` has one row for each block: `m`, `block`, the block's `doc_ids`, its `terms`, the
@@ -88,11 +100,10 @@ class Index:
 def _pack(table: pa.Table) -> pa.Table:
     """Documents of one block, turned into postings."""
     table = table.combine_chunks()
-    terms = table.column("terms").chunk(0)
-    lengths = np.diff(terms.offsets.to_numpy())
-    slots = np.repeat(np.arange(len(terms), dtype=np.int32), lengths)
-    tfs = table.column("tfs").chunk(0).flatten().to_numpy()
-    coded = terms.flatten().dictionary_encode()
+    own_tfs = table.column("tfs").chunk(0)
+    slots = np.repeat(np.arange(len(own_tfs), dtype=np.int32), np.diff(own_tfs.offsets.to_numpy()))
+    tfs = own_tfs.flatten().to_numpy()
+    coded = _split(b"".join(table.column("terms").to_pylist())).dictionary_encode()
     codes = coded.indices.to_numpy()
     order = np.lexsort((-tfs, codes))
     ends = np.cumsum(np.bincount(codes, minlength=len(coded.dictionary))).astype(np.int32)
@@ -105,7 +116,7 @@ def _pack(table: pa.Table) -> pa.Table:
             "m": table.column("m").slice(0, 1),
             "block": table.column("block").slice(0, 1),
             "doc_ids": one(table.column("doc_id").chunk(0)),
-            "terms": one(coded.dictionary),
+            "terms": pa.array([b"".join(coded.dictionary.to_pylist())], pa.binary()),
             "ends": one(pa.array(ends)),
             "slots": one(pa.array(slots[order])),
             "tfs": one(pa.array(tfs[order])),
@@ -119,24 +130,27 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     counted = written(
         _terms(given, "doc_id", "text").withColumn("_row", F.monotonically_increasing_id()),
         "lexical-terms",
+        _COMPACT,
     )
     documents, terms = counted.agg(F.count("n"), F.sum("n")).first()
-    m = F.expr(f"int(25) + cast(75 * cast(n AS decimal(20, 0)) * {documents} div {terms or 1} AS bigint)")
-    strata = counted.groupBy("n").agg(F.sum(F.size("terms")).alias("postings"))
-    strata = strata.groupBy(m.alias("m")).agg(
-        F.collect_list("n").alias("ns"),
-        F.ceil(F.sum("postings") / BLOCK_POSTINGS).cast("int").alias("_blocks"),
+    m = F.expr(f"25 + cast(75 * cast(n AS decimal(20, 0)) * {documents} div {terms or 1} AS bigint)")
+    counted = counted.withColumn("m", m)
+    large = counted.groupBy("m").agg(
+        F.ceil(F.sum(F.size("tfs")) / BLOCK_POSTINGS).cast("int").alias("_blocks")
     )
-    strata = strata.select("m", "_blocks", F.explode("ns").alias("n"))
-    placed = counted.join(strata, "n").select(
-        "m", (F.col("_row") % F.col("_blocks")).cast("int").alias("block"), "doc_id", "terms", "tfs"
+    large = written(large.where("_blocks > 1"), "lexical-strata")
+    if large.count() <= MOST_LARGE_STRATA:
+        large = F.broadcast(large)
+    block = F.coalesce(F.col("_row") % F.col("_blocks"), F.lit(0)).cast("int")
+    placed = counted.join(large, "m", "left").select(
+        "m", block.alias("block"), "doc_id", "terms", "tfs"
     )
     blocks = placed.groupBy("m", "block").applyInArrow(
         _pack,
-        "m bigint, block int, doc_ids array<bigint>, terms array<binary>, ends array<int>, "
+        "m bigint, block int, doc_ids array<bigint>, terms binary, ends array<int>, "
         "slots array<int>, tfs array<int>",
     )
-    return Index(written(blocks, "lexical-index", LARGE_ROWS), documents)
+    return Index(written(blocks, "lexical-index", LARGE_ROWS | _COMPACT), documents)
 
 
 class _Items:
@@ -144,13 +158,12 @@ class _Items:
 
     def __init__(self, rows: list):
         self.ids = [row["item_id"] for row in rows]
-        vocabulary = sorted({term for row in rows for term in row["terms"]})
-        place = {term: i for i, term in enumerate(vocabulary)}
-        self.vocabulary = pa.array([bytes(term) for term in vocabulary], pa.binary())
-        self.terms = np.array([place[t] for row in rows for t in row["terms"]], np.int64)
+        coded = _split(b"".join(bytes(row["terms"]) for row in rows)).dictionary_encode()
+        self.vocabulary = coded.dictionary
+        self.terms = coded.indices.to_numpy().astype(np.int64)
         self.repeats = np.array([q for row in rows for q in row["tfs"]], np.int64)
-        self.starts = np.cumsum([0, *(len(row["terms"]) for row in rows)])
-        self.weights = np.zeros(len(vocabulary), np.int64)
+        self.starts = np.cumsum([0, *(len(row["tfs"]) for row in rows)])
+        self.weights = np.zeros(len(self.vocabulary), np.int64)
 
     def bounds(self, m: int, found: np.ndarray, highest: np.ndarray) -> np.ndarray:
         """For each item, what no document can exceed that has each term `highest` times."""
@@ -228,11 +241,10 @@ class _Block:
 
 def _blocks(batch: pa.RecordBatch, vocabulary: pa.Array) -> Iterator[tuple[_Block, int]]:
     row = {name: batch.column(name) for name in batch.schema.names}
-    terms = row["terms"]
-    offsets = terms.offsets.to_numpy() - terms.offsets[0].as_py()
-    places = pc.index_in(terms.flatten(), value_set=vocabulary).fill_null(-1).to_numpy()
     for i in range(len(batch)):
-        block = _Block(row, i, places[offsets[i] : offsets[i + 1]])
+        terms = _split(row["terms"][i].as_py())
+        places = pc.index_in(terms, value_set=vocabulary).fill_null(-1).to_numpy()
+        block = _Block(row, i, places)
         if len(block.found):
             yield block, row["block"][i].as_py()
 
@@ -365,11 +377,11 @@ def search(
     rows = written(_terms(given.distinct(), "item_id", "text"), "lexical-items")
     results, part, size = [], [], 0
     for row in rows.toLocalIterator():
-        if part and size + len(row["terms"]) > PASS_TERMS:
+        if part and size + len(row["tfs"]) > PASS_TERMS:
             results.append(written(_search(index, part, k), "lexical-found"))
             part, size = [], 0
         part.append(row)
-        size += len(row["terms"])
+        size += len(row["tfs"])
     if part:
         results.append(_search(index, part, k))
     if not results:
