@@ -1,4 +1,8 @@
-"""Raw text staging tables to the typed star schema."""
+"""Raw text staging tables to the typed star schema.
+
+The `traced_*` functions keep what they drop, with the rule that dropped it; the others are the rows
+that stay. `RULES_OF` has the rules of each table in the order in which they are applied.
+"""
 
 from decimal import Decimal
 
@@ -7,7 +11,9 @@ from pyspark.sql import functions as F
 
 from stallkeeper.functions.casts import blank, folded, to_int, to_money, to_timestamp
 from stallkeeper.functions.measures import days_between
-from stallkeeper.operators.dedup import in_order, keep_first
+from stallkeeper.operators.dedup import (
+    COPIES, DUPLICATE, LOST_BY, first_rule, in_order, keep_first, keep_first_traced, kept,
+)
 
 ORDER_COLUMNS = (
     "order_id", "customer_id", "order_status", "purchase_ts", "approved_ts", "delivered_ts",
@@ -16,16 +22,31 @@ ORDER_COLUMNS = (
 ITEM_COLUMNS = (
     "order_id", "item_seq", "product_id", "seller_id", "price", "freight_value", "item_total",
 )
-
-
-def dim_customers(stg: DataFrame) -> DataFrame:
+_TRACE = (LOST_BY, COPIES)
+
+NULL_KEY, BAD_KEY = "key is null", "key does not convert"
+BAD_PRICE, NEGATIVE_PRICE = "price does not convert", "price is negative"
+NO_CUSTOMER, NO_ORDER = "customer is missing", "order is missing"
+NO_PRODUCT, NO_SELLER = "product is missing", "seller is missing"
+RULES_OF = {
+    "dim_customers": (NULL_KEY, DUPLICATE),
+    "dim_products": (NULL_KEY, DUPLICATE),
+    "dim_sellers": (NULL_KEY, DUPLICATE),
+    "fact_orders": (NULL_KEY, DUPLICATE, NO_CUSTOMER),
+    "fact_order_items": (
+        NULL_KEY, BAD_KEY, BAD_PRICE, NEGATIVE_PRICE, DUPLICATE, NO_ORDER, NO_PRODUCT, NO_SELLER,
+    ),
+    "fact_payments": (NULL_KEY, BAD_KEY, DUPLICATE, NO_ORDER),
+}
+
+
+def traced_customers(stg: DataFrame) -> DataFrame:
     """One row per customer_id, which is issued per order; customer_unique_id is the person."""
-    first = keep_first(
-        stg.where(F.col("customer_id").isNotNull()),
+    first = keep_first_traced(
+        stg,
         ["customer_id"],
-        in_order(
-            "customer_unique_id", "customer_city", "customer_state", "customer_zip_code_prefix"
-        ),
+        ["customer_unique_id", "customer_city", "customer_state", "customer_zip_code_prefix"],
+        first_rule((NULL_KEY, F.col("customer_id").isNull())),
     )
     return first.select(
         "customer_id",
@@ -33,19 +54,35 @@ def dim_customers(stg: DataFrame) -> DataFrame:
         to_int(F.col("customer_zip_code_prefix")).alias("zip_prefix"),
         F.lower(F.trim("customer_city")).alias("city"),
         F.upper(F.trim("customer_state")).alias("state"),
+        *_TRACE,
     )
 
 
-def dim_sellers(stg: DataFrame) -> DataFrame:
-    cleaned = stg.where(F.col("seller_id").isNotNull()).select(
+def dim_customers(stg: DataFrame) -> DataFrame:
+    return kept(traced_customers(stg))
+
+
+def traced_sellers(stg: DataFrame) -> DataFrame:
+    cleaned = stg.select(
         "seller_id",
         F.lower(F.trim("seller_city")).alias("seller_city"),
         F.upper(F.trim("seller_state")).alias("seller_state"),
     )
-    return keep_first(cleaned, ["seller_id"], in_order("seller_city", "seller_state"))
+    return keep_first_traced(
+        cleaned,
+        ["seller_id"],
+        ["seller_city", "seller_state"],
+        first_rule((NULL_KEY, F.col("seller_id").isNull())),
+    )
 
 
-def dim_products(stg: DataFrame, stg_category: DataFrame, default: str = "unknown") -> DataFrame:
+def dim_sellers(stg: DataFrame) -> DataFrame:
+    return kept(traced_sellers(stg))
+
+
+def traced_products(
+    stg: DataFrame, stg_category: DataFrame, default: str = "unknown"
+) -> DataFrame:
     """Category is the translation, else the original name, else the default."""
     translations = stg_category.select(
         folded(F.col("product_category_name")).alias("_name"),
@@ -55,12 +92,11 @@ def dim_products(stg: DataFrame, stg_category: DataFrame, default: str = "unknow
     translations = keep_first(
         translations.where(F.col("_name").isNotNull()), ["_name"], in_order("_english")
     )
-    first = keep_first(
-        stg.where(F.col("product_id").isNotNull()).select(
-            "product_id", "product_category_name", "product_weight_g"
-        ),
+    first = keep_first_traced(
+        stg.select("product_id", "product_category_name", "product_weight_g"),
         ["product_id"],
-        in_order("product_category_name", "product_weight_g"),
+        ["product_category_name", "product_weight_g"],
+        first_rule((NULL_KEY, F.col("product_id").isNull())),
     )
     name = F.col("product_category_name")
     return first.join(translations, folded(name) == F.col("_name"), "left").select(
@@ -69,12 +105,17 @@ def dim_products(stg: DataFrame, stg_category: DataFrame, default: str = "unknow
             "category"
         ),
         to_int(F.col("product_weight_g")).alias("weight_g"),
+        *_TRACE,
     )
 
 
-def order_headers(stg: DataFrame) -> DataFrame:
+def dim_products(stg: DataFrame, stg_category: DataFrame, default: str = "unknown") -> DataFrame:
+    return kept(traced_products(stg, stg_category, default))
+
+
+def traced_headers(stg: DataFrame) -> DataFrame:
     """Typed orders, one per order_id, customer not yet checked."""
-    typed = stg.where(F.col("order_id").isNotNull()).select(
+    typed = stg.select(
         "order_id",
         "customer_id",
         F.lower(F.trim("order_status")).alias("order_status"),
@@ -83,19 +124,24 @@ def order_headers(stg: DataFrame) -> DataFrame:
         to_timestamp(F.col("order_delivered_customer_date")).alias("delivered_ts"),
         to_timestamp(F.col("order_estimated_delivery_date")).alias("estimated_ts"),
     )
-    first = keep_first(
+    first = keep_first_traced(
         typed,
         ["order_id"],
-        in_order(
+        [
             "customer_id", "order_status", "purchase_ts", "approved_ts", "delivered_ts",
             "estimated_ts",
-        ),
+        ],
+        first_rule((NULL_KEY, F.col("order_id").isNull())),
     )
     return first.withColumn(
         "delivery_days", days_between(F.col("purchase_ts"), F.col("delivered_ts"))
     )
 
 
+def order_headers(stg: DataFrame) -> DataFrame:
+    return kept(traced_headers(stg))
+
+
 def fact_orders(stg: DataFrame, customers: DataFrame) -> DataFrame:
     """Orders whose customer exists."""
     return (
@@ -103,7 +149,7 @@ def fact_orders(stg: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def order_lines(stg: DataFrame, min_price: int = 0) -> DataFrame:
+def traced_lines(stg: DataFrame, min_price: int = 0) -> DataFrame:
     """Typed lines, one per (order_id, item_seq), parents not yet checked.
 
     Unusable prices go before de-duplication: a bad copy must not win over a good
@@ -117,20 +163,25 @@ def order_lines(stg: DataFrame, min_price: int = 0) -> DataFrame:
         to_money(F.col("price")).alias("price"),
         to_money(F.col("freight_value")).alias("freight_value"),
     )
-    usable = typed.where(
-        F.col("order_id").isNotNull()
-        & F.col("item_seq").isNotNull()
-        & (F.col("price") >= min_price)
-    )
-    first = keep_first(
-        usable,
+    first = keep_first_traced(
+        typed,
         ["order_id", "item_seq"],
-        in_order("product_id", "seller_id", "price", "freight_value"),
+        ["product_id", "seller_id", "price", "freight_value"],
+        first_rule(
+            (NULL_KEY, F.col("order_id").isNull()),
+            (BAD_KEY, F.col("item_seq").isNull()),
+            (BAD_PRICE, F.col("price").isNull()),
+            (NEGATIVE_PRICE, F.col("price") < min_price),
+        ),
     )
     freight = F.coalesce("freight_value", F.lit(Decimal("0.00")))
     return first.withColumn("item_total", (F.col("price") + freight).cast("decimal(14,2)"))
 
 
+def order_lines(stg: DataFrame, min_price: int = 0) -> DataFrame:
+    return kept(traced_lines(stg, min_price))
+
+
 def fact_order_items(
     stg: DataFrame, orders: DataFrame, products: DataFrame, sellers: DataFrame, min_price: int = 0
 ) -> DataFrame:
@@ -144,19 +195,35 @@ def fact_order_items(
     )
 
 
-def fact_payments(stg: DataFrame, orders: DataFrame) -> DataFrame:
+def traced_payments(stg: DataFrame, orders: DataFrame) -> DataFrame:
     typed = stg.select(
         "order_id",
         to_int(F.col("payment_sequential")).alias("payment_seq"),
         F.lower(F.trim("payment_type")).alias("payment_type"),
         to_int(F.col("payment_installments")).alias("installments"),
         to_money(F.col("payment_value")).alias("payment_value"),
-    ).where(F.col("order_id").isNotNull() & F.col("payment_seq").isNotNull())
-    first = keep_first(
+    )
+    first = keep_first_traced(
         typed,
         ["order_id", "payment_seq"],
-        in_order("payment_type", "installments", "payment_value"),
+        ["payment_type", "installments", "payment_value"],
+        first_rule(
+            (NULL_KEY, F.col("order_id").isNull()), (BAD_KEY, F.col("payment_seq").isNull())
+        ),
     )
-    return first.join(orders, "order_id", "left_semi").select(
-        "order_id", "payment_seq", "payment_type", "installments", "payment_value"
+    parents = orders.select("order_id", F.lit(True).alias("_order"))
+    checked = first.join(parents, "order_id", "left")
+    return with_parents(checked, (NO_ORDER, "_order")).select(
+        "order_id", "payment_seq", "payment_type", "installments", "payment_value", *_TRACE
     )
+
+
+def fact_payments(stg: DataFrame, orders: DataFrame) -> DataFrame:
+    return kept(traced_payments(stg, orders))
+
+
+def with_parents(joined: DataFrame, *parents: tuple[str, str]) -> DataFrame:
+    """Rows that a left join found no parent for, marked so unless an earlier rule dropped them.
+    Each parent is the name of its rule and the column that is NULL where it is missing."""
+    missing = first_rule(*[(rule, F.col(found).isNull()) for rule, found in parents])
+    return joined.withColumn(LOST_BY, F.coalesce(F.col(LOST_BY), missing))

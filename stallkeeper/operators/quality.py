@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from stallkeeper.functions.casts import blank, folded, to_int, to_money, to_timestamp
 from stallkeeper.functions.measures import count_where
+from stallkeeper.operators.cleaning import RULES_OF
+from stallkeeper.operators.dedup import COPIES, DUPLICATE, LOST_BY
 from stallkeeper.sources.schemas import CONVERSIONS, FOREIGN_KEYS, RULES, STAGING
 
 Tables = Mapping[str, DataFrame]
@@ -121,6 +123,59 @@ def reconcile_counts(staging: Tables, star: Tables) -> DataFrame:
     )
 
 
+def loss_ledger(raw_counts: DataFrame, tables: Tables) -> DataFrame:
+    """For every rule of a table, how many raw rows it was the first to drop: raw rows less all of
+    them are the clean ones.
+
+    `tables` are the traced forms of the star tables, which count what they drop as they are built;
+    `raw_counts` has the rows of each staging table as counted when it was written.
+    """
+    found = _union_all(
+        df.groupBy(LOST_BY)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(COPIES).alias("copies"))
+        .select(F.lit(table).alias("t"), LOST_BY, "n", "copies")
+        for table, df in tables.items()
+    )
+    # A row that was de-duplicated stands for its copies, whether it stays or loses a parent later.
+    later = [(t, r) for t, rules in RULES_OF.items() for r in rules[rules.index(DUPLICATE) + 1 :]]
+    single = F.col(LOST_BY).isNull() | F.struct("t", LOST_BY).isin(
+        *[F.struct(F.lit(t).alias("t"), F.lit(r).alias(LOST_BY)) for t, r in later]
+    )
+    lost = found.select(
+        "t",
+        F.inline(
+            F.array(
+                F.struct(
+                    F.col(LOST_BY).alias("reason"),
+                    F.when(single, F.col("n")).otherwise(F.col("copies")).alias("lost"),
+                ),
+                F.struct(
+                    F.lit(DUPLICATE).alias("reason"),
+                    F.when(single, F.col("copies") - F.col("n")).otherwise(0).alias("lost"),
+                ),
+            )
+        ),
+    )
+    lost = lost.groupBy("t", "reason").agg(F.sum("lost").alias("lost_rows"))
+    names = found.sparkSession.createDataFrame(
+        [(t, RULES[t].entity, RULES[t].staging, r) for t in tables for r in RULES_OF[t]],
+        "t string, entity string, staging_table string, reason string",
+    )
+    clean = lost.where("reason IS NULL").select("t", F.col("lost_rows").alias("clean"))
+    return (
+        names.join(lost, ["t", "reason"], "left")
+        .join(clean, "t", "left")
+        .join(raw_counts, "staging_table")
+        .select(
+            "entity",
+            "reason",
+            F.coalesce("lost_rows", F.lit(0)).alias("lost_rows"),
+            F.col("rows_loaded").alias("raw_rows"),
+            F.coalesce("clean", F.lit(0)).alias("clean_rows"),
+        )
+    )
+
+
 def check_primary_keys(staging: Tables, star: Tables) -> DataFrame:
     """Number of keys held by more than one row."""
 

@@ -47,9 +47,11 @@ def _rfm_scores(w: Warehouse) -> DataFrame:
 
 
 REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
-    "staging_counts": lambda w: quality.staging_counts(w.staging),
+    "staging_counts": lambda w: w.staging_counts(),
     "dq_profile": lambda w: quality.dq_profile(w.staging),
     "reconcile_counts": lambda w: quality.reconcile_counts(w.staging, w),
+    "loss_ledger": lambda w: w.loss_ledger(),
+    "check_files": lambda w: w.check_files(STAGING).drop("files_written", "files_found"),
     "check_primary_keys": lambda w: quality.check_primary_keys(w.staging, w),
     "check_foreign_keys": lambda w: quality.check_foreign_keys(w.staging, w),
     "check_not_null": lambda w: quality.check_not_null(w.staging, w),

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallkeeper.functions.measures import MONEY, month_start
+from stallkeeper.operators import cleaning
+from stallkeeper.operators.dedup import COPIES, LOST_BY, kept, traced
 
 SALES_COLUMNS = (
     "order_id", "item_seq", "order_status", "purchase_ts", "delivered_ts", "estimated_ts",
@@ -12,36 +14,56 @@ SALES_COLUMNS = (
 )
 
 
-def placed_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """Orders with the person, city and state behind them.
+def traced_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Orders with the person, city and state behind them; those without a customer are marked.
 
-    customer_id is unique, so the inner join also drops orders without a customer:
-    `orders` may be the checked fact or the headers before the referential check.
+    customer_id is unique, so the join is also the referential check: `orders` may be the checked
+    fact or the headers before the check.
     """
-    return orders.join(
-        customers.select(
-            "customer_id",
-            "customer_unique_id",
-            F.col("state").alias("customer_state"),
-            F.col("city").alias("customer_city"),
-        ),
+    found = customers.select(
         "customer_id",
+        "customer_unique_id",
+        F.col("state").alias("customer_state"),
+        F.col("city").alias("customer_city"),
+        F.lit(True).alias("_customer"),
     )
+    joined = traced(orders).join(found, "customer_id", "left")
+    return cleaning.with_parents(joined, (cleaning.NO_CUSTOMER, "_customer")).drop("_customer")
 
 
-def sales_lines(
+def placed_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    return kept(traced_orders(orders, customers))
+
+
+def traced_sales(
     lines: DataFrame, placed: DataFrame, products: DataFrame, sellers: DataFrame
 ) -> DataFrame:
-    """One row per sold line with order, customer, product and seller attributes.
+    """One row per sold line with order, customer, product and seller attributes, and the lines
+    that have lost one of these.
 
-    As in `placed_orders`, `lines` may come before or after the referential check.
+    As in `traced_orders`, `lines` may come before or after the referential check.
     """
-    return (
-        lines.join(products, "product_id")
-        .join(sellers, "seller_id")
-        .join(placed, "order_id")
-        .select(*SALES_COLUMNS)
+    parents = [
+        (products.select("product_id", "category"), "product_id", "_product"),
+        (sellers.select("seller_id", "seller_state"), "seller_id", "_seller"),
+        (kept(placed), "order_id", "_order"),
+    ]
+    joined = traced(lines)
+    for parent, key, found in parents:
+        joined = joined.join(parent.withColumn(found, F.lit(True)), key, "left")
+    checked = cleaning.with_parents(
+        joined,
+        (cleaning.NO_ORDER, "_order"),
+        (cleaning.NO_PRODUCT, "_product"),
+        (cleaning.NO_SELLER, "_seller"),
     )
+    return checked.select(*SALES_COLUMNS, LOST_BY, COPIES)
+
+
+def sales_lines(
+    lines: DataFrame, placed: DataFrame, products: DataFrame, sellers: DataFrame
+) -> DataFrame:
+    return kept(traced_sales(lines, placed, products, sellers))
 
 
 def order_totals(sales: DataFrame, status: str = "delivered") -> DataFrame:

@@ -1,22 +1,26 @@
 """The pipeline: staging, star, reporting view and rollups, each table written once."""
 
 import threading
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.operators import cleaning
+from stallkeeper.operators import cleaning, quality
+from stallkeeper.operators.dedup import kept
 from stallkeeper.operators.ranking import in_global_order, with_rank
 from stallkeeper.plans import advanced, mart
 from stallkeeper.session import Sizing
 from stallkeeper.sources import files, testdata
+from stallkeeper.sources.loads import KEEP_SECONDS, Loads
 from stallkeeper.sources.schemas import STAGING, STAR
 from stallkeeper.sources.store import (
-    Generations, StoredTables, TableStore, delete_at_exit, shared_folder, source_state,
+    StoredTables, TableStore, delete_at_exit, shared_folder, source_state,
 )
 
+_LOADED = "loaded_"
+
 # The two biggest facts are written together with the parents' columns: the joins that
 # fetch those also do the referential check, so orders and lines cross the network
 # once, not once for the fact and again for each report.
@@ -26,12 +30,17 @@ _PROJECTIONS = {
 }
 
 
+class TooManyRejects(ValueError):
+    """A file has more malformed rows than the load allows."""
+
+
 class Warehouse(Mapping[str, DataFrame]):
     """Star tables, `sales_lines` and rollups by name, over seven staging tables.
 
-    Asking for a table builds what it depends on, in dependency order. The session is sized for
-    the input as long as the warehouse is open: `close`, or the end of a `with` block, puts back
-    the settings from before.
+    Asking for a table builds what it depends on, in dependency order. Star tables are stored with
+    the rows that cleaning dropped, each with its rule; by name they are without them, `traced` has
+    them all. The session is sized for the input as long as the warehouse is open: `close`, or the
+    end of a `with` block, puts back the settings from before.
     """
 
     def __init__(
@@ -40,50 +49,70 @@ class Warehouse(Mapping[str, DataFrame]):
         store: TableStore,
         rejects: Mapping[str, DataFrame] | None = None,
         sizing: Sizing | None = None,
+        version: int | None = None,
     ):
         self.sizing = sizing
+        self.version = version
         self.staging = staging
         self.store = store
         self.rejects = rejects or {}
 
     @classmethod
     def from_files(
-        cls, spark: SparkSession, paths: Mapping[str, str], folder: str, comma: bool = False
+        cls,
+        spark: SparkSession,
+        paths: Mapping[str, str],
+        folder: str,
+        comma: bool = False,
+        max_rejects: int | None = None,
+        keep_seconds: float = KEEP_SECONDS,
     ) -> "Warehouse":
-        """Loads raw files into `folder`, replacing what an earlier load left there.
+        """Loads raw files into `folder`, as the version that is read from then on.
 
-        The new load is read only once all of its tables are complete; if one fails, the earlier
-        load stays as it was.
+        It is published only once all of its tables are complete. If that fails, or if a file has
+        more than `max_rejects` malformed rows, the version before stays the one that is read.
+        Replaced versions can be opened for `keep_seconds` longer, which must be more than a load
+        takes.
         """
         input_bytes = source_state(spark, paths.values())[1]
         sizing = Sizing(spark, input_bytes).apply()
         try:
-            generations = Generations(spark, folder)
-            store = generations.begin()
+            loads = Loads(spark, folder, keep_seconds)
+            store = loads.begin()
             for name, df in files.read_all(spark, paths, comma).items():
-                store.replace(f"loaded_{name}", df)
+                store.replace(f"{_LOADED}{name}", df, files.is_rejected())
+                rejects = store.count(f"{_LOADED}{name}")["rejected"]
+                if max_rejects is not None and rejects > max_rejects:
+                    raise TooManyRejects(
+                        f"{rejects} malformed rows in {paths[name]}, {max_rejects} are allowed"
+                    )
             warehouse = cls._over(store, sizing)
             warehouse.rebuild()
-            generations.publish(store, input_bytes=input_bytes)
+            warehouse.version = loads.publish(store, input_bytes=input_bytes)
         except BaseException:
             sizing.restore()
             raise
         return warehouse
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str) -> "Warehouse":
-        """A warehouse loaded earlier, with the session sized as for loading it."""
-        store, about = Generations(spark, folder).published()
-        return cls._over(store, Sizing(spark, about["input_bytes"]).apply())
+    def open(cls, spark: SparkSession, folder: str, version: int | None = None) -> "Warehouse":
+        """A warehouse loaded earlier, the last one or another that is still kept, with the session
+        sized as for loading it."""
+        store, about = Loads(spark, folder).published(version)
+        sizing = Sizing(spark, about["input_bytes"]).apply()
+        return cls._over(store, sizing, about["version"])
 
     @classmethod
-    def _over(cls, store: TableStore, sizing: Sizing) -> "Warehouse":
-        loaded = {name: store.existing(f"loaded_{name}") for name in STAGING}
+    def _over(
+        cls, store: TableStore, sizing: Sizing, version: int | None = None
+    ) -> "Warehouse":
+        loaded = {name: store.existing(f"{_LOADED}{name}") for name in STAGING}
         return cls(
             {name: files.accepted(df) for name, df in loaded.items()},
             store,
             {name: files.rejected(df) for name, df in loaded.items()},
             sizing,
+            version,
         )
 
     def close(self) -> None:
@@ -97,10 +126,40 @@ class Warehouse(Mapping[str, DataFrame]):
         self.close()
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name in _PROJECTIONS:
-            source, columns = _PROJECTIONS[name]
-            return self[source].select(*columns)
-        return self.store.table(name, self._builders[name])
+        source, columns = _PROJECTIONS.get(name, (name, None))
+        rows = kept(self.traced(source))
+        return rows.select(*columns) if columns else rows
+
+    def traced(self, name: str) -> DataFrame:
+        """The table as it is stored, with the rows that a rule dropped."""
+        source = _PROJECTIONS.get(name, (name,))[0]
+        return self.store.table(source, self._builders[source])
+
+    def staging_counts(self) -> DataFrame:
+        """Rows of each staging table as counted when it was written; nothing is scanned."""
+        for name in STAGING:
+            self.staging[name]  # written by now
+        name = F.regexp_replace("table_name", f"^{_LOADED}", "")
+        return self.store.counts_table().where(name.isin(*STAGING)).select(
+            name.alias("staging_table"), (F.col("rows") - F.col("rejected")).alias("rows_loaded")
+        )
+
+    def loss_ledger(self) -> DataFrame:
+        return quality.loss_ledger(
+            self.staging_counts(), {name: self.traced(name) for name in STAR}
+        )
+
+    def check_files(self, names: Iterable[str] | None = None) -> DataFrame:
+        """Rows and files of written tables, staging under its own names, as they were written and
+        as found now in the files' footers. All stored tables if none are named."""
+        names = list(names or (*STAGING, *self.stored))
+        known = set(self.store.counts())
+        for name in names:
+            if not {name, f"{_LOADED}{name}"} & known:
+                self.staging[name] if name in STAGING else self.traced(name)  # written by now
+        stored = [f"{_LOADED}{n}" if f"{_LOADED}{n}" in known else n for n in names]
+        own_name = F.regexp_replace("table_name", f"^{_LOADED}", "")
+        return self.store.check(stored).withColumn("table_name", own_name)
 
     def __iter__(self) -> Iterator[str]:
         return iter([*STAR, *(n for n in self._builders if n not in STAR)])
@@ -130,20 +189,20 @@ class Warehouse(Mapping[str, DataFrame]):
         """Insertion order is dependency order."""
         stg = self.staging
         return {
-            "dim_customers": lambda: cleaning.dim_customers(stg["stg_customers"]),
-            "dim_sellers": lambda: cleaning.dim_sellers(stg["stg_sellers"]),
-            "dim_products": lambda: cleaning.dim_products(
+            "dim_customers": lambda: cleaning.traced_customers(stg["stg_customers"]),
+            "dim_sellers": lambda: cleaning.traced_sellers(stg["stg_sellers"]),
+            "dim_products": lambda: cleaning.traced_products(
                 stg["stg_products"], stg["stg_category"]
             ),
-            "placed_orders": lambda: mart.placed_orders(
-                cleaning.order_headers(stg["stg_orders"]), self["dim_customers"]
+            "placed_orders": lambda: mart.traced_orders(
+                cleaning.traced_headers(stg["stg_orders"]), self["dim_customers"]
             ),
-            "fact_payments": lambda: cleaning.fact_payments(
+            "fact_payments": lambda: cleaning.traced_payments(
                 stg["stg_order_payments"], self["fact_orders"]
             ),
             # Sorted in each file, so that a filter on the status skips row groups.
-            "sales_lines": lambda: mart.sales_lines(
-                cleaning.order_lines(stg["stg_order_items"]),
+            "sales_lines": lambda: mart.traced_sales(
+                cleaning.traced_lines(stg["stg_order_items"]),
                 self["placed_orders"],
                 self["dim_products"],
                 self["dim_sellers"],

@@ -59,6 +59,11 @@ def read_all(
     return {name: read(spark, paths[name], STAGING[name]) for name in STAGING}
 
 
+def is_rejected() -> Column:
+    """Whether a row that was read is malformed."""
+    return F.col(CORRUPT).isNotNull()
+
+
 def accepted(loaded: DataFrame) -> DataFrame:
     return loaded.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
@@ -69,7 +74,7 @@ def rejected(loaded: DataFrame) -> DataFrame:
     Split a written copy of the load: Spark refuses to read nothing but the malformed
     lines from a text file, and the file would be parsed twice.
     """
-    return loaded.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+    return loaded.where(is_rejected()).select(F.col(CORRUPT).alias("line"))
 
 
 def write_comma_separated(df: DataFrame, path: str) -> None:

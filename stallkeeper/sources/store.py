@@ -4,23 +4,27 @@ import hashlib
 import json
 import threading
 from collections.abc import Callable, Iterable, Iterator, Mapping
-from functools import cache
+from functools import cache, reduce
 from tempfile import TemporaryDirectory
 from urllib.parse import urlparse
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Written into a table's folder after its files. Readers skip names that begin with "_".
 _MARKER = "_stallkeeper_complete"
-_POINTER = "published.json"
+_COUNTS = "counts"
+_COUNTS_SCHEMA = "table_name string, rows bigint, files bigint, bytes bigint, rejected bigint"
 
 
 class TableStore:
     """Tables under one folder.
 
     A table is built on first request. Later requests, and recovery after a lost
-    executor, read the written files instead of recomputing the lineage.
+    executor, read the written files instead of recomputing the lineage. How many rows and files
+    were written is noted beside the tables, and compared with what is there without reading them.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -49,17 +53,67 @@ class TableStore:
         with self._lock:
             if not self._complete(name):
                 write(self.path(name))
-                _write_text(self.spark, f"{self.path(name)}/{_MARKER}", name)
+                write_text(self.spark, f"{self.path(name)}/{_MARKER}", name)
             return self.path(name)
 
-    def replace(self, name: str, df: DataFrame) -> DataFrame:
-        """Empty and reload: the way to re-run a load on new input."""
+    def replace(self, name: str, df: DataFrame, rejected: Column | None = None) -> DataFrame:
+        """Empty and reload: the way to re-run a load on new input. Rows are counted as they are
+        written, and those for which `rejected` is true besides."""
+        if rejected is None:
+            rejected = F.lit(False)
         with self._lock:
-            df.write.mode("overwrite").parquet(self.path(name))
-            _write_text(self.spark, f"{self.path(name)}/{_MARKER}", name)
+            seen = Observation(f"{name}-{uuid4().hex}")
+            counted = df.observe(
+                seen, F.count(F.lit(1)).alias("rows"), F.count_if(rejected).alias("rejected")
+            )
+            counted.write.mode("overwrite").parquet(self.path(name))
+            files, size = _data_files(self.spark, self.path(name))
+            about = {"table_name": name, **seen.get, "files": files, "bytes": size}
+            write_text(self.spark, self._counts_path(name), json.dumps(about))
+            write_text(self.spark, f"{self.path(name)}/{_MARKER}", name)
             self._tables[name] = self.spark.read.schema(df.schema).parquet(self.path(name))
             return self._tables[name]
 
+    def counts(self) -> dict[str, dict]:
+        """What was noted for each table that was written: rows, rejected, files and bytes."""
+        names = names_in(self.spark, f"{self.folder}/{_COUNTS}")
+        return {n.removesuffix(".json"): self.count(n.removesuffix(".json")) for n in names}
+
+    def count(self, name: str) -> dict:
+        about = json.loads(read_text(self.spark, self._counts_path(name)))
+        return {key: value for key, value in about.items() if key != "table_name"}
+
+    def counts_table(self) -> DataFrame:
+        return self.spark.read.schema(_COUNTS_SCHEMA).json(f"{self.folder}/{_COUNTS}")
+
+    def check(self, names: Iterable[str]) -> DataFrame:
+        """For each written table the rows and files that were written, and those that are there.
+
+        Rows are taken from the files' footers: no column is read."""
+        found = []
+        for name in names:
+            files, _ = _data_files(self.spark, self.path(name))
+            there = self.spark.read.parquet(self.path(name)) if files else self.spark.range(0)
+            found.append(
+                there.agg(F.count(F.lit(1)).alias("rows_found")).select(
+                    F.lit(name).alias("table_name"), "rows_found", F.lit(files).alias("files_found")
+                )
+            )
+        noted = self.counts_table().withColumnsRenamed(
+            {"rows": "rows_written", "files": "files_written"}
+        )
+        both = noted.join(reduce(DataFrame.unionByName, found), "table_name")
+        intact = (F.col("rows_written") == F.col("rows_found")) & (
+            F.col("files_written") == F.col("files_found")
+        )
+        return both.select(
+            "table_name", "rows_written", "rows_found", "files_written", "files_found",
+            intact.alias("intact"),
+        )
+
+    def _counts_path(self, name: str) -> str:
+        return f"{self.folder}/{_COUNTS}/{name}.json"
+
     def _read(self, name: str) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = self.spark.read.parquet(self.path(name))
@@ -67,8 +121,7 @@ class TableStore:
 
     def _complete(self, name: str) -> bool:
         # An interrupted write leaves no marker and is done again.
-        marker, fs = _file_system(self.spark, f"{self.path(name)}/{_MARKER}")
-        return fs.exists(marker)
+        return exists(self.spark, f"{self.path(name)}/{_MARKER}")
 
 
 class StoredTables(Mapping[str, DataFrame]):
@@ -88,37 +141,6 @@ class StoredTables(Mapping[str, DataFrame]):
         return len(self._source)
 
 
-class Generations:
-    """Loads of one warehouse, each in a folder of its own; readers see the published one.
-
-    A load that fails leaves the published one as it is. Publishing writes one small file.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
-        self.folder = folder.rstrip("/")
-
-    def begin(self) -> TableStore:
-        return TableStore(self.spark, f"{self.folder}/load-{uuid4().hex}")
-
-    def publish(self, store: TableStore, **about) -> None:
-        """Makes a complete load the one that is read, then removes the others."""
-        name = store.folder.rsplit("/", 1)[1]
-        _write_text(self.spark, f"{self.folder}/{_POINTER}", json.dumps({"load": name, **about}))
-        home, fs = _file_system(self.spark, self.folder)
-        for status in fs.listStatus(home):
-            other = status.getPath().getName()
-            if other.startswith("load-") and other != name:
-                fs.delete(status.getPath(), True)
-
-    def published(self) -> tuple[TableStore, dict]:
-        pointer, fs = _file_system(self.spark, f"{self.folder}/{_POINTER}")
-        if not fs.exists(pointer):
-            raise FileNotFoundError(f"no complete load in {self.folder}")
-        about = json.loads(self.spark.read.text(str(pointer), wholetext=True).first()[0])
-        return TableStore(self.spark, f"{self.folder}/{about.pop('load')}"), about
-
-
 @cache
 def _local_folder() -> TemporaryDirectory:
     """One for the process, removed at its end."""
@@ -173,7 +195,7 @@ def delete_at_exit(spark: SparkSession, folder: str) -> None:
     fs.deleteOnExit(location)
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     location, fs = _file_system(spark, path)
     out = fs.create(location, True)
     try:
@@ -182,6 +204,62 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    location, fs = _file_system(spark, path)
+    stream = fs.open(location)
+    try:
+        # One small file: its text goes through the driver.
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    location, fs = _file_system(spark, path)
+    return fs.exists(location)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    location, fs = _file_system(spark, path)
+    fs.delete(location, True)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    location, fs = _file_system(spark, folder)
+    if not fs.exists(location):
+        return []
+    return sorted(status.getPath().getName() for status in fs.listStatus(location))
+
+
+def rename_new(spark: SparkSession, path: str, to: str) -> bool:
+    """Renames a file unless there is one of the new name already: in one step where the file system
+    has such a rename, as distributed ones do."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    old, new = fs.Path(path), fs.Path(to)
+    context = fs.FileContext.getFileContext(old.toUri(), spark._jsc.hadoopConfiguration())
+    keep = getattr(fs, "Options$Rename").NONE
+    options = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    options[0] = keep
+    try:
+        context.rename(context.makeQualified(old), context.makeQualified(new), options)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    return True
+
+
+def _data_files(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """Number and bytes of the files that readers see."""
+    location, fs = _file_system(spark, folder)
+    sizes = [
+        status.getLen()
+        for status in fs.listStatus(location)
+        if status.isFile() and status.getPath().getName()[0] not in "._"
+    ]
+    return len(sizes), sum(sizes)
+
+
 def _file_system(spark: SparkSession, path: str):
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location, location.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -264,14 +264,14 @@ def test_a_failed_reload_leaves_the_old_load(spark, tmp_path, raw, monkeypatch):
         file.write(text.replace("\t10", "\t1000").replace("\t5", "\t5000"))
 
     with monkeypatch.context() as broken:
-        broken.setattr(mart, "sales_lines", lambda *_: 1 / 0)
+        broken.setattr(mart, "traced_sales", lambda *_: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             Warehouse.from_files(spark, raw, folder)
     assert prices(Warehouse.open(spark, folder)) == old
     retried = prices(Warehouse.from_files(spark, raw, folder))
     assert retried != old
     assert prices(Warehouse.open(spark, folder)) == retried
-    assert len(list((tmp_path / "warehouse").glob("load-*"))) == 1
+    assert len(list((tmp_path / "warehouse" / "manifests").glob("0*.json"))) == 2
 
 
 def test_opening_sizes_the_session_as_loading_does(spark, tmp_path, raw):
@@ -282,10 +282,10 @@ def test_opening_sizes_the_session_as_loading_does(spark, tmp_path, raw):
         with Warehouse.open(spark, str(folder)) as opened:
             assert opened.sizing.partitions == loaded.sizing.partitions
         # As if what was loaded had been large.
-        pointer = folder / "published.json"
-        about = json.loads(pointer.read_text()) | {"input_bytes": 1 << 40}
-        (folder / ".published.json.crc").unlink(missing_ok=True)
-        pointer.write_text(json.dumps(about))
+        manifest = folder / "manifests" / "000000000001.json"
+        about = json.loads(manifest.read_text()) | {"input_bytes": 1 << 40}
+        (folder / "manifests" / ".000000000001.json.crc").unlink(missing_ok=True)
+        manifest.write_text(json.dumps(about))
         with Warehouse.open(spark, str(folder)) as opened:
             assert spark.conf.get(initial) == str(opened.sizing.partitions) == "4096"
         with Warehouse.from_files(spark, raw, str(folder)) as small:

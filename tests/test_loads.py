@@ -1,0 +1,265 @@
+"""Publishing: whole versions at every moment, kept while they are read, counted, and refused."""
+
+import os
+from threading import Barrier, Lock, Thread
+
+import pytest
+from conftest import TESTDATA
+from frames import rows, staging
+from pyspark.sql import functions as F
+from test_files import FILES, raw  # noqa: F401
+
+from stallkeeper.operators import quality
+from stallkeeper.operators.dedup import keep_first_traced
+from stallkeeper.plans.catalog import REPORTS
+from stallkeeper.plans.warehouse import TooManyRejects, Warehouse
+from stallkeeper.plans.warehouse import testdata_warehouse as warehouse_of
+from stallkeeper.sources import loads as loads_module
+from stallkeeper.sources import store as store_module
+from stallkeeper.sources.loads import Loads
+from stallkeeper.sources.schemas import STAGING
+
+
+class Clock:
+    now = 1000.0
+
+    def __call__(self):
+        return self.now
+
+
+def publish(loads, n):
+    store = loads.begin()
+    store.replace("t", loads.spark.range(n))
+    return loads.publish(store, input_bytes=n)
+
+
+def read(loads, version=None):
+    store, about = loads.published(version)
+    return store.existing("t").count(), about["input_bytes"]
+
+
+class Stop(Exception):
+    pass
+
+
+STEPS = ["write_text", "rename_new", "delete", "versions", "manifest", "expire"]
+
+
+@pytest.mark.parametrize("after", [False, True])
+@pytest.mark.parametrize("step", STEPS)
+def test_a_publish_that_stops_leaves_one_whole_load(spark, tmp_path, monkeypatch, step, after):
+    clock = Clock()
+    loads = Loads(spark, str(tmp_path), keep_seconds=10, clock=clock)
+    publish(loads, 3)
+    publish(loads, 5)
+    clock.now += 100  # so that publishing removes the first version, too
+    store = loads.begin()
+    store.replace("t", spark.range(7))
+
+    home = loads_module if hasattr(loads_module, step) else Loads
+    real = getattr(home, step)
+
+    def stopping(*given, **named):
+        if after:
+            real(*given, **named)
+        raise Stop
+
+    with monkeypatch.context() as stopped:
+        stopped.setattr(home, step, stopping)
+        with pytest.raises(Stop):
+            loads.publish(store, input_bytes=7)
+    opened = read(Loads(spark, str(tmp_path), clock=clock))
+    assert opened in [(5, 5), (7, 7)]
+    # What it left does not hinder the next one.
+    version = publish(loads, 9)
+    assert read(loads) == (9, 9) and loads.versions()[-1] == version
+
+
+def test_an_old_load_is_read_during_and_after_a_new_one(spark, tmp_path, raw):  # noqa: F811
+    folder = str(tmp_path / "warehouse")
+    old = Warehouse.from_files(spark, raw, folder)
+    lines = old["sales_lines"]
+    before = sorted(map(str, lines.collect()))
+    seen = {}
+    with open(raw["stg_order_items"], "a") as file:
+        file.write("o1\t2\tp1\ts1\t\t7.00\t\n")
+
+    class Watched(dict):
+        def __getitem__(self, name):  # read while the new load is under way
+            seen.setdefault(name, sorted(map(str, lines.collect())))
+            return super().__getitem__(name)
+
+    new = Warehouse.from_files(spark, Watched(raw), folder)
+    assert seen and all(got == before for got in seen.values())
+    assert sorted(map(str, lines.collect())) == before
+    assert new["sales_lines"].count() == len(before) + 1
+    assert (old.version, new.version) == (1, 2)
+    with Warehouse.open(spark, folder, version=1) as first, Warehouse.open(spark, folder) as last:
+        assert sorted(map(str, first["sales_lines"].collect())) == before
+        assert last["sales_lines"].count() == len(before) + 1
+    with pytest.raises(FileNotFoundError, match="no version 3"):
+        Warehouse.open(spark, folder, version=3)
+
+
+def test_replaced_versions_are_kept_for_the_stated_time(spark, tmp_path):
+    clock = Clock()
+    loads = Loads(spark, str(tmp_path), keep_seconds=100, clock=clock)
+    publish(loads, 1)
+    clock.now += 500  # the latest is kept however old it is
+    publish(loads, 2)
+    assert loads.versions() == [1, 2] and read(loads, 1) == (1, 1)
+    unfinished = loads.begin()
+    clock.now += 99
+    publish(loads, 3)
+    assert loads.versions() == [1, 2, 3]
+    clock.now += 2  # the first was replaced 101 seconds ago
+    loads.expire()
+    assert loads.versions() == [2, 3]
+    assert not os.path.exists(unfinished.folder)
+    assert len(list(tmp_path.glob("load-*"))) == 2
+    assert [read(loads, v) for v in (2, 3)] == [(2, 2), (3, 3)]
+
+
+def test_loads_that_end_together_are_two_versions(spark, tmp_path, monkeypatch):
+    loads = Loads(spark, str(tmp_path))
+    publish(loads, 1)
+    both, one, real = Barrier(2), Lock(), loads_module.rename_new
+
+    def together(session, path, to):
+        if to.endswith("2.json"):
+            both.wait(60)  # either has seen that version 2 is free
+        with one:  # a local disk's rename is not atomic in this
+            return real(session, path, to)
+
+    monkeypatch.setattr(loads_module, "rename_new", together)
+    found = []
+    threads = [Thread(target=lambda n=n: found.append(publish(loads, n))) for n in (2, 3)]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join(120)
+    assert sorted(found) == [2, 3] == loads.versions()[1:]
+    assert {read(loads, v) for v in (2, 3)} == {(2, 2), (3, 3)}
+
+
+def test_rename_takes_no_other_files_name(spark, tmp_path):
+    store_module.write_text(spark, f"{tmp_path}/a", "a")
+    store_module.write_text(spark, f"{tmp_path}/b", "b")
+    assert not store_module.rename_new(spark, f"{tmp_path}/a", f"{tmp_path}/b")
+    assert store_module.read_text(spark, f"{tmp_path}/b") == "b"
+    assert store_module.rename_new(spark, f"{tmp_path}/a", f"{tmp_path}/c")
+    assert store_module.names_in(spark, str(tmp_path)) == ["b", "c"]
+
+
+@pytest.mark.parametrize("allowed, loads_it", [(2, False), (3, True), (None, True)])
+def test_a_limit_of_malformed_rows(spark, tmp_path, raw, allowed, loads_it):  # noqa: F811
+    folder = str(tmp_path / "warehouse")
+    old = Warehouse.from_files(spark, raw, folder)
+    with open(raw["stg_order_payments"], "a") as file:
+        file.write("bad\nbad\textra\to\tf\tfields\tmany\n")  # one is in the file already
+    if loads_it:
+        new = Warehouse.from_files(spark, raw, folder, max_rejects=allowed)
+        assert new.rejects["stg_order_payments"].count() == 3
+        assert Loads(spark, folder).manifest()["tables"]["loaded_stg_order_payments"]["rejected"] == 3
+    else:
+        with pytest.raises(TooManyRejects, match="3 malformed rows .* 2 are allowed"):
+            Warehouse.from_files(spark, raw, folder, max_rejects=allowed)
+        assert Warehouse.open(spark, folder).version == old.version == 1
+
+
+def test_counts_of_a_load_are_those_of_a_scan(spark, tmp_path, raw):  # noqa: F811
+    w = Warehouse.from_files(spark, raw, str(tmp_path / "warehouse"))
+    assert sorted(rows(w.staging_counts())) == sorted(rows(quality.staging_counts(w.staging)))
+    test = warehouse_of(spark, f"{TESTDATA}/sf0.01")
+    assert sorted(rows(test.staging_counts())) == sorted(rows(quality.staging_counts(test.staging)))
+    plan = test.staging_counts()._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in plan.lower()
+
+
+def test_a_lost_file_is_seen(spark, tmp_path, raw):  # noqa: F811
+    folder = str(tmp_path / "warehouse")
+    w = Warehouse.from_files(spark, raw, folder)
+    checked = w.check_files()
+    assert checked.where("NOT intact").count() == 0
+    assert {r.table_name for r in checked.collect()} == {*STAGING, *w.stored}
+    store, about = Loads(spark, folder).published()
+    assert about["tables"]["sales_lines"]["rows"] == w.traced("sales_lines").count()
+    files = sorted((p for p in os.scandir(store.path("sales_lines")) if p.name.startswith("part")),
+                   key=lambda p: p.stat().st_size)
+    os.unlink(files[-1].path)
+    spark.catalog.refreshByPath(store.path("sales_lines"))
+    lost = Warehouse.open(spark, folder).check_files().where("NOT intact")
+    found = rows(lost, "table_name", "rows_written", "rows_found", "files_written", "files_found")
+    assert [r[0] for r in found] == ["sales_lines"]
+    assert found[0][1] > found[0][2] and found[0][3] == found[0][4] + 1
+
+
+# The loss ledger
+
+
+def ledger(spark, tmp_path, **changed):
+    paths = {}
+    for name, text in (FILES | changed).items():
+        path = tmp_path / f"{name}.tsv"
+        path.write_text("\t".join(STAGING[name].names) + "\n" + text)
+        paths[name] = str(path)
+    w = Warehouse.from_files(spark, paths, str(tmp_path / "warehouse"))
+    found = REPORTS["loss_ledger"](w).collect()
+    for entity in {r.entity for r in found}:
+        own = [r for r in found if r.entity == entity]
+        assert own[0].raw_rows - sum(r.lost_rows for r in own) == own[0].clean_rows
+    clean = {r.entity: r.clean_rows for r in REPORTS["reconcile_counts"](w).collect()}
+    assert {r.entity: r.clean_rows for r in found} == clean
+    return {(r.entity, r.reason): r.lost_rows for r in found if r.lost_rows}
+
+
+def test_every_lost_line_has_its_first_rule(spark, tmp_path):
+    def line(order="o1", seq="1", product="p1", seller="s1", price="5"):
+        return "\t".join([order, seq, product, seller, "", price, "1"]) + "\n"
+
+    lost = ledger(
+        spark,
+        tmp_path,
+        stg_order_items="".join([
+            line(), line(), line(seq="01"),  # two copies of one line
+            line("", "x", price="-1"), line("", "1"),
+            line(seq="x"), line(seq="", price="x"),
+            line(seq="2", price="x"), line(seq="2", price=""), line(seq="2", price="-0.01"),
+            line("o9", "1", "p9", "s9"), line("o9", "1", "p9", "s9"),  # a copy, then no order
+            line(seq="3", product="p9", seller="s9"), line(seq="4", seller=""),
+        ]),
+    )
+    assert {reason: n for (entity, reason), n in lost.items() if entity == "order_items"} == {
+        "duplicate": 3, "key is null": 2, "key does not convert": 2, "price does not convert": 2,
+        "price is negative": 1, "order is missing": 1, "product is missing": 1,
+        "seller is missing": 1,
+    }
+
+
+def test_every_other_lost_row_has_its_first_rule(spark, tmp_path):
+    lost = ledger(
+        spark,
+        tmp_path,
+        stg_customers="c1\tu1\t1\tRio\trj\nc1\tu2\t\t\t\n\tu3\t\t\t\n",
+        stg_products="p1\tx" + "\t" * 7 + "\n\tx" + "\t" * 7 + "\n" + ("p1" + "\t" * 8 + "\n") * 2,
+        stg_sellers="s1\t1\tRio\trj\n\t\t\tx\n\t1\t\t\n",
+        stg_order_payments="o1\t1\tx\t1\t1\no1\t01\tx\t1\t2\n\t1\tx\t1\t1\no1\tx\tx\t1\t1\no2\t1\tx\t1\t1\n",
+    )
+    assert {k: n for k, n in lost.items() if k[0] != "order_items"} == {
+        ("customers", "key is null"): 1, ("customers", "duplicate"): 1,
+        ("products", "key is null"): 1, ("products", "duplicate"): 2,
+        ("sellers", "key is null"): 2, ("orders", "customer is missing"): 2,
+        ("payments", "key is null"): 1, ("payments", "key does not convert"): 1,
+        ("payments", "duplicate"): 1, ("payments", "order is missing"): 1,
+    }
+
+
+def test_tracing_takes_no_further_shuffle(spark):
+    lines = staging(spark, "stg_order_items", {"order_id": "o1", "order_item_id": "1"})
+    one = keep_first_traced(lines, ["order_id"], ["price"], F.lit(None).cast("string"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    # Copies of a hot key are one row for each task before the shuffle.
+    hot = spark.range(0, 100_000, 1, 8).selectExpr("id % 2 AS k", "id AS v")
+    first = keep_first_traced(hot, ["k"], ["v"], F.lit(None).cast("string"))
+    assert sorted(rows(first, "k", "v", "copies")) == [(0, 0, 50_000), (1, 1, 50_000)]
