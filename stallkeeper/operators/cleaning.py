@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stallkeeper.functions.casts import blank, folded, to_int, to_money, to_timestamp
 from stallkeeper.functions.measures import days_between
+from stallkeeper.operators.buckets import shared_keys
 from stallkeeper.operators.dedup import (
     COPIES, DUPLICATE, LOST_BY, first_rule, in_order, keep_first, keep_first_traced, kept,
 )
@@ -19,6 +20,9 @@ ORDER_COLUMNS = (
     "order_id", "customer_id", "order_status", "purchase_ts", "approved_ts", "delivered_ts",
     "estimated_ts", "delivery_days",
 )
+PAYMENT_COLUMNS = (
+    "order_id", "payment_seq", "payment_type", "installments", "payment_value",
+)
 ITEM_COLUMNS = (
     "order_id", "item_seq", "product_id", "seller_id", "price", "freight_value", "item_total",
 )
@@ -195,7 +199,8 @@ def fact_order_items(
     )
 
 
-def traced_payments(stg: DataFrame, orders: DataFrame) -> DataFrame:
+def single_payments(stg: DataFrame) -> DataFrame:
+    """Typed payments, one per (order_id, payment_seq), order not yet checked."""
     typed = stg.select(
         "order_id",
         to_int(F.col("payment_sequential")).alias("payment_seq"),
@@ -203,7 +208,7 @@ def traced_payments(stg: DataFrame, orders: DataFrame) -> DataFrame:
         to_int(F.col("payment_installments")).alias("installments"),
         to_money(F.col("payment_value")).alias("payment_value"),
     )
-    first = keep_first_traced(
+    return keep_first_traced(
         typed,
         ["order_id", "payment_seq"],
         ["payment_type", "installments", "payment_value"],
@@ -211,15 +216,19 @@ def traced_payments(stg: DataFrame, orders: DataFrame) -> DataFrame:
             (NULL_KEY, F.col("order_id").isNull()), (BAD_KEY, F.col("payment_seq").isNull())
         ),
     )
-    parents = orders.select("order_id", F.lit(True).alias("_order"))
-    checked = first.join(parents, "order_id", "left")
-    return with_parents(checked, (NO_ORDER, "_order")).select(
-        "order_id", "payment_seq", "payment_type", "installments", "payment_value", *_TRACE
+
+
+def traced_payments(payments: DataFrame, orders: DataFrame) -> DataFrame:
+    """Payments of `single_payments`, those without an order marked."""
+    keys = shared_keys(payments, orders)
+    parents = orders.select(*keys, F.lit(True).alias("_order"))
+    return with_parents(payments.join(parents, keys, "left"), (NO_ORDER, "_order")).select(
+        *keys, "payment_seq", "payment_type", "installments", "payment_value", *_TRACE
     )
 
 
 def fact_payments(stg: DataFrame, orders: DataFrame) -> DataFrame:
-    return kept(traced_payments(stg, orders))
+    return kept(traced_payments(single_payments(stg), orders))
 
 
 def with_parents(joined: DataFrame, *parents: tuple[str, str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallkeeper.functions.casts import blank, folded, to_int, to_money, to_timestamp
-from stallkeeper.functions.measures import count_where
+from stallkeeper.operators.buckets import SALT, with_salt
 from stallkeeper.operators.cleaning import RULES_OF
 from stallkeeper.operators.dedup import COPIES, DUPLICATE, LOST_BY
 from stallkeeper.sources.schemas import CONVERSIONS, FOREIGN_KEYS, RULES, STAGING
@@ -34,70 +34,79 @@ def staging_counts(staging: Tables) -> DataFrame:
     )
 
 
-def _unconverted(name: str) -> list[Column]:
-    """For each converted column, how many texts that are not blank became NULL."""
+def _unconverted(name: str) -> dict[str, Column]:
+    """For each converted column, whether a text that is not blank becomes NULL."""
     to_type = {"int": to_int, "money": to_money, "timestamp": to_timestamp}
-    return [
-        F.struct(
-            F.lit(f"text not converted: {name}.{column}").alias("check_name"),
-            F.count_if(~blank(F.col(column)) & to_type[kind](F.col(column)).isNull())
-            .cast("string")
-            .alias("finding"),
-        )
+    return {
+        f"text not converted: {name}.{column}": ~blank(F.col(column))
+        & to_type[kind](F.col(column)).isNull()
         for column, kind in CONVERSIONS[name].items()
-    ]
+    }
 
 
 def dq_profile(staging: Tables) -> DataFrame:
-    """Findings on the raw text, one pass per table."""
-
-    def finding(check: str, value: Column) -> Column:
-        return F.struct(F.lit(check).alias("check_name"), value.alias("finding"))
+    """Findings on the raw text, one pass per table.
 
-    people = F.concat(
-        F.count(F.lit(1)).cast("string"),
-        F.lit(" rows / "),
-        F.countDistinct("customer_unique_id").cast("string"),
-        F.lit(" people"),
-    )
+    Where keys have to be told apart, everything is counted for each key first and then summed, so
+    that no key's rows are repeated for it.
+    """
     undated = (folded(F.col("order_status")) == "delivered") & (
         F.col("order_delivered_customer_date").isNull()
         | (F.rtrim("order_delivered_customer_date") == "")
     )
     price = to_money(F.col("price"))
-    line_key = F.concat(
-        F.coalesce("order_id", F.lit("")), F.lit("|"), F.coalesce("order_item_id", F.lit(""))
-    )
-    repeated = F.count(F.lit(1)) - F.countDistinct(line_key)
     # The texts of the first five checks.
-    findings = {
-        "stg_customers": [finding("customer_id rows vs real people (unique_id)", people)],
-        "stg_products": [
-            finding(
-                "products with missing category",
-                count_where(blank(F.col("product_category_name"))).cast("string"),
-            )
-        ],
-        "stg_orders": [
-            finding(
-                "orders marked delivered but no delivery date", count_where(undated).cast("string")
-            )
-        ],
+    people = "customer_id rows vs real people (unique_id)"
+    copies = "duplicate order_item keys (order_id,item_id)"
+    conditions = {
+        "stg_customers": {},
+        "stg_products": {"products with missing category": blank(F.col("product_category_name"))},
+        "stg_orders": {"orders marked delivered but no delivery date": undated},
+        "stg_order_items": {
+            "order_items with non-numeric/negative price": price.isNull() | (price < 0)
+        },
+        "stg_order_payments": {},
+    }
+    keys = {
+        "stg_customers": [F.col("customer_unique_id")],
         "stg_order_items": [
-            finding(
-                "order_items with non-numeric/negative price",
-                count_where(price.isNull() | (price < 0)).cast("string"),
-            ),
-            finding("duplicate order_item keys (order_id,item_id)", repeated.cast("string")),
+            F.coalesce(c, F.lit("")) for c in ("order_id", "order_item_id")
         ],
-        "stg_order_payments": [],
     }
-    return _union_all(
-        staging[name]
-        .agg(F.array(*own, *_unconverted(name)).alias("f"))
-        .select(F.inline("f"))
-        for name, own in findings.items()
-    )
+    rows, different = F.sum("n"), F.count("k0")
+    on_keys = {
+        "stg_customers": {
+            people: F.concat(
+                F.coalesce(rows, F.lit(0)).cast("string"), F.lit(" rows / "),
+                different.cast("string"), F.lit(" people"),
+            )
+        },
+        "stg_order_items": {copies: (F.coalesce(rows, F.lit(0)) - different).cast("string")},
+    }
+
+    def profile(name: str) -> DataFrame:
+        own = conditions[name]
+        checks = own | _unconverted(name)
+        counts = [F.count_if(c.isNotNull() & c).alias(f"c{i}") for i, c in enumerate(checks.values())]
+        by = [k.alias(f"k{i}") for i, k in enumerate(keys.get(name, [F.lit(0)]))]
+        if name not in keys:
+            counted = staging[name].agg(F.count(F.lit(1)).alias("n"), *counts)
+        else:
+            counted = staging[name].groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *counts)
+        found = {
+            # As a sum of cases, which is NULL over no rows.
+            check: (F.when(rows > 0, F.sum(f"c{i}")) if check in own else F.coalesce(
+                F.sum(f"c{i}"), F.lit(0)
+            )).cast("string")
+            for i, check in enumerate(checks)
+        } | on_keys.get(name, {})
+        listed = [
+            F.struct(F.lit(check).alias("check_name"), value.alias("finding"))
+            for check, value in found.items()
+        ]
+        return counted.agg(F.array(*listed).alias("f")).select(F.inline("f"))
+
+    return _union_all(profile(name) for name in conditions)
 
 
 def reconcile_counts(staging: Tables, star: Tables) -> DataFrame:
@@ -177,11 +186,11 @@ def loss_ledger(raw_counts: DataFrame, tables: Tables) -> DataFrame:
 
 
 def check_primary_keys(staging: Tables, star: Tables) -> DataFrame:
-    """Number of keys held by more than one row."""
+    """Number of keys held by more than one row. Tables dealt by order are counted where they lie."""
 
     def repeated(df: DataFrame, keys: tuple[str, ...], stage: str, table: str) -> DataFrame:
         return (
-            df.groupBy(*keys)
+            df.groupBy(*with_salt(df, keys))
             .agg(F.count(F.lit(1)).alias("n"))
             .where(F.col("n") > 1)
             .agg(F.count(F.lit(1)).alias("duplicate_keys"))
@@ -198,11 +207,14 @@ def check_primary_keys(staging: Tables, star: Tables) -> DataFrame:
     )
 
 
-def check_foreign_keys(staging: Tables, star: Tables) -> DataFrame:
+def check_foreign_keys(
+    staging: Tables, star: Tables, order_places: DataFrame | None = None
+) -> DataFrame:
     """Rows whose parent is missing. A NULL reference is not an orphan.
 
     Each child is read once for all of its references. They are counted per key before the one
-    join, so a missing parent that very many rows point at is a single row in the shuffle.
+    join, so a missing parent that very many rows point at is a single row in the shuffle. Children
+    dealt by order meet `order_places` in their own buckets, without a shuffle.
     """
     edges = []
     for fk in FOREIGN_KEYS:
@@ -211,22 +223,35 @@ def check_foreign_keys(staging: Tables, star: Tables) -> DataFrame:
     numbered = list(enumerate(edges))
     tables = {"raw": staging, "clean": star}
 
+    def in_place(edge: tuple) -> bool:
+        stage, child, _, column = edge
+        return (
+            order_places is not None and stage == "clean" and column == "order_id"
+            and SALT in tables[stage][child].columns
+        )
+
     def pair(edge: int, column: str) -> Column:
         return F.struct(F.lit(edge).alias("edge"), F.col(column).alias("key"))
 
     def references(stage: str, child: str) -> DataFrame:
-        own = [pair(n, e[3]) for n, e in numbered if e[:2] == (stage, child)]
+        own = [pair(n, e[3]) for n, e in elsewhere if e[:2] == (stage, child)]
         return tables[stage][child].select(F.inline(F.array(*own))).where("key IS NOT NULL")
 
-    children = dict.fromkeys(e[:2] for e in edges)
-    counted = _union_all(references(*child) for child in children)
+    elsewhere = [(n, e) for n, e in numbered if not in_place(e)]
+    counted = _union_all(references(*child) for child in dict.fromkeys(e[:2] for _, e in elsewhere))
     counted = counted.groupBy("edge", "key").agg(F.count(F.lit(1)).alias("n"))
     parents = _union_all(
         tables[stage][parent].select(F.lit(n).alias("edge"), F.col(column).alias("key"))
-        for n, (stage, _, parent, column) in numbered
+        for n, (stage, _, parent, column) in elsewhere
     )
-    orphans = counted.join(parents, ["edge", "key"], "left_anti").select("edge", "n")
-    found = orphans.groupBy("edge").agg(F.sum("n").alias("n"))
+    orphans = [counted.join(parents, ["edge", "key"], "left_anti").select("edge", "n")]
+    for n, (stage, child, _, column) in numbered:
+        if in_place((stage, child, None, column)):
+            rows = tables[stage][child].where(F.col(column).isNotNull())
+            rows = rows.groupBy(column, SALT).agg(F.count(F.lit(1)).alias("n"))
+            missing = rows.join(order_places, [column, SALT], "left_anti")
+            orphans.append(missing.select(F.lit(n).alias("edge"), "n"))
+    found = _union_all(orphans).groupBy("edge").agg(F.sum("n").alias("n"))
     names = found.sparkSession.createDataFrame(
         [(n, *e) for n, e in numbered],
         "edge int, stage string, child string, parent string, column_name string",

@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 from stallkeeper.functions.measures import (
     MONEY, PERCENT, count_where, days_between, month_label, percent, ratio,
 )
+from stallkeeper.operators.buckets import totals_per_order_group
 
-def _total(grouped: DataFrame, column: str) -> Column:
-    """Sum over all groups, as a subquery: however many groups there are, none has to be in one
-    task with all others."""
-    return grouped.agg(F.sum(column)).scalar()
+
+def _total(grouped: DataFrame, *columns: str) -> Column:
+    """Sums over all groups, as fields of one subquery: however many groups there are, none has to
+    be in one task with all others.
+
+    All measures have to be named, used or not: then the subquery groups its input exactly as the
+    query does, and Spark runs that once for both.
+    """
+    return grouped.agg(F.struct(*[F.sum(c).alias(c) for c in columns])).scalar()
 
 
 def _delivered(sales: DataFrame, status: str) -> DataFrame:
@@ -44,28 +50,26 @@ def q2_monthly_revenue(orders: DataFrame) -> DataFrame:
 
 
 def q3_category_share(sales: DataFrame, status: str = "delivered") -> DataFrame:
-    per_category = (
-        _delivered(sales, status)
-        .groupBy("category")
-        .agg(
-            F.countDistinct("order_id").alias("orders"),
-            F.count(F.lit(1)).alias("items_sold"),
-            F.sum("price").cast(MONEY).alias("revenue_brl"),
-        )
-    )
-    total = _total(per_category, "revenue_brl")
-    return per_category.withColumn(
-        "pct_of_revenue", percent(F.col("revenue_brl"), total)
+    per_category = totals_per_order_group(
+        _delivered(sales, status), ["category"], revenue_brl=F.col("price")
+    ).withColumn("revenue_brl", F.col("revenue_brl").cast(MONEY))
+    total = _total(per_category, "orders", "lines", "revenue_brl")["revenue_brl"]
+    return per_category.select(
+        "category",
+        "orders",
+        F.col("lines").alias("items_sold"),
+        "revenue_brl",
+        percent(F.col("revenue_brl"), total).alias("pct_of_revenue"),
     ).orderBy(F.desc("revenue_brl"), "category")
 
 
 def q4a_top_sellers(sales: DataFrame, status: str = "delivered", n: int = 10) -> DataFrame:
+    per_seller = totals_per_order_group(
+        _delivered(sales, status), ["seller_id", "seller_state"], revenue_brl=F.col("price")
+    )
     return (
-        _delivered(sales, status)
-        .groupBy("seller_id", "seller_state")
-        .agg(
-            F.countDistinct("order_id").alias("orders"),
-            F.sum("price").cast(MONEY).alias("revenue_brl"),
+        per_seller.select(
+            "seller_id", "seller_state", "orders", F.col("revenue_brl").cast(MONEY).alias("revenue_brl")
         )
         .orderBy(F.desc("revenue_brl"), "seller_id")
         .limit(n)
@@ -74,9 +78,8 @@ def q4a_top_sellers(sales: DataFrame, status: str = "delivered", n: int = 10) ->
 
 def q4b_top_categories(sales: DataFrame, status: str = "delivered", n: int = 10) -> DataFrame:
     return (
-        _delivered(sales, status)
-        .groupBy("category")
-        .agg(F.countDistinct("order_id").alias("orders"))
+        totals_per_order_group(_delivered(sales, status), ["category"])
+        .select("category", "orders")
         .orderBy(F.desc("orders"), "category")
         .limit(n)
     )
@@ -84,7 +87,7 @@ def q4b_top_categories(sales: DataFrame, status: str = "delivered", n: int = 10)
 
 def q5a_status_mix(fact_orders: DataFrame) -> DataFrame:
     counted = fact_orders.groupBy("order_status").agg(F.count(F.lit(1)).alias("orders"))
-    total = _total(counted, "orders")
+    total = _total(counted, "orders")["orders"]
     return counted.withColumn("pct_of_orders", percent(F.col("orders"), total)).orderBy(
         F.desc("orders"), "order_status"
     )
@@ -120,7 +123,7 @@ def q7_payment_mix(fact_payments: DataFrame) -> DataFrame:
         .alias("avg_installments"),
         F.sum("payment_value").cast(MONEY).alias("total_paid_brl"),
     )
-    total = _total(counted, "payment_rows")
+    total = _total(counted, "payment_rows", "avg_installments", "total_paid_brl")["payment_rows"]
     return counted.select(
         "payment_type",
         "payment_rows",
@@ -135,14 +138,13 @@ def q8_loyalty(customers: DataFrame) -> DataFrame:
     grouped = customers.groupBy(kind.alias("customer_type")).agg(
         F.count(F.lit(1)).alias("customers"), F.sum("revenue").cast(MONEY).alias("revenue_brl")
     )
-    people = _total(grouped, "customers")
-    revenue = _total(grouped, "revenue_brl")
+    total = _total(grouped, "customers", "revenue_brl")
     return grouped.select(
         "customer_type",
         "customers",
-        percent(F.col("customers"), people).alias("pct_of_customers"),
+        percent(F.col("customers"), total["customers"]).alias("pct_of_customers"),
         "revenue_brl",
-        percent(F.col("revenue_brl"), revenue).alias("pct_of_revenue"),
+        percent(F.col("revenue_brl"), total["revenue_brl"]).alias("pct_of_revenue"),
     ).orderBy("customer_type")
 
 

@@ -52,8 +52,10 @@ REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "reconcile_counts": lambda w: quality.reconcile_counts(w.staging, w),
     "loss_ledger": lambda w: w.loss_ledger(),
     "check_files": lambda w: w.check_files(STAGING).drop("files_written", "files_found"),
-    "check_primary_keys": lambda w: quality.check_primary_keys(w.staging, w),
-    "check_foreign_keys": lambda w: quality.check_foreign_keys(w.staging, w),
+    "check_primary_keys": lambda w: quality.check_primary_keys(w.staging, w.star_as_dealt()),
+    "check_foreign_keys": lambda w: quality.check_foreign_keys(
+        w.staging, w.star_as_dealt(), w.order_places()
+    ),
     "check_not_null": lambda w: quality.check_not_null(w.staging, w),
     "dim_customers": lambda w: w["dim_customers"],
     "dim_products": lambda w: w["dim_products"],
@@ -64,9 +66,9 @@ REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "sales_lines": lambda w: w["sales_lines"],
     "q1_kpis": lambda w: business.q1_kpis(w["customer_totals"]),
     "q2_monthly_revenue": lambda w: business.q2_monthly_revenue(w["order_totals"]),
-    "q3_category_share": lambda w: business.q3_category_share(w["sales_lines"]),
-    "q4a_top_sellers": lambda w: business.q4a_top_sellers(w["sales_lines"]),
-    "q4b_top_categories": lambda w: business.q4b_top_categories(w["sales_lines"]),
+    "q3_category_share": lambda w: business.q3_category_share(w.dealt("sales_lines")),
+    "q4a_top_sellers": lambda w: business.q4a_top_sellers(w.dealt("sales_lines")),
+    "q4b_top_categories": lambda w: business.q4b_top_categories(w.dealt("sales_lines")),
     "q5a_status_mix": lambda w: business.q5a_status_mix(w["fact_orders"]),
     "q5b_cancellation_rate": lambda w: business.q5b_cancellation_rate(w["fact_orders"]),
     "q6_revenue_by_state": lambda w: business.q6_revenue_by_state(w["order_totals"]),

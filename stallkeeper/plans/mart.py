@@ -1,10 +1,13 @@
 """The reporting view and the rollups the reports share."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallkeeper.functions.measures import MONEY, month_start
 from stallkeeper.operators import cleaning
+from stallkeeper.operators.buckets import shared_keys
 from stallkeeper.operators.dedup import COPIES, LOST_BY, kept, traced
 
 SALES_COLUMNS = (
@@ -13,6 +16,10 @@ SALES_COLUMNS = (
     "product_id", "category", "seller_id", "seller_state", "price", "freight_value", "item_total",
 )
 
+PLACED_COLUMNS = (
+    *cleaning.ORDER_COLUMNS, "customer_unique_id", "customer_state", "customer_city",
+)
+
 
 def traced_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Orders with the person, city and state behind them; those without a customer are marked.
@@ -36,28 +43,35 @@ def placed_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def traced_sales(
-    lines: DataFrame, placed: DataFrame, products: DataFrame, sellers: DataFrame
+    lines: DataFrame,
+    placed: DataFrame,
+    products: DataFrame,
+    sellers: DataFrame,
+    deal: Callable[[DataFrame], DataFrame] = traced,
 ) -> DataFrame:
     """One row per sold line with order, customer, product and seller attributes, and the lines
     that have lost one of these.
 
-    As in `traced_orders`, `lines` may come before or after the referential check.
+    As in `traced_orders`, `lines` may come before or after the referential check. Orders come last:
+    `deal` brings the lines to where the orders already are.
     """
     parents = [
         (products.select("product_id", "category"), "product_id", "_product"),
         (sellers.select("seller_id", "seller_state"), "seller_id", "_seller"),
-        (kept(placed), "order_id", "_order"),
     ]
     joined = traced(lines)
     for parent, key, found in parents:
         joined = joined.join(parent.withColumn(found, F.lit(True)), key, "left")
+    joined, placed = deal(joined), kept(placed)
+    keys = shared_keys(joined, placed)
+    joined = joined.join(placed.withColumn("_order", F.lit(True)), keys, "left")
     checked = cleaning.with_parents(
         joined,
         (cleaning.NO_ORDER, "_order"),
         (cleaning.NO_PRODUCT, "_product"),
         (cleaning.NO_SELLER, "_seller"),
     )
-    return checked.select(*SALES_COLUMNS, LOST_BY, COPIES)
+    return checked.select(*SALES_COLUMNS, *keys[1:], LOST_BY, COPIES)
 
 
 def sales_lines(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallkeeper.operators import cleaning, quality
+from stallkeeper.operators.buckets import Buckets, dealt, dealt_orders, hot_orders, once
 from stallkeeper.operators.dedup import kept
 from stallkeeper.operators.ranking import in_global_order, with_rank
 from stallkeeper.plans import advanced, mart
@@ -27,7 +28,12 @@ _LOADED = "loaded_"
 _PROJECTIONS = {
     "fact_orders": ("placed_orders", cleaning.ORDER_COLUMNS),
     "fact_order_items": ("sales_lines", cleaning.ITEM_COLUMNS),
+    "fact_payments": ("fact_payments", cleaning.PAYMENT_COLUMNS),
+    "placed_orders": ("placed_orders", mart.PLACED_COLUMNS),
+    "sales_lines": ("sales_lines", mart.SALES_COLUMNS),
 }
+# Dealt alike by order. Sorted in each file, so that a filter on the status skips row groups.
+_BUCKETED = {"placed_orders": ("order_status",), "sales_lines": ("order_status",), "fact_payments": ()}
 
 
 class TooManyRejects(ValueError):
@@ -126,14 +132,40 @@ class Warehouse(Mapping[str, DataFrame]):
         self.close()
 
     def __getitem__(self, name: str) -> DataFrame:
-        source, columns = _PROJECTIONS.get(name, (name, None))
-        rows = kept(self.traced(source))
+        columns = _PROJECTIONS.get(name, (name, None))[1]
+        rows = self.dealt(name)
         return rows.select(*columns) if columns else rows
 
     def traced(self, name: str) -> DataFrame:
         """The table as it is stored, with the rows that a rule dropped."""
         source = _PROJECTIONS.get(name, (name,))[0]
-        return self.store.table(source, self._builders[source])
+        rows = self.store.table(source, self._builders[source], self._buckets(source))
+        return once(rows) if source == "placed_orders" else rows
+
+    def dealt(self, name: str) -> DataFrame:
+        """The rows of a table as it lies in buckets, with the salt of their order if it has one."""
+        return kept(self.traced(name))
+
+    def star_as_dealt(self) -> dict[str, DataFrame]:
+        return {name: self.dealt(name) for name in STAR}
+
+    def order_places(self) -> DataFrame:
+        """Each order in every bucket that rows of it may be in."""
+        stored = self.store.table(
+            "placed_orders", self._builders["placed_orders"], self._buckets("placed_orders")
+        )
+        return kept(stored)
+
+    def _buckets(self, name: str) -> Buckets | None:
+        if name not in _BUCKETED:
+            return None
+        return Buckets(self._bucket_count, sort=_BUCKETED[name])
+
+    @property
+    def _bucket_count(self) -> int:
+        if self.sizing:
+            return self.sizing.partitions
+        return int(self.store.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def staging_counts(self) -> DataFrame:
         """Rows of each staging table as counted when it was written; nothing is scanned."""
@@ -175,7 +207,7 @@ class Warehouse(Mapping[str, DataFrame]):
     def rebuild(self) -> None:
         """Writes every table again, parents before children."""
         for name, build in self._builders.items():
-            self.store.replace(name, build())
+            self.store.replace(name, build(), buckets=self._buckets(name))
 
     def register_views(self) -> None:
         """Makes the tables available to spark.sql under their own names."""
@@ -194,19 +226,29 @@ class Warehouse(Mapping[str, DataFrame]):
             "dim_products": lambda: cleaning.traced_products(
                 stg["stg_products"], stg["stg_category"]
             ),
-            "placed_orders": lambda: mart.traced_orders(
-                cleaning.traced_headers(stg["stg_orders"]), self["dim_customers"]
+            "hot_orders": lambda: hot_orders(
+                [stg["stg_order_items"], stg["stg_order_payments"]], self._bucket_count
+            ),
+            "placed_orders": lambda: dealt_orders(
+                mart.traced_orders(
+                    cleaning.traced_headers(stg["stg_orders"]), self["dim_customers"]
+                ),
+                self["hot_orders"],
+                self._bucket_count,
             ),
             "fact_payments": lambda: cleaning.traced_payments(
-                stg["stg_order_payments"], self["fact_orders"]
+                self._dealt_by_order(
+                    cleaning.single_payments(stg["stg_order_payments"]), "payment_seq"
+                ),
+                self.order_places(),
             ),
-            # Sorted in each file, so that a filter on the status skips row groups.
             "sales_lines": lambda: mart.traced_sales(
                 cleaning.traced_lines(stg["stg_order_items"]),
-                self["placed_orders"],
+                self.order_places(),
                 self["dim_products"],
                 self["dim_sellers"],
-            ).sortWithinPartitions("order_status"),
+                lambda lines: self._dealt_by_order(lines, "item_seq"),
+            ),
             "order_totals": lambda: mart.order_totals(self["sales_lines"]),
             "customer_totals": lambda: mart.customer_totals(self["order_totals"]),
             "rfm_positions": lambda: in_global_order(
@@ -218,6 +260,9 @@ class Warehouse(Mapping[str, DataFrame]):
             ),
         }
 
+    def _dealt_by_order(self, rows: DataFrame, by: str) -> DataFrame:
+        return dealt(rows, by, self["hot_orders"], self._bucket_count)
+
     def rfm_ranked(self) -> DataFrame:
         return with_rank(self["rfm_positions"])
 

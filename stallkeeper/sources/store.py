@@ -4,6 +4,7 @@ import hashlib
 import json
 import threading
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import asdict
 from functools import cache, reduce
 from tempfile import TemporaryDirectory
 from urllib.parse import urlparse
@@ -12,6 +13,9 @@ from uuid import uuid4
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from stallkeeper.operators.buckets import Buckets
 
 # Written into a table's folder after its files. Readers skip names that begin with "_".
 _MARKER = "_stallkeeper_complete"
@@ -36,10 +40,12 @@ class TableStore:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def table(
+        self, name: str, build: Callable[[], DataFrame], buckets: Buckets | None = None
+    ) -> DataFrame:
         with self._lock:
             if name not in self._tables and not self._complete(name):
-                return self.replace(name, build())
+                return self.replace(name, build(), buckets=buckets)
             return self._read(name)
 
     def existing(self, name: str) -> DataFrame:
@@ -56,9 +62,16 @@ class TableStore:
                 write_text(self.spark, f"{self.path(name)}/{_MARKER}", name)
             return self.path(name)
 
-    def replace(self, name: str, df: DataFrame, rejected: Column | None = None) -> DataFrame:
+    def replace(
+        self,
+        name: str,
+        df: DataFrame,
+        rejected: Column | None = None,
+        buckets: Buckets | None = None,
+    ) -> DataFrame:
         """Empty and reload: the way to re-run a load on new input. Rows are counted as they are
-        written, and those for which `rejected` is true besides."""
+        written, and those for which `rejected` is true besides. Rows for buckets have to come in
+        as many partitions, by the same columns."""
         if rejected is None:
             rejected = F.lit(False)
         with self._lock:
@@ -66,14 +79,43 @@ class TableStore:
             counted = df.observe(
                 seen, F.count(F.lit(1)).alias("rows"), F.count_if(rejected).alias("rejected")
             )
-            counted.write.mode("overwrite").parquet(self.path(name))
+            if buckets:
+                written = _passing_name()
+                writer = counted.write.mode("overwrite").option("path", self.path(name))
+                writer = writer.bucketBy(buckets.count, *buckets.columns)
+                if buckets.sort:
+                    writer = writer.sortBy(*buckets.sort)
+                writer.saveAsTable(written)
+                self.spark.sql(f"DROP TABLE {written}")  # the files stay
+            else:
+                counted.write.mode("overwrite").parquet(self.path(name))
             files, size = _data_files(self.spark, self.path(name))
             about = {"table_name": name, **seen.get, "files": files, "bytes": size}
+            about |= {"buckets": asdict(buckets) if buckets else None}
             write_text(self.spark, self._counts_path(name), json.dumps(about))
             write_text(self.spark, f"{self.path(name)}/{_MARKER}", name)
-            self._tables[name] = self.spark.read.schema(df.schema).parquet(self.path(name))
+            self._tables[name] = self._stored(name, df.schema, buckets)
             return self._tables[name]
 
+    def _stored(self, name: str, schema: StructType, buckets: Buckets | None) -> DataFrame:
+        if not buckets:
+            return self.spark.read.schema(schema).parquet(self.path(name))
+        # Only a catalog can tell Spark of buckets. The table is known to it just long enough to be
+        # read by name; what is read then keeps the layout.
+        known = _passing_name()
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        listed = ", ".join(buckets.columns)
+        path = self.path(name).replace("\\", "\\\\").replace("'", "\\'")
+        order = f"SORTED BY ({', '.join(buckets.sort)}) " if buckets.sort else ""
+        self.spark.sql(
+            f"CREATE TABLE {known} ({columns}) USING parquet CLUSTERED BY ({listed}) {order}"
+            f"INTO {buckets.count} BUCKETS LOCATION '{path}'"
+        )
+        try:
+            return self.spark.table(known)
+        finally:
+            self.spark.sql(f"DROP TABLE {known}")
+
     def counts(self) -> dict[str, dict]:
         """What was noted for each table that was written: rows, rejected, files and bytes."""
         names = names_in(self.spark, f"{self.folder}/{_COUNTS}")
@@ -116,7 +158,11 @@ class TableStore:
 
     def _read(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(self.path(name))
+            plain = self.spark.read.parquet(self.path(name))
+            noted = exists(self.spark, self._counts_path(name)) and self.count(name)["buckets"]
+            self._tables[name] = (
+                self._stored(name, plain.schema, Buckets(**noted)) if noted else plain
+            )
         return self._tables[name]
 
     def _complete(self, name: str) -> bool:
@@ -195,6 +241,10 @@ def delete_at_exit(spark: SparkSession, folder: str) -> None:
     fs.deleteOnExit(location)
 
 
+def _passing_name() -> str:
+    return f"stallkeeper_{uuid4().hex}"
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     location, fs = _file_system(spark, path)
     out = fs.create(location, True)
