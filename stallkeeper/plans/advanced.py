@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from stallkeeper.functions.measures import (
     MONEY, count_where, days_between, month_label, month_start, percent, ratio,
 )
-from stallkeeper.operators.ranking import bucket_end
+from stallkeeper.operators.selection import keys_at_ranks
 from stallkeeper.plans.business import arrived, delivery_measures
 
 
@@ -71,26 +71,39 @@ def a3_top_seller_per_category(sales: DataFrame, status: str = "delivered") -> D
     )
 
 
-# RFM dimensions in ranking order. The rank table holds each person once per dimension.
+# RFM dimensions.
 RECENCY, FREQUENCY, MONETARY = range(3)
-RFM_ORDER = ["dimension", "value_missing", "value", "customer_unique_id"]
+_BORDER = "struct<value_missing: boolean, value: decimal(18,2), customer_unique_id: string>"
 
 
-def rfm_values(customers: DataFrame) -> DataFrame:
-    """Three rows per person, so that one sort serves the three scores.
+def rfm_borders(customers: DataFrame, buckets: int = 4) -> DataFrame:
+    """One row with the keys at which the buckets of each dimension end, found by counting persons.
 
     Recency by days descending is last purchase day ascending, which does not
     depend on the as-of date. A missing purchase date ranks as most recent.
     """
-    return customers.select(
-        "customer_unique_id",
-        F.posexplode(_rfm_keys()).alias("dimension", "_key"),
-    ).select("customer_unique_id", "dimension", "_key.*")
+    n = customers.count()
+    ends = [n // buckets * b + min(n % buckets, b) for b in range(1, buckets)] if n else []
+    cents = (F.col("revenue") * 100).cast("bigint")
+    values = [_last_day().cast("bigint"), F.col("orders"), cents]
+    found = keys_at_ranks(customers, values, "customer_unique_id", [ends] * 3)
+    scales = {RECENCY: 0, FREQUENCY: 0, MONETARY: -2}
+    borders = [
+        None if not ends else (key is None, None if key is None else Decimal(key).scaleb(scales[d]), person)
+        for d, keys in enumerate(found)
+        for key, person in (keys or [(None, None)] * (buckets - 1))
+    ]
+    names = [f"d{d}b{b}" for d in range(3) for b in range(1, buckets)]
+    schema = ", ".join(f"{name} {_BORDER}" for name in names)
+    return customers.sparkSession.createDataFrame([tuple(borders)], schema)
+
+
+def _last_day() -> Column:
+    return F.unix_date(F.col("last_purchase_ts").cast("date"))
 
 
 def _rfm_keys() -> Column:
-    last_day = F.unix_date(F.col("last_purchase_ts").cast("date"))
-    values = [last_day, F.col("orders"), F.col("revenue")]  # RECENCY, FREQUENCY, MONETARY
+    values = [_last_day(), F.col("orders"), F.col("revenue")]  # RECENCY, FREQUENCY, MONETARY
     return F.array(
         *[
             F.struct(v.isNull().alias("value_missing"), v.cast(MONEY).alias("value"))
@@ -101,35 +114,18 @@ def _rfm_keys() -> Column:
 
 def a4_rfm_scores(
     customers: DataFrame,
-    ranked: DataFrame,
+    borders: DataFrame,
     fact_orders: DataFrame,
     buckets: int = 4,
     as_of: date | None = None,
 ) -> DataFrame:
     """Quartile scores per person.
 
-    `ranked` is the globally ranked `rfm_values`. Only the key of the last row of each
-    bucket is needed: a person's score is 1 + the number of those keys below its own,
-    so persons are scored where they are, without a shuffle.
+    `borders` are the `rfm_borders` of the persons: a score is 1 + the number of keys at which a
+    bucket ends that are below the person's own, so persons are scored where they are.
     """
     last_purchase = fact_orders.agg(F.max("purchase_ts").cast("date").alias("d")).scalar()
-    people = (F.col("n") / 3).cast("bigint")  # each person is ranked once per dimension
-    ends = [bucket_end(b, buckets, people) for b in range(1, buckets)]
-    key = F.struct("value_missing", "value", "customer_unique_id")
-    border_rows = ranked.withColumn(
-        "rank", F.col("rn") - F.col("dimension") * people
-    ).where(F.col("rank").isin(ends))
-    borders = border_rows.agg(
-        F.struct(
-            *[
-                F.max(F.when((F.col("dimension") == d) & (F.col("rank") == end), key)).alias(
-                    f"d{d}b{b}"
-                )
-                for d in (RECENCY, FREQUENCY, MONETARY)
-                for b, end in enumerate(ends, 1)
-            ]
-        ).alias("borders")
-    ).scalar()
+    borders = borders.select(F.struct("*").alias("borders")).scalar()
 
     def score(dimension: int) -> Column:
         value = F.col("keys")[dimension]

@@ -43,7 +43,7 @@ def _reloaded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rfm_scores(w: Warehouse) -> DataFrame:
-    return advanced.a4_rfm_scores(w["customer_totals"], w.rfm_ranked(), w["fact_orders"])
+    return advanced.a4_rfm_scores(w["customer_totals"], w["rfm_borders"], w["fact_orders"])
 
 
 REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {

@@ -251,10 +251,7 @@ class Warehouse(Mapping[str, DataFrame]):
             ),
             "order_totals": lambda: mart.order_totals(self["sales_lines"]),
             "customer_totals": lambda: mart.customer_totals(self["order_totals"]),
-            "rfm_positions": lambda: in_global_order(
-                advanced.rfm_values(self["customer_totals"]),
-                [F.asc_nulls_first(c) for c in advanced.RFM_ORDER],
-            ),
+            "rfm_borders": lambda: advanced.rfm_borders(self["customer_totals"]),
             "seller_positions": lambda: in_global_order(
                 mart.seller_totals(self["sales_lines"]), [F.desc("revenue"), F.asc("seller_id")]
             ),
@@ -263,9 +260,6 @@ class Warehouse(Mapping[str, DataFrame]):
     def _dealt_by_order(self, rows: DataFrame, by: str) -> DataFrame:
         return dealt(rows, by, self["hot_orders"], self._bucket_count)
 
-    def rfm_ranked(self) -> DataFrame:
-        return with_rank(self["rfm_positions"])
-
     def sellers_ranked(self, running: bool = False) -> DataFrame:
         return with_rank(self["seller_positions"], "revenue" if running else None)
 

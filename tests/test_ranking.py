@@ -1,12 +1,17 @@
+import random
 from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from conftest import TESTDATA
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stallkeeper.operators import selection
 from stallkeeper.operators.ranking import bucket_end, in_global_order, with_rank
 from stallkeeper.plans import advanced
+from stallkeeper.plans.catalog import all_queries
+from stallkeeper.plans.warehouse import testdata_warehouse as warehouse_of
 from stallkeeper.sources.store import TableStore
 
 SIZES = [0, 1, 3, 4, 6, 1003]
@@ -70,17 +75,55 @@ def people(spark, *rows):
     )
 
 
-def rfm(spark, customers, folder, buckets=4, as_of=None):
-    store = TableStore(spark, str(folder))
-    order = [F.asc_nulls_first(c) for c in advanced.RFM_ORDER]
-    positions = store.table("p", lambda: in_global_order(advanced.rfm_values(customers), order))
+def rfm(customers, buckets=4, as_of=None):
     all_orders = customers.select(F.col("last_purchase_ts").alias("purchase_ts"))
-    return advanced.a4_rfm_scores(customers, with_rank(positions), all_orders, buckets, as_of)
+    borders = advanced.rfm_borders(customers, buckets)
+    return advanced.a4_rfm_scores(customers, borders, all_orders, buckets, as_of)
+
+
+def keys(rows, values, ranks):
+    """By sorting: a missing value last, a missing text first."""
+    found = []
+    for d, own in enumerate(ranks):
+        order = sorted(
+            (v[d] is None, v[d] or 0, text is not None, text or "", v[d]) for text, *v in rows
+        )
+        found.append([(order[r - 1][4], order[r - 1][3] if order[r - 1][2] else None) for r in own])
+    return found
+
+
+@pytest.mark.parametrize("bits, few", [(1, 1), (3, 5), (14, 1000)])
+def test_keys_at_ranks(spark, monkeypatch, bits, few):
+    monkeypatch.setattr(selection, "PART_BITS", bits)
+    monkeypatch.setattr(selection, "FEW_ROWS", few)
+    r = random.Random(bits)
+    texts = ["", "a", "ab", "abc", "abcd", "b" * 9, "é", "\U0001f600", "\ue000", "ab" * 3]
+    texts += [f"u{r.randrange(10**r.randrange(1, 9))}" for _ in range(300)]
+    rows = [
+        (text, r.choice([None, 1, 1, 1, 2]), r.randrange(-(10**17), 10**17), 5, None)
+        for text in [None, *dict.fromkeys(texts)]
+    ]
+    df = spark.createDataFrame(rows, "t string, a long, b long, c long, d long").repartition(5)
+    n = len(rows)
+    ranks = [[1, n // 4, n // 2, n], [1, 7, n], list(range(1, 30)) + [n], [1, n // 3, n]]
+    values = [F.col(c) for c in "abcd"]
+    assert selection.keys_at_ranks(df, values, "t", ranks) == keys(rows, "abcd", ranks)
+    with pytest.raises(ValueError, match="no ranks"):
+        selection.keys_at_ranks(df, values, "t", [[n + 1], [], [], []])
+    none = df.limit(0)
+    assert selection.keys_at_ranks(none, values, "t", [[], [], [], []]) == [[]] * 4
+
+
+def test_borders_are_found_without_a_sort(spark):
+    w = warehouse_of(spark, f"{TESTDATA}/sf0.001")
+    for plan in (w["rfm_borders"], all_queries()["a4_rfm_scores"](spark, f"{TESTDATA}/sf0.001")):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in text and "Sort" not in text and "Window" not in text
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 4, 6, 103])
 @pytest.mark.parametrize("buckets", [4, 5])
-def test_rfm_scores_same_as_ntile(spark, tmp_path, size, buckets):
+def test_rfm_scores_same_as_ntile(spark, size, buckets):
     customers = spark.range(size).select(
         F.when(F.col("id") > 0, F.concat(F.lit("u"), F.col("id"))).alias("customer_unique_id"),
         F.when(F.col("id") % 10 == 0, 2).otherwise(1).cast("bigint").alias("orders"),
@@ -98,7 +141,7 @@ def test_rfm_scores_same_as_ntile(spark, tmp_path, size, buckets):
         F.ntile(buckets).over(Window.orderBy("orders", person)).alias("f_score"),
         F.ntile(buckets).over(Window.orderBy("revenue", person)).alias("m_score"),
     )
-    got = rfm(spark, customers, tmp_path, buckets).select(*expected.columns)
+    got = rfm(customers, buckets).select(*expected.columns)
 
     def by_person(df):
         return sorted(map(tuple, df.collect()), key=lambda r: r[0] or "")
@@ -106,7 +149,7 @@ def test_rfm_scores_same_as_ntile(spark, tmp_path, size, buckets):
     assert by_person(got) == by_person(expected)
 
 
-def test_recency_counts_to_the_last_purchase_or_the_given_day(spark, tmp_path):
+def test_recency_counts_to_the_last_purchase_or_the_given_day(spark):
     customers = people(
         spark,
         ("a", 1, Decimal("1.00"), datetime(2017, 1, 1, 23, 0)),
@@ -115,15 +158,15 @@ def test_recency_counts_to_the_last_purchase_or_the_given_day(spark, tmp_path):
     )
 
     def recency(**options):
-        scores = rfm(spark, customers, tmp_path, **options).collect()
+        scores = rfm(customers, **options).collect()
         return {row.customer_unique_id: row.recency_days for row in scores}
 
     assert recency() == {"a": 30, "b": 0, "c": None}
     assert recency(as_of=date(2017, 2, 1)) == {"a": 31, "b": 1, "c": None}
 
 
-def test_rfm_of_nobody(spark, tmp_path):
-    assert rfm(spark, people(spark), tmp_path).collect() == []
+def test_rfm_of_nobody(spark):
+    assert rfm(people(spark)).collect() == []
 
 
 def test_rfm_labels_first_match_wins(spark):
