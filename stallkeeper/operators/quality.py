@@ -10,7 +10,7 @@ from stallkeeper.functions.casts import blank, folded, to_int, to_money, to_time
 from stallkeeper.operators.buckets import SALT, with_salt
 from stallkeeper.operators.cleaning import RULES_OF
 from stallkeeper.operators.dedup import COPIES, DUPLICATE, LOST_BY
-from stallkeeper.sources.schemas import CONVERSIONS, FOREIGN_KEYS, RULES, STAGING
+from stallkeeper.sources.schemas import CONVERSIONS, FOREIGN_KEYS, LENGTHS, RULES, STAGING
 
 Tables = Mapping[str, DataFrame]
 
@@ -286,3 +286,30 @@ def check_not_null(staging: Tables, star: Tables) -> DataFrame:
             nulls(star[table], rules.not_null, "clean", table),
         )
     )
+
+
+def check_lengths(staging: Tables, star: Tables) -> DataFrame:
+    """Longest text of each column, in characters, and how many are longer than declared; one pass
+    per table. Nothing is cut: this says what a store that keeps to the lengths would refuse."""
+
+    def measured(df: DataFrame, stage: str, table: str) -> DataFrame:
+        found = F.array(
+            *[
+                F.struct(
+                    F.lit(stage).alias("stage"),
+                    F.lit(table).alias("table_name"),
+                    F.lit(column).alias("column_name"),
+                    F.lit(declared).alias("declared"),
+                    F.max(F.length(column)).alias("longest"),
+                    F.count_if(F.length(column) > declared).alias("too_long"),
+                )
+                for column, declared in LENGTHS[table].items()
+            ]
+        )
+        return df.agg(found.alias("f")).select(F.inline("f"))
+
+    return _union_all(
+        measured(staging[table] if table in STAGING else star[table], stage, table)
+        for table in LENGTHS
+        for stage in ["raw" if table in STAGING else "clean"]
+    )

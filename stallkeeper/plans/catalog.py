@@ -57,6 +57,7 @@ REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
         w.staging, w.star_as_dealt(), w.order_places()
     ),
     "check_not_null": lambda w: quality.check_not_null(w.staging, w),
+    "check_lengths": lambda w: quality.check_lengths(w.staging, w),
     "dim_customers": lambda w: w["dim_customers"],
     "dim_products": lambda w: w["dim_products"],
     "dim_sellers": lambda w: w["dim_sellers"],

@@ -26,15 +26,24 @@ def read_tab_separated(
 
 
 def read_comma_separated(
-    spark: SparkSession, path: str, schema: StructType, header: bool = True
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    header: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """The upstream form: UTF-8, commas, quoted fields with doubled quotes inside."""
+    """The upstream form: UTF-8, commas, quoted fields with doubled quotes inside.
+
+    A quoted field may hold line ends only if `multi_line` is set, as a file cannot be split
+    then; otherwise such a row is malformed, in two lines.
+    """
     return (
         _tolerant_reader(spark, schema, header)
         .option("sep", ",")
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
+        .option("multiLine", multi_line)
         .csv(path)
     )
 

@@ -117,3 +117,33 @@ CONVERSIONS = {
         "payment_sequential": "int", "payment_installments": "int", "payment_value": "money",
     },
 }
+
+# Declared lengths of text columns, in characters, by how many they are.
+_LENGTHS = {
+    "stg_customers": {50: "customer_id customer_unique_id", 20: "customer_zip_code_prefix",
+                      100: "customer_city", 10: "customer_state"},
+    "stg_orders": {50: "order_id customer_id",
+                   30: "order_status order_purchase_timestamp order_approved_at "
+                       "order_delivered_carrier_date order_delivered_customer_date "
+                       "order_estimated_delivery_date"},
+    "stg_order_items": {50: "order_id product_id seller_id", 10: "order_item_id",
+                        30: "shipping_limit_date", 20: "price freight_value"},
+    "stg_order_payments": {50: "order_id", 10: "payment_sequential payment_installments",
+                           30: "payment_type", 20: "payment_value"},
+    "stg_products": {50: "product_id", 100: "product_category_name",
+                     10: "product_name_lenght product_description_lenght product_photos_qty "
+                         "product_weight_g product_length_cm product_height_cm product_width_cm"},
+    "stg_sellers": {50: "seller_id", 20: "seller_zip_code_prefix", 100: "seller_city",
+                    10: "seller_state"},
+    "stg_category": {100: "product_category_name product_category_name_english"},
+    "dim_customers": {50: "customer_id customer_unique_id", 100: "city", 5: "state"},
+    "dim_products": {50: "product_id", 100: "category"},
+    "dim_sellers": {50: "seller_id", 100: "seller_city", 5: "seller_state"},
+    "fact_orders": {50: "order_id customer_id", 30: "order_status"},
+    "fact_order_items": {50: "order_id product_id seller_id"},
+    "fact_payments": {50: "order_id", 30: "payment_type"},
+}
+LENGTHS = {
+    table: {column: n for n, columns in by_length.items() for column in columns.split()}
+    for table, by_length in _LENGTHS.items()
+}

@@ -5,8 +5,9 @@ import pytest
 from frames import rows, staging
 from pyspark.sql import functions as F
 
-from stallkeeper.operators import cleaning
+from stallkeeper.operators import cleaning, quality
 from stallkeeper.operators.dedup import in_order, keep_first
+from stallkeeper.sources.schemas import LENGTHS, STAGING
 
 
 def test_customers(spark):
@@ -207,3 +208,28 @@ def test_hot_key_is_cut_to_one_row_per_task_before_the_shuffle(spark):
     # 0 stands for itself and for all multiples of 3.
     assert first.count() == 20001
     assert first.where("k = 0").first().v == 0
+
+
+def test_lengths_are_those_of_characters(spark):
+    def table(name):
+        return staging(spark, name, {c: "x" * n for c, n in LENGTHS[name].items()})
+
+    tables = {name: table(name) for name in STAGING}
+    tables["stg_sellers"] = staging(
+        spark, "stg_sellers", {"seller_id": "é" * 51, "seller_state": "\U0001f600" * 10}, {},
+        {"seller_id": "s" * 60},
+    )
+    star = {
+        name: spark.createDataFrame([tuple("y" * n for n in columns.values())], list(columns))
+        for name, columns in LENGTHS.items() if name not in STAGING
+    }
+    found = quality.check_lengths(tables, star).collect()
+    assert {(r.table_name, r.column_name): r.declared for r in found} == {
+        (t, c): n for t, columns in LENGTHS.items() for c, n in columns.items()
+    }
+    assert all(c in STAGING[t].names for t, columns in LENGTHS.items() if t in STAGING for c in columns)
+    changed = {(r.column_name, r.longest, r.too_long) for r in found if r.longest != r.declared}
+    assert changed == {
+        ("seller_id", 60, 2), ("seller_zip_code_prefix", None, 0), ("seller_city", None, 0),
+    }
+    assert sum(r.too_long for r in found) == 2

@@ -69,6 +69,17 @@ def test_comma_separated_with_quotes(spark, tmp_path):
     assert rows(files.rejected(loaded)) == [("short,row",)]
 
 
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_line_ends_within_quotes(spark, tmp_path, multi_line):
+    text = 'a,b,c,d\ns1,01,"Rio\nde Janeiro",RJ\ns2,02,x,SP\n'
+    loaded = load(spark, tmp_path, text, reader=files.read_comma_separated, multi_line=multi_line)
+    good = [("s2", "02", "x", "SP")]
+    if multi_line:
+        good = [("s1", "01", "Rio\nde Janeiro", "RJ"), *good]
+    assert rows(files.accepted(loaded)) == good
+    assert files.rejected(loaded).count() == (0 if multi_line else 2)
+
+
 def test_comma_separated_round_trip(spark, tmp_path):
     values = [("s1", "01", ' a, "b" ', "c\td"), ("s,2", None, "\\", "é")]
     df = spark.createDataFrame(values, SELLERS)

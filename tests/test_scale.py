@@ -130,6 +130,7 @@ def test_facts_cut_from_the_joined_tables_are_the_checked_facts(spark, table):
 CHECKS = {
     "check_foreign_keys": 1, "check_primary_keys": 1, "check_not_null": 1, "dq_profile": 1,
     "reconcile_counts": 1, "staging_counts": 0, "loss_ledger": 1, "check_files": 1,
+    "check_lengths": 1,
 }
 
 
