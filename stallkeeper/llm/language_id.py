@@ -117,7 +117,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with `lang_pred`, `score` (0 to 1) and `rejected`; columns of these names are
     replaced. Nothing but the text is looked at, and all of it. A text that is null, empty or
     without letters is `und` with score 0, and so is every text under an empty model. A rejected
-    answer is still given: whoever wants to go without it filters on `rejected`.
+    answer is still given: whoever wants to go without it filters on `rejected`. Among equal sizes
+    the language with more rows wins. Repeated rows are judged alike, each in its place.
     """
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -129,6 +130,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     names = ("lang_pred", "score", "rejected")
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return docs.select(*columns, predict("text").alias("_found")).select(
-        *columns, *[F.col(f"_found.{name}") for name in names]
-    )
+    found = docs.select(F.struct(*columns).alias("given"), predict("text").alias("found"))
+    return found.select("given.*", "found.*")

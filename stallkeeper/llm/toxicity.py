@@ -154,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from the documents that `labels` (doc_id, toxic 0 or 1) covers.
 
     Labels without an id or grade are left out; where an id has several, it is toxic if one says
-    so. Without labelled rows, or with one kind only, the model finds nothing toxic.
+    so. Rows that agree in id and text count once, and of more than `MOST_ROWS` others those with
+    the lowest hashes are taken. Without labelled rows, or with one kind only, the model finds
+    nothing toxic.
 
     Counts of features are made by Spark; the driver gets at most `MOST_ROWS` rows of at most
     `MOST_FEATURES` numbers and values.
@@ -164,7 +166,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = written(
         marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS), "labelled"
     )
-    keyed = docs.select("doc_id", "text").join(chosen, "doc_id")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
+    # Rows, not only ids, are bounded: an id may have any number of them.
+    different = texts.select("doc_id", "_text").join(F.broadcast(chosen), "doc_id").distinct()
+    sampled = written(
+        different.orderBy(F.xxhash64("doc_id", "_text"), "doc_id", "_text").limit(MOST_ROWS),
+        "labelled-rows",
+    )
+    keyed = texts.join(F.broadcast(sampled), ["doc_id", "_text"])
+    keyed = keyed.dropDuplicates(["doc_id", "_text"])
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -225,6 +235,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with `severity` (expected grade, from 0) and `toxic` (any grade above 0 is more
     likely than none); columns of these names are replaced. Null and empty texts, and all texts
     under a model without grades, have no features: their severity is the model's for no words.
+    Repeated rows are judged alike, each in its place.
     """
 
     @F.pandas_udf("severity double, toxic boolean")
@@ -236,6 +247,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("severity", "toxic")]
-    return docs.select(*columns, judge("text").alias("_judged")).select(
-        *columns, "_judged.severity", "_judged.toxic"
-    )
+    judged = docs.select(F.struct(*columns).alias("given"), judge("text").alias("judged"))
+    return judged.select("given.*", "judged.*")

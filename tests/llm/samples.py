@@ -45,7 +45,8 @@ def with_clashes(docs):
     from pyspark.sql import functions as F
 
     names = ["_id", "_text", "_row", "_k1", "_fp", "shard", "score", "kept", "n_words", "labels"]
-    return docs.select("*", *[F.lit("x").alias(n) for n in [*names, "found", "a.b", "pos", "h"]])
+    names += ["found", "a.b", "pos", "h", "_found", "_judged", "given", "judged", "sh", "s0", "_n"]
+    return docs.select("*", *[F.lit("x").alias(n) for n in names])
 
 
 def lowered(text) -> str:

@@ -10,6 +10,7 @@ from samples import documents, odd_rows, sentence, with_clashes
 
 from stallkeeper.llm import language_id, toxicity
 from stallkeeper.llm.queries import op3_language_id, op8_toxicity
+from stallkeeper.llm.scratch import written
 
 SF = f"{TESTDATA}/sf0.01"
 
@@ -106,6 +107,27 @@ def test_held_out_toxicity_and_rising_severity(spark):
     assert mild[0] < severe[0]
 
 
+@pytest.mark.parametrize("copies", [1, 300])
+def test_rows_of_the_fit_are_bounded(spark, monkeypatch, copies):
+    """An id that is labelled brings each of its texts once, and all ids no more than the bound."""
+    monkeypatch.setattr(toxicity, "MOST_ROWS", 120)
+    names = []
+
+    def noting(df, name, *more):
+        names.append((name, written(df, name, *more)))
+        return names[-1][1]
+
+    monkeypatch.setattr(toxicity, "written", noting)
+    r = random.Random(2)
+    rows = [row for row, _ in planted(r, 40, 0)]
+    rows += [(0, sentence(r, 20) if copies == 1 else rows[0][1], "en", "s", 0) for _ in range(500)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(documents(spark, rows), labels)
+    counts = {name: df.count() for name, df in names}
+    assert counts["labelled-features"] == (120 if copies == 1 else 40)
+    assert model.severity("vileword foulword " * 5)[0] >= 0
+
+
 @pytest.mark.parametrize("marks", [[], [(1, 1, 0), (2, 0, 0)], [(None, 1, 1), (3, 1, None)]])
 def test_toxicity_without_examples(spark, marks):
     labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
