@@ -37,25 +37,38 @@ def windows(items: DataFrame, window_words: int) -> DataFrame:
     return placed.select("item_id", F.slice("w", F.col("s") + 1, window_words).alias("ww")).distinct()
 
 
+def _shingled(words: Column, length: int) -> Column:
+    """For each place the hash and the words `s0`, `s1`, ... of its shingle.
+
+    Shifted copies of the words are put side by side once, so a shingle takes with it just its own
+    words, however long the text.
+    """
+    last = F.greatest(F.size(words) - (length - 1), F.lit(0))
+    return F.arrays_zip(
+        sequence_hashes(words, length).alias("sh"),
+        *[F.slice(words, i + 1, last).alias(f"s{i}") for i in range(length)],
+    )
+
+
 def _matches(docs: DataFrame, shingles: DataFrame, lengths: list[int], small: bool) -> DataFrame:
     """Where documents have a shingle of the benchmark: key, number of words, place, hash."""
     found = None
+    # The number of words comes first: whatever is taken from the words beside the shingles would
+    # carry all of them to each.
     texts = docs.select(*document_key(), lower_words(F.col("text")).alias("_w"))
+    texts = texts.select(*_KEY, "_w", F.size("_w").alias("_n"))
     for length in lengths:
         sought = shingles.where(F.col("length") == length).select("h", "sw").distinct()
-        rows = texts.select(*_KEY, "_w", F.posexplode(sequence_hashes(F.col("_w"), length)))
-        here = F.slice("_w", F.col("pos") + 1, length)
-        n_words = F.size("_w").alias("_n")
-        if small:
-            # Words are only looked at where hashes agree.
-            met = rows.join(
-                F.broadcast(sought), (F.col("col") == F.col("h")) & (here == F.col("sw"))
-            ).select(*_KEY, n_words, "pos", "h")
-        else:
-            narrow = rows.select(*_KEY, n_words, "pos", "col", here.alias("_here"))
-            met = narrow.join(
-                sought, (F.col("col") == F.col("h")) & (F.col("_here") == F.col("sw"))
-            ).select(*_KEY, "_n", "pos", "h")
+        words = [F.col(f"_s.{name}") for name in ["sh", *(f"s{i}" for i in range(length))]]
+        rows = texts.select(
+            *_KEY, "_n", F.posexplode(_shingled(F.col("_w"), length)).alias("pos", "_s")
+        ).select(*_KEY, "_n", "pos", *words)
+        # Words are only looked at where hashes agree, which an equality would not say.
+        here = F.array(*[F.col(f"s{i}") for i in range(length)])
+        met = rows.join(
+            F.broadcast(sought) if small else sought,
+            (F.col("sh") == F.col("h")) & F.array_contains(F.array("sw"), here),
+        ).select(*_KEY, "_n", "pos", "h")
         found = met if found is None else found.unionByName(met)
     return found.distinct()
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -304,6 +305,20 @@ def test_decontamination(spark, tmp_path, monkeypatch, most_broadcast):
     assert same(cleaned.select("doc_id").collect()) == same((w[0],) for w in want if not w[-1])
 
 
+def test_leaks_in_very_long_texts(spark):
+    """Linear in the length: with the square, this would take minutes."""
+    bench = [(1, " ".join(f"item{i}" for i in range(40))), (2, "three short words")]
+    r = random.Random(5)
+    filler = " ".join(str(r.randrange(10**6)) for _ in range(400_000))
+    rows = [(7, f"{filler} {bench[0][1]} {filler} THREE short, words", "en", "s", 0)]
+    began = time.perf_counter()
+    found = decontaminate.report(
+        documents(spark, rows), spark.createDataFrame(bench, "item_id bigint, text string"), ["doc_id"]
+    ).collect()
+    assert [(x.n_words, x.n_hit, x.item_ids) for x in found] == [(800_043, 43, ["1", "2"])]
+    assert time.perf_counter() - began < 90
+
+
 def test_empty_documents_or_benchmark(spark):
     bench = spark.createDataFrame(items(spark), ITEM_SCHEMA)
     none = bench.where("false")
