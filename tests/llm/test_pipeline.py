@@ -93,7 +93,7 @@ def test_empty_documents(spark, tmp_path):
 
 def test_one_query_for_each_operator():
     names = contract.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert names["pipeline"] is corpus_pipeline.run
     assert set(ORACLE_SQL) <= set(QUERIES)
@@ -103,7 +103,7 @@ def test_one_query_for_each_operator():
 def test_same_as_sql(spark, name):
     folder = f"{TESTDATA}/sf0.01"
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     want = con.sql(contract.oracle_sql()[name])
     got = contract.queries()[name](spark, folder)
