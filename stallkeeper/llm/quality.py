@@ -2,8 +2,10 @@
 
 Besides the fixed base rules, a document is dropped if a measure of it lies far out among the
 documents of its language and source. How far is told by quartiles from quantile sketches, one for
-each measure and group; sketches of small groups are too rough and are merged into those of their
-language, or of all. Everything is built-in functions; a text is read once and never moved.
+each measure and group, merged into those of each language and of all. The quartiles of a group are
+drawn towards those of its language, and these towards those of all, the more the fewer documents
+they rest on; one formula holds at every size. Everything is built-in functions; a text is read once
+and never moved.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +25,8 @@ RANGES = 3.0
 RESOLUTION = {"word_length": 0.5, "symbols": 0.05, "dup_lines": 0.1, "repeats": 0.03}
 # Both sides for the length of words, only the upper one for the others.
 TWO_SIDED = ("word_length",)
-LEAST_GROUP = 100
+# A group of so many documents counts as much as what it is drawn towards.
+PRIOR_DOCUMENTS = 20
 SKETCH_K = 200
 
 
@@ -112,9 +115,20 @@ def _ratios() -> dict[str, Column]:
     }
 
 
-def _fences(sketch: Column, name: str) -> list[Column]:
-    low = F.kll_sketch_get_quantile_double(sketch, F.lit(0.25))
-    high = F.kll_sketch_get_quantile_double(sketch, F.lit(0.75))
+def _quartiles(sketch: Column) -> Column:
+    low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(rank)) for rank in (0.25, 0.75))
+    return F.struct(low.alias("low"), high.alias("high"))
+
+
+def _drawn(own: Column, count: Column, towards: Column) -> Column:
+    """The quartiles `own`, which rest on `count` documents, drawn towards others."""
+    share = count / (count + PRIOR_DOCUMENTS)
+    between = {q: share * own[q] + (1 - share) * towards[q] for q in ("low", "high")}
+    return F.struct(*[value.alias(q) for q, value in between.items()])
+
+
+def _fences(quartiles: Column, name: str) -> list[Column]:
+    low, high = quartiles["low"], quartiles["high"]
     reach = F.greatest(high - low, F.lit(RESOLUTION[name])) * RANGES
     fences = [(high + reach).alias(f"{name}_high")]
     return [*fences, (low - reach).alias(f"{name}_low")] if name in TWO_SIDED else fences
@@ -133,21 +147,35 @@ def thresholds(measured: DataFrame) -> DataFrame:
         *[F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(n) for n, r in _ratios().items()],
     )
     of_group = written(of_group, "sketches")
-    merged = [F.kll_merge_agg_double(n, F.lit(SKETCH_K)).alias(f"wide_{n}") for n in names]
+    merged = [F.kll_merge_agg_double(n, F.lit(SKETCH_K)).alias(n) for n in names]
+    # One row of two numbers for each measure; none of an empty table.
+    of_all = (
+        of_group.agg(F.sum("_n").alias("_m"), *merged)
+        .where("_m > 0")
+        .select(*[_quartiles(F.col(n)).alias(n) for n in names])
+        .first()
+    )
+    if of_all is None:
+        schema = "_lang string, _source string"
+        fences = [f"{n}_{side} double" for n in names for side in ("high", "low")]
+        return measured.sparkSession.createDataFrame([], ", ".join([schema, *fences]))
     of_lang = of_group.groupBy(F.col("_lang").alias("_l")).agg(F.sum("_n").alias("_m"), *merged)
-    # One row of one small sketch for each measure.
-    of_all = of_group.agg(
-        *[F.kll_merge_agg_double(n, F.lit(SKETCH_K)).alias(n) for n in names]
-    ).first()
-    chosen = [
-        F.when(F.col("_n") >= LEAST_GROUP, F.col(n))
-        .when(F.col("_m") >= LEAST_GROUP, F.col(f"wide_{n}"))
-        .otherwise(F.lit(of_all[n]).cast("binary"))
-        .alias(n)
-        for n in names
+    of_lang = of_lang.select(
+        "_l",
+        *[
+            _drawn(
+                _quartiles(F.col(n)),
+                F.col("_m"),
+                F.struct(*[F.lit(of_all[n][q]).alias(q) for q in ("low", "high")]),
+            ).alias(f"wide_{n}")
+            for n in names
+        ],
+    )
+    drawn = [
+        _drawn(_quartiles(F.col(n)), F.col("_n"), F.col(f"wide_{n}")).alias(n) for n in names
     ]
     same_language = F.col("_lang").eqNullSafe(F.col("_l"))
-    picked = of_group.join(of_lang, same_language).select("_lang", "_source", *chosen)
+    picked = of_group.join(of_lang, same_language).select("_lang", "_source", *drawn)
     return picked.select("_lang", "_source", *[f for n in names for f in _fences(F.col(n), n)])
 
 

@@ -1,6 +1,7 @@
 """Quality rules, licence scans and decontamination against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -102,6 +103,82 @@ def test_repeats_far_out_in_their_group(spark):
     assert 0.15 < got[200].n_repeat_words / got[200].n_words < 0.3
 
 
+def drawn_quartiles(own, towards):
+    """As the module says, from exact quartiles: the smallest value with a quarter (three) up to it."""
+    ranked = sorted(own)
+    exact = [ranked[math.ceil(q * len(ranked)) - 1] for q in (0.25, 0.75)]
+    if towards is None:
+        return exact
+    share = len(own) / (len(own) + quality.PRIOR_DOCUMENTS)
+    return [share * a + (1 - share) * b for a, b in zip(exact, towards, strict=True)]
+
+
+def test_verdicts_by_brute_force(spark):
+    """Sketches of so few documents are exact."""
+    r = random.Random(21)
+    rows = []
+    for i in range(140):
+        size = r.choice([4, 5, 5, 6, 9, 30])
+        words = ["x" * r.randrange(1, size) + str(r.randrange(10**4)) for _ in range(40)]
+        words += ["#"] * r.choice([0, 0, 0, 0, 1, 12]) + words[:10] * r.choice([0, 0, 0, 1])
+        breaks = "\n".join(["again"] * r.choice([0, 0, 0, 2, 9]))
+        lang, source = r.choice(["en", "en", "fr", None]), r.choice(["a", "a", "a", "b", None])
+        rows.append((i, " ".join(words) + "\n" + breaks, lang, source, 0))
+    got = {x.doc_id: x for x in quality.judge(documents(spark, rows), ["doc_id"]).collect()}
+
+    def ratios(x):
+        return {
+            "word_length": x.word_chars / x.n_words,
+            "symbols": x.n_symbols / x.n_words,
+            "dup_lines": x.n_dup_lines / x.n_words * 20,
+            "repeats": x.n_repeat_words / x.n_words,
+        }
+
+    passed = [(lang, source, ratios(got[i])) for i, _, lang, source, _ in rows
+              if not got[i].base_failed]
+    dropped = 0
+    for i, _, lang, source, _ in rows:
+        if got[i].base_failed:
+            continue
+        reason = None
+        for name, value in ratios(got[i]).items():
+            everywhere = drawn_quartiles([v[name] for *_, v in passed], None)
+            of_lang = drawn_quartiles([v[name] for x, _, v in passed if x == lang], everywhere)
+            low, high = drawn_quartiles(
+                [v[name] for x, y, v in passed if (x, y) == (lang, source)], of_lang
+            )
+            reach = 3 * max(high - low, quality.RESOLUTION[name])
+            if value > high + reach or (name == "word_length" and value < low - reach):
+                reason = reason or name
+        assert got[i].reason == reason, (i, got[i])
+        dropped += reason is not None
+    assert 5 < dropped < 60
+
+
+def test_thresholds_move_little_with_one_more_document(spark):
+    """No size at which the rule changes: one document more hardly moves a fence."""
+    r = random.Random(22)
+    sources = {f"s{n}": n for n in (1, 2, 19, 20, 21, 98, 99, 100, 101)}
+    rows = []
+    for source, n in sources.items():
+        for _ in range(n):
+            words = ["x" * (14 + i % 3) for i in range(30)]
+            r.shuffle(words)
+            rows.append((len(rows), " ".join(w + str(r.randrange(10**3, 10**4)) for w in words), "en", source, 0))
+    rows += [(len(rows) + i, " ".join(f"{r.randrange(10, 100)}ab" for _ in range(30)), "en", "other", 0)
+             for i in range(700)]
+    fences = quality.thresholds(quality.measures(documents(spark, rows), ["doc_id"]))
+    high = {x._source: x.word_length_high for x in fences.collect()}
+    low = {x._source: x.word_length_low for x in fences.collect()}
+    assert len(high) == len(sources) + 1
+    # The group's own range is nearly 0, that of its language some 15 letters.
+    for n in (19, 20, 98, 99, 100):
+        step = 4 * 16 * quality.PRIOR_DOCUMENTS / (n + quality.PRIOR_DOCUMENTS) ** 2
+        assert abs(high[f"s{n}"] - high[f"s{n + 1}"]) < step
+        assert abs(low[f"s{n}"] - low[f"s{n + 1}"]) < step
+    assert high["s1"] > high["s20"] > high["s101"]
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality.judge(documents(spark, []), ["doc_id"]).collect() == []
     few = quality.judge(documents(spark, [(1, None, None, None, None)]), ["doc_id"]).collect()
