@@ -12,16 +12,17 @@ import numpy as np
 import pandas as pd
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallkeeper.llm.scratch import written
 
 UNKNOWN = "und"
-# The dictionaries are made of a bounded sample of labelled documents: those of each language with
-# the smallest hashes, about so many, and of each a part from its middle of so many characters.
+# The dictionaries are made of a bounded sample of labelled texts: those of each language with the
+# smallest hashes, at most so many different ones, and of each a part from its middle of at most so
+# many characters. Each has the same room in its language's dictionary.
 SAMPLE_DOCUMENTS = 256
-SAMPLE_CHARACTERS = 1_000
+SAMPLE_CHARACTERS = 300
 DICTIONARY_BYTES = 1 << 16
 ALL_DICTIONARIES_BYTES = 1 << 24
 LEVEL = 6
@@ -82,34 +83,48 @@ class Classifier:
         return self.languages[best], float(score), bool(margin < NARROW)
 
 
+def _sample(usable: DataFrame, texts: dict[str, int]) -> DataFrame:
+    """`lang`, `_at` and a part of the text, for the `SAMPLE_DOCUMENTS` smallest hashes of each
+    language. `texts` are its different texts, about; hashes up to four times the sample's share
+    are looked at, all of them where there are few."""
+    share = {lang: min(1.0, 4 * SAMPLE_DOCUMENTS / n) for lang, n in texts.items()}
+    wanted = usable.sparkSession.createDataFrame(
+        [(lang, min(int((2 * s - 1) * (1 << 63)), (1 << 63) - 1)) for lang, s in share.items()],
+        "lang string, _last bigint",
+    )
+    middle = F.greatest(F.lit(1), ((F.length("text") - SAMPLE_CHARACTERS) / 2).cast("int"))
+    part = F.substring("text", middle, F.lit(SAMPLE_CHARACTERS))
+    # One row for each language.
+    few = usable.join(F.broadcast(wanted), "lang").where("_at <= _last")
+    different = few.groupBy("lang", "_at").agg(F.min(part).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_at"))
+    return different.withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE_DOCUMENTS)
+
+
 def fit(labelled: DataFrame) -> Model:
-    """Learns from `text` and `lang`; rows without either, or without a letter, are left out."""
+    """Learns from `text` and `lang`; rows without either, or without a letter, are left out. Copies
+    of a text count once in the sample. Every other language has a dictionary, however few its
+    texts."""
     usable = labelled.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select(
-        "lang", F.abs(F.xxhash64("text") % 1_000_003).alias("_at"), "text"
+        "lang", F.xxhash64("text").alias("_at"), "text"
     )
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    counted = usable.groupBy("lang").agg(
+        F.count("*").alias("n"), F.approx_count_distinct("_at").alias("texts")
+    )
+    counts = {r["lang"]: r for r in counted.collect()}
     if not counts:
         return Model({})
-    wanted = usable.sparkSession.createDataFrame(
-        [(lang, int(1_000_003 * min(1.0, SAMPLE_DOCUMENTS / n))) for lang, n in counts.items()],
-        "lang string, _below int",
-    )
-    middle = F.greatest(F.lit(1), ((F.length("text") - SAMPLE_CHARACTERS) / 2).cast("int"))
     sample = written(
-        # One row for each language.
-        usable.join(F.broadcast(wanted), "lang")
-        .where("_at <= _below")
-        .select("lang", "_at", F.substring("text", middle, F.lit(SAMPLE_CHARACTERS)).alias("text"))
-        .distinct(),
-        "language-sample",
+        _sample(usable, {lang: r["texts"] for lang, r in counts.items()}), "language-sample"
     )
     size = min(DICTIONARY_BYTES, ALL_DICTIONARIES_BYTES // len(counts))
     dictionaries = {}
-    for lang, rows in sample.toPandas().sort_values(["lang", "_at", "text"]).groupby("lang"):
-        joined = b"".join(letters_of(text) for text in rows["text"])[:size]
-        if len(joined) >= 8:
-            dictionaries[lang] = joined
-    ordered = sorted(dictionaries, key=lambda lang: (-counts[lang], lang))
+    for lang, rows in sample.toPandas().sort_values(["lang", "_at"]).groupby("lang"):
+        room = max(size // len(rows), 1)
+        joined = b"".join(letters_of(text)[:room] for text in rows["text"])
+        # Dictionaries of fewer than 8 bytes are not looked at.
+        dictionaries[lang] = joined if len(joined) >= 8 else joined * 8
+    ordered = sorted(dictionaries, key=lambda lang: (-counts[lang]["n"], lang))
     return Model({lang: dictionaries[lang] for lang in ordered})
 
 

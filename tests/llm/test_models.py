@@ -62,6 +62,27 @@ def test_language_without_documents(spark):
     assert {r.lang_pred for r in language_id.identify(documents(spark), model).collect()} == {"und"}
 
 
+def test_no_language_is_lost_by_copies_or_size(spark, monkeypatch):
+    """Many copies of few texts, and languages of one short text, keep their dictionaries."""
+    monkeypatch.setattr(language_id, "SAMPLE_DOCUMENTS", 16)
+    seen = []
+    monkeypatch.setattr(
+        language_id, "written", lambda df, name: seen.append(written(df, name)) or seen[-1]
+    )
+    for seed in range(3):
+        r = random.Random(seed)
+        rows = [(0, f"{sentence(r, 30)} {i}", "en", "s", 0) for i in range(20) for _ in range(50)]
+        rows += [(0, f"{sentence(r, 30)} {i}", "es", "s", 0) for i in range(300)]
+        rows += [(0, "ß", "xx", "s", 0), (0, "no", "yy", "s", 0), (0, "12", "zz", "s", 0)]
+        model = language_id.fit(documents(spark, rows))
+        assert list(model.dictionaries)[:2] == ["en", "es"]
+        assert set(model.dictionaries) == {"en", "es", "xx", "yy"}
+        assert min(map(len, model.dictionaries.values())) >= 8
+        found = dict(seen[-1].groupBy("lang").count().collect())
+        assert found == {"en": 16, "es": 16, "xx": 1, "yy": 1}
+        assert model.classifier()("ß")[0] in model.dictionaries
+
+
 def test_narrow_margins_are_marked():
     model = language_id.Model({"aa": b"abcdefgh " * 50, "bb": b"zyxwvuts " * 50})
     classify = model.classifier()
