@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stallkeeper.llm.runs import shared_rows
-from stallkeeper.llm.scratch import NO_ID, document_key, given_id, written
+from stallkeeper.llm.scratch import NO_ID, document_key, given_id, partitions_for, written
 
 LEAST_CODE_POINTS = 20
 LEAST_DOCUMENTS = 3
+# Bytes of text for each partition of lines.
+BYTES_PER_PARTITION = 1 << 28
 # Fixed value: white space that does not count at either end of a line.
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -80,11 +82,10 @@ def keep_bitmaps(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     others. Rows with the same id and text share a bitmap. Null and empty texts have no key that
     counts. Keys are compared by 128-bit hashes.
     """
-    spark = docs.sparkSession
     lines = docs.select(*document_key(), "text").mapInArrow(
         _keyed_lines, "_k1 bigint, _k2 bigint, _doc bigint, _text bigint, _pos bigint"
     )
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or partitions_for(docs, BYTES_PER_PARTITION)
     shared = shared_rows(
         lines,
         ["_text", "_pos"],

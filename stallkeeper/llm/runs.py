@@ -4,7 +4,8 @@ A key with a large share of all rows spreads over many partitions, as the docume
 the order. Each partition is streamed with constant memory: a row can be judged as soon as enough
 documents of its key were seen. Only of the key that a partition begins or ends with, the rows of
 one document, or of fewer than enough, may depend on its neighbours; they are marked, and settled
-by summaries of at most two keys for each partition.
+by summaries of at most two keys for each partition. Where a few documents have a key very often,
+so that `MOST_WAITING` rows wait for others, these are marked and settled in the same way.
 """
 
 from collections.abc import Iterator
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LONG = np.int64
+MOST_WAITING = 1 << 18
+MOST_BROADCAST = 200_000
 
 
 class _Run:
@@ -24,6 +27,7 @@ class _Run:
         self.key, self.first, self.last = (k1, k2), docs[0], docs[-1]
         self.docs = 1 + int((docs[1:] != docs[:-1]).sum())
         self.opens = opens  # the partition begins with it, so earlier ones may have rows of it
+        self.marked = False  # rows of it went out before enough documents were seen
 
     def add(self, docs: np.ndarray) -> None:
         self.docs += int((docs[1:] != docs[:-1]).sum()) + int(docs[0] != self.last)
@@ -33,8 +37,8 @@ class _Run:
 class _Stream:
     """Judges the rows of one partition, batch by batch."""
 
-    def __init__(self, payload: list[str], least: int):
-        self.payload, self.least = payload, least
+    def __init__(self, payload: list[str], least: int, most_waiting: int):
+        self.payload, self.least, self.most_waiting = payload, least, most_waiting
         self.run: _Run | None = None
         # Rows of `run` that wait for more documents; fewer than `least` have any here.
         self.held: list[pd.DataFrame] = []
@@ -58,18 +62,26 @@ class _Stream:
             rows = rows[~of_first]
         if run.docs < self.least:
             self.held.append(rows)
+            if sum(map(len, self.held)) > self.most_waiting:
+                run.marked = True
+                yield from self._wait()
             return
         for waiting in (*self.held, rows):
             if len(waiting):
                 yield self._found(waiting, waiting["_doc"] != run.first, False)
         self.held = []
 
+    def _wait(self) -> Iterator[pd.DataFrame]:
+        """The held rows, to be settled by the summary of their key."""
+        for waiting in self.held:
+            if len(waiting):
+                yield self._found(waiting, waiting["_doc"] != self.run.first, True)
+        self.held = []
+
     def _end(self, is_last: bool) -> Iterator[pd.DataFrame]:
-        if self.run is not None and (self.run.opens or is_last):
+        if self.run is not None and (self.run.opens or self.run.marked or is_last):
             yield self._summary()
-            for waiting in self.held:
-                if len(waiting):
-                    yield self._found(waiting, waiting["_doc"] != self.run.first, True)
+            yield from self._wait()
         self.run, self.held = None, []
 
     def _batch(self, batch: pd.DataFrame, is_first: bool) -> Iterator[pd.DataFrame]:
@@ -111,7 +123,13 @@ class _Stream:
 
 
 def shared_rows(
-    rows: DataFrame, payload: list[str], least: int, descending: bool, partitions: int, write
+    rows: DataFrame,
+    payload: list[str],
+    least: int,
+    descending: bool,
+    partitions: int,
+    write,
+    most_waiting: int = MOST_WAITING,
 ) -> DataFrame:
     """The rows whose key (`_k1`, `_k2`) occurs in at least `least` different documents (`_doc`),
     with `_later`: whether the document is another than the first of these, in ascending or
@@ -134,15 +152,14 @@ def shared_rows(
         .repartitionByRange(partitions, *order)
         .sortWithinPartitions(*order)
         .mapInPandas(
-            lambda batches: (out[names] for out in _Stream(payload, least)(batches)),
+            lambda batches: (out[names] for out in _Stream(payload, least, most_waiting)(batches)),
             f"{schema}, _later boolean, _open boolean",
         )
     )
     settled = _settle(streamed.where("_docs > 0"), least, descending)
     judged = streamed.where("_docs = 0 AND NOT _open").select(*columns, "_later")
     waiting = streamed.where("_docs = 0 AND _open").select(*columns)
-    # Two keys for each partition at most.
-    found = waiting.join(F.broadcast(settled), ["_k1", "_k2"])
+    found = waiting.join(settled, ["_k1", "_k2"])
     return judged.unionByName(
         found.select(*columns, (F.col("_doc") != F.col("_first")).alias("_later"))
     )
@@ -163,7 +180,8 @@ def _settle(summaries: DataFrame, least: int, descending: bool) -> DataFrame:
         _first=("_first", "first"), _docs=("_docs", "sum")
     )
     totals = totals[totals["_docs"] >= least]
-    return spark.createDataFrame(
+    settled = spark.createDataFrame(
         [tuple(map(int, row)) for row in totals[["_k1", "_k2", "_first"]].itertuples(index=False)],
         "_k1 bigint, _k2 bigint, _first bigint",
     )
+    return F.broadcast(settled) if len(totals) <= MOST_BROADCAST else settled

@@ -32,6 +32,14 @@ def written(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(docs: DataFrame, bytes_each: int) -> int:
+    """Partitions for a sort of what the texts are cut into: one for so many bytes of text, and
+    no fewer than the session's. Adaptive execution leaves a given number as it is."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(-(-size // bytes_each), least)
+
+
 def document_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """What tells the rows of a documents table apart: the id, and a hash of the text.
 

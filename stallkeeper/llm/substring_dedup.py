@@ -6,7 +6,7 @@ first cut of a gear hash at least `LEAST_BYTES` on, whichever comes first. All o
 bytes nearby alone, so a passage of `WINDOW_WORDS + CHUNK_WORDS - 1` whole words holds a whole chunk
 in every document it stands in, however short the words. Where there are no blanks, chunks begin at
 the cuts. Chunks of equal digest in different documents are duplicates, and adjoining ones make up
-a span.
+a span. Spans of fewer than `LEAST_SPAN_WORDS` words are left alone.
 """
 
 from collections.abc import Iterator
@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from stallkeeper.llm.runs import shared_rows
-from stallkeeper.llm.scratch import document_key, given_id, written
+from stallkeeper.llm.scratch import document_key, given_id, partitions_for, written
 
 # One place in so many is a cut; the hash of a place depends on the 16 bytes up to it.
 CUT_EVERY = 20
@@ -32,8 +32,19 @@ WINDOW_WORDS = 8
 # Without a cut for so long, as in a word said again and again, there is one by count.
 MOST_GAP = 128
 MOST_BYTES = LEAST_BYTES + MOST_GAP
-# Start and length of a chunk in one number.
-_LENGTH_BITS = 20
+# What chunks within a passage of 51 words cover of it is 25 words or more, and at most the passage.
+LEAST_SPAN_WORDS = 24
+# Of a run without blanks, longer words than there are, so many bytes count as a word.
+RUN_BYTES = 24
+RUN_WORD_BYTES = 6
+# A chunk's start, the number of words before it, and its words and length, in one number. Numbers
+# of words are kept modulo 2^18: a span of more bytes is long enough anyway.
+_LENGTH_BITS = 8
+_WORDS_BITS = 6
+_BEFORE_BITS = 18
+_START_AT = _LENGTH_BITS + _WORDS_BITS + _BEFORE_BITS
+# Bytes of text for each partition of chunks; of a byte of text, chunks make some three.
+BYTES_PER_PARTITION = 1 << 28
 _BLOCK = 1 << 20
 
 # The numbers of the gear hash: any fixed ones will do that look random.
@@ -94,6 +105,17 @@ def _chosen_words(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     return words[np.unique(windows.argmin(axis=1) + np.arange(len(windows)))]
 
 
+def words_before(raw: bytes) -> np.ndarray:
+    """For each place, and the end, how many words begin before it. In a run without blanks, which
+    may be a text of a language that has none, a word is counted every so many bytes."""
+    blank = _IS_BLANK[np.frombuffer(raw, np.uint8)]
+    at = np.arange(len(blank))
+    after = np.concatenate([[True], blank[:-1]])
+    run = at - np.maximum.accumulate(np.where(after, at, 0))
+    begins = after | ((run >= RUN_BYTES) & (run % RUN_WORD_BYTES == 0))
+    return np.concatenate([[0], np.cumsum(begins & ~blank)])
+
+
 def chunks(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every chunk. The beginning of the text is a start, and its end a cut."""
     data = np.frombuffer(raw, np.uint8)
@@ -126,8 +148,11 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(raw) < 2 * CHUNK_WORDS - 1:  # so many words have
                 continue
             a, b = chunks(raw)
+            before = words_before(raw)
+            within = np.minimum(before[b] - before[a], (1 << _WORDS_BITS) - 1)
+            place = (a << _BEFORE_BITS) + (before[a] & ((1 << _BEFORE_BITS) - 1))
             owner.append(np.full(len(a), row, np.int64))
-            places.append((a << _LENGTH_BITS) + b - a)
+            places.append((((place << _WORDS_BITS) + within) << _LENGTH_BITS) + b - a)
             digests += [digest(raw[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
         halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
         whole = [np.concatenate([np.empty(0, np.int64), *x]) for x in (owner, places)]
@@ -136,16 +161,43 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
+def _bits(value: Column, at: int, count: int) -> Column:
+    return F.shiftright(value, at).bitwiseAND((1 << count) - 1)
+
+
+def _spans(chunked: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """`chunked` with the number of the span that each chunk is in: chunks overlap or adjoin, and a
+    span goes on while the next one begins before it ends."""
+    of_text = Window.partitionBy(*keys).orderBy("_start", "_end")
+    reach = F.max("_end").over(of_text.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("_start") > reach, F.lit(True))
+    return chunked.withColumn("_begins", begins.cast("int")).withColumn(
+        name, F.sum("_begins").over(of_text)
+    )
+
+
+def _is_long(of_span: WindowSpec) -> Column:
+    """Whether a span has words enough, from the words before its first and last chunk and those in
+    the last."""
+    first, last = F.min("_start").over(of_span), F.max("_end").over(of_span)
+    ends = F.max(F.struct("_end", "_start", "_before", "_words")).over(of_span)
+    begins = F.min(F.struct("_start", "_end", "_before")).over(of_span)
+    rounds = 1 << _BEFORE_BITS
+    words = F.pmod(ends["_before"] - begins["_before"], F.lit(rounds)) + ends["_words"]
+    return (words >= LEAST_SPAN_WORDS) | (last - first >= rounds)
+
+
 def shared_passages(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """A row for each span of a document that other documents have, too: `doc_id`, `start` and
     `end` (byte offsets in UTF-8), and `removed`: whether all of the span's chunks occur in
     documents of smaller ids, so that the span can go while one copy stays.
 
-    Documents without such a span have no row; nor have null, empty and short texts. Null ids are
-    together one document that ranks below all others; rows with the same id and text have the
-    same spans, given once.
+    A span in which both kinds of chunks adjoin is given in parts, and is left alone if it has
+    fewer than `LEAST_SPAN_WORDS` words as a whole. Documents without such a span have no row; nor
+    have null, empty and short texts. Null ids are together one document that ranks below all
+    others; rows with the same id and text have the same spans, given once. `partitions` follow
+    from the bytes of the texts.
     """
-    spark = docs.sparkSession
     rows = docs.select(*document_key(), "text").mapInArrow(
         _chunk_rows, "_k1 bigint, _k2 bigint, _doc bigint, _text bigint, _place bigint"
     )
@@ -154,21 +206,24 @@ def shared_passages(docs: DataFrame, partitions: int | None = None) -> DataFrame
         ["_text", "_place"],
         2,
         descending=False,
-        partitions=partitions or int(spark.conf.get("spark.sql.shuffle.partitions")),
+        partitions=partitions or partitions_for(docs, BYTES_PER_PARTITION),
         write=lambda df: written(df, "chunks"),
     )
-    # Chunks overlap; a span goes on while the next chunk begins before it ends, and is as long
-    # as documents of smaller ids hold all of it, or none.
-    of_text = Window.partitionBy("_doc", "_text", "_later").orderBy("_start", "_end")
-    reach = F.max("_end").over(of_text.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.coalesce(F.col("_start") > reach, F.lit(True))
-    start = F.shiftright("_place", _LENGTH_BITS)
-    end = start + F.col("_place").bitwiseAND((1 << _LENGTH_BITS) - 1)
+    start = F.shiftright("_place", _START_AT)
+    placed = shared.select(
+        "_doc",
+        "_text",
+        "_later",
+        start.alias("_start"),
+        (start + _bits(F.col("_place"), 0, _LENGTH_BITS)).alias("_end"),
+        _bits(F.col("_place"), _LENGTH_BITS, _WORDS_BITS).alias("_words"),
+        _bits(F.col("_place"), _LENGTH_BITS + _WORDS_BITS, _BEFORE_BITS).alias("_before"),
+    ).distinct()
+    whole = _spans(placed, ["_doc", "_text"], "_whole")
+    of_span = Window.partitionBy("_doc", "_text", "_whole")
+    long = whole.withColumn("_long", _is_long(of_span)).where("_long")
     spans = (
-        shared.select("_doc", "_text", start.alias("_start"), end.alias("_end"), "_later")
-        .distinct()
-        .withColumn("_begins", begins.cast("int"))
-        .withColumn("_span", F.sum("_begins").over(of_text))
+        _spans(long, ["_doc", "_text", "_later"], "_span")
         .groupBy("_doc", "_text", "_later", "_span")
         .agg(F.min("_start").alias("start"), F.max("_end").alias("end"))
     )

@@ -8,8 +8,9 @@ from collections import defaultdict
 import pytest
 from samples import documents, lowered, odd_rows, same, sentence, with_clashes
 
-from stallkeeper.llm import line_dedup, substring_dedup
+from stallkeeper.llm import line_dedup, runs, substring_dedup
 from stallkeeper.llm.queries import op9_line_dedup
+from stallkeeper.llm.scratch import partitions_for, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -152,6 +153,69 @@ def test_finds_passages_of_51_short_words(spark):
     assert {row.doc_id for row in spans} == wanted
 
 
+def test_leaves_short_passages_alone(spark):
+    """Passages of 12 to 20 words, of any letters, are no duplicates; those of 51 words are."""
+    r = random.Random(31)
+    rows, wanted = [], set()
+    for i in range(0, 240, 2):
+        long = i % 4 == 0
+        words = ["".join(r.choices("abcdefghij", k=1 + i % 13)) for _ in range(51 if long else 12 + i % 9)]
+        rows += [
+            (i + j, f"{sentence(r, 30)} ({' '.join(words)}), {sentence(r, 9)}", "en", "s", 0)
+            for j in (0, 1)
+        ]
+        wanted |= {i, i + 1} if long else set()
+    spans = substring_dedup.shared_passages(documents(spark, rows)).collect()
+    assert {row.doc_id for row in spans} == wanted
+
+
+def test_passages_without_blanks(spark):
+    r = random.Random(32)
+    rows = []
+    for i in range(0, 40, 2):
+        passage = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(200))
+        rows += [(i + j, sentence(r, 30) + passage + sentence(r, 9), "zh", "s", 0) for j in (0, 1)]
+    spans = substring_dedup.shared_passages(documents(spark, rows)).collect()
+    assert {row.doc_id for row in spans} == set(range(40))
+
+
+@pytest.mark.parametrize("text", [b"", b"a", b"  a b\tcc \nd", b" ".join([b"ab"] * 50)])
+def test_words_before_each_place(text):
+    found = substring_dedup.words_before(text).tolist()
+    starts = [i for i in range(len(text)) if text[i : i + 1].split()
+              and (i == 0 or not text[i - 1 : i].split())]
+    assert found == [sum(s < i for s in starts) for i in range(len(text) + 1)]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+@pytest.mark.parametrize("least", [2, 3])
+def test_rows_that_wait_are_bounded(spark, partitions, least):
+    """Documents that hold a key very often, with enough other documents and without."""
+    r = random.Random(33)
+    rows = [(k, k, d, at) for k in range(6) for d in range(k) for at in range(r.choice([1, 400]))]
+    rows += [(9, 9, 0, at) for at in range(3000)] + [(10, 10, d, 0) for d in range(3)]
+    table = spark.createDataFrame(rows, "_k1 bigint, _k2 bigint, _doc bigint, _at bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = runs.shared_rows(
+            table, ["_at"], least, False, partitions, lambda df: written(df, "waiting"), 120
+        ).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = defaultdict(set)
+    for k, _, d, _ in rows:
+        docs[k].add(d)
+    wanted = [(*row, row[2] != min(docs[row[0]])) for row in rows if len(docs[row[0]]) >= least]
+    assert same(map(tuple, got)) == same(wanted)
+
+
+def test_partitions_follow_the_bytes(spark):
+    docs = documents(spark, [(i, "x" * 1000, "en", "s", 0) for i in range(100)])
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert partitions_for(docs, 1000) == 100
+    assert partitions_for(docs, 10**9) == partitions_for(documents(spark, []), 1) == least
+
+
 def test_cuts_resist_insertions():
     text = sentence(random.Random(1), 500).encode()
     before = set(substring_dedup.cuts(text).tolist())
