@@ -12,7 +12,7 @@ from stallkeeper.operators.buckets import Buckets, dealt, dealt_orders, hot_orde
 from stallkeeper.operators.dedup import kept
 from stallkeeper.operators.ranking import in_global_order, with_rank
 from stallkeeper.plans import advanced, mart
-from stallkeeper.session import Sizing
+from stallkeeper.session import PACKED_BYTES_PER_PARTITION, Sizing
 from stallkeeper.sources import files, testdata
 from stallkeeper.sources.loads import KEEP_SECONDS, Loads
 from stallkeeper.sources.schemas import STAGING, STAR
@@ -283,7 +283,8 @@ def testdata_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
             delete_at_exit(spark, own)
             store = TableStore(spark, f"{own}/{source}")
             staging = StoredTables(store, testdata.bind(spark, sf_dir))
-            _by_source[key] = Warehouse(staging, store, sizing=Sizing(spark, size))
+            sizing = Sizing(spark, size, PACKED_BYTES_PER_PARTITION)
+            _by_source[key] = Warehouse(staging, store, sizing=sizing)
         warehouse = _by_source[key]
         warehouse.sizing.apply()
         return warehouse

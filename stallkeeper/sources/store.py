@@ -20,6 +20,8 @@ from stallkeeper.operators.buckets import Buckets
 # Written into a table's folder after its files. Readers skip names that begin with "_".
 _MARKER = "_stallkeeper_complete"
 _COUNTS = "counts"
+# A row group is read by one task, so files are written in row groups that are a task's share.
+ROW_GROUP_BYTES = 16 << 20
 _COUNTS_SCHEMA = "table_name string, rows bigint, files bigint, bytes bigint, rejected bigint"
 
 
@@ -82,13 +84,15 @@ class TableStore:
             if buckets:
                 written = _passing_name()
                 writer = counted.write.mode("overwrite").option("path", self.path(name))
+                writer = writer.option("parquet.block.size", ROW_GROUP_BYTES)
                 writer = writer.bucketBy(buckets.count, *buckets.columns)
                 if buckets.sort:
                     writer = writer.sortBy(*buckets.sort)
                 writer.saveAsTable(written)
                 self.spark.sql(f"DROP TABLE {written}")  # the files stay
             else:
-                counted.write.mode("overwrite").parquet(self.path(name))
+                writer = counted.write.mode("overwrite")
+                writer.option("parquet.block.size", ROW_GROUP_BYTES).parquet(self.path(name))
             files, size = _data_files(self.spark, self.path(name))
             about = {"table_name": name, **seen.get, "files": files, "bytes": size}
             about |= {"buckets": asdict(buckets) if buckets else None}

@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from conftest import TESTDATA
 from frames import rows, staging
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import functions as F
 from test_files import raw  # noqa: F401
 from test_scale import executed
@@ -17,6 +18,7 @@ from stallkeeper.plans import business
 from stallkeeper.plans.catalog import all_queries
 from stallkeeper.plans.warehouse import Warehouse
 from stallkeeper.plans.warehouse import testdata_warehouse as warehouse_of
+from stallkeeper.sources import store
 from stallkeeper.sources.store import TableStore
 
 
@@ -180,3 +182,21 @@ def test_null_orders_are_not_hot(spark):
     lines = staging(spark, "stg_order_items", *[{"order_id": None}] * 50, {"order_id": "o1"})
     assert rows(hot_orders([lines], 4, least_rows=1)) == [("o1", 4)]
     assert hot_orders([lines.where("order_id IS NULL")], 4, least_rows=1).count() == 0
+
+
+@pytest.mark.parametrize("buckets", [None, Buckets(2)])
+def test_stored_files_can_be_read_in_parts(spark, tmp_path, monkeypatch, buckets):
+    """A file is several row groups, each of them a task's share."""
+    monkeypatch.setattr(store, "ROW_GROUP_BYTES", 1 << 20)
+    df = spark.range(0, 400_000, 1, 1).selectExpr("uuid() AS order_id", "0 AS order_salt")
+    written = TableStore(spark, str(tmp_path)).replace("t", df.repartition(2, *DEALT), buckets=buckets)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        scanned = written.groupBy(F.spark_partition_id()).count() if not buckets else None
+        sizes = [r["count"] for r in scanned.collect()] if scanned else []
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    files = list((tmp_path / "t").glob("*.parquet"))
+    assert len(files) == 2
+    assert all(ParquetFile(file).num_row_groups > 2 for file in files)
+    assert written.count() == 400_000 and all(n < 100_000 for n in sizes)

@@ -7,7 +7,7 @@ from conftest import TESTDATA
 from pyspark.sql import functions as F
 
 from stallkeeper.operators import cleaning, quality
-from stallkeeper.plans import advanced, business, mart
+from stallkeeper.plans import advanced, business, mart, warehouse
 from stallkeeper.plans.catalog import all_queries
 from stallkeeper.plans.warehouse import testdata_warehouse as warehouse_of
 from stallkeeper.session import Sizing
@@ -211,6 +211,34 @@ def test_sizing_parameters(spark):
     assert Sizing(spark, (1 << 40) + 1).partitions == 4097
 
 
+SCAN = "spark.sql.files.maxPartitionBytes"
+
+
+def test_scan_tasks_are_small_or_as_small_as_the_session_has_them(spark):
+    before = spark.conf.get(SCAN)
+    sizing = Sizing(spark, 1 << 20).apply()
+    assert spark.conf.get(SCAN) == str(16 << 20)
+    sizing.restore()
+    assert spark.conf.get(SCAN) == before
+    spark.conf.set(SCAN, "1m")
+    try:
+        smaller = Sizing(spark, 1 << 20).apply()
+        assert spark.conf.get(SCAN) == str(1 << 20)
+        smaller.restore()
+    finally:
+        spark.conf.unset(SCAN)
+
+
+def test_parquet_input_gets_more_partitions_than_text_of_as_many_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warehouse, "source_state", lambda *_: ("as if large", 6 << 30))
+    w = warehouse_of(spark, f"{TESTDATA}/sf0.001")
+    try:
+        assert w.sizing.partitions == w._buckets("sales_lines").count == 768
+    finally:
+        w.close()
+        warehouse._by_source.pop((spark.sparkContext.applicationId, "as if large"))
+
+
 def test_reports_read_only_their_columns_and_push_the_status_down(spark):
     plan = executed(all_queries()["q3_category_share"](spark, f"{TESTDATA}/sf0.001"))
     assert "EqualTo(order_status,delivered)" in plan
