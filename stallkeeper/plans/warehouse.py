@@ -17,7 +17,7 @@ from stallkeeper.sources import files, testdata
 from stallkeeper.sources.loads import KEEP_SECONDS, Loads
 from stallkeeper.sources.schemas import STAGING, STAR
 from stallkeeper.sources.store import (
-    StoredTables, TableStore, delete_at_exit, shared_folder, source_state,
+    StoredTables, TableStore, at_once, delete_at_exit, shared_folder, source_state,
 )
 
 _LOADED = "loaded_"
@@ -229,13 +229,7 @@ class Warehouse(Mapping[str, DataFrame]):
             "hot_orders": lambda: hot_orders(
                 [stg["stg_order_items"], stg["stg_order_payments"]], self._bucket_count
             ),
-            "placed_orders": lambda: dealt_orders(
-                mart.traced_orders(
-                    cleaning.traced_headers(stg["stg_orders"]), self["dim_customers"]
-                ),
-                self["hot_orders"],
-                self._bucket_count,
-            ),
+            "placed_orders": self._dealt_orders,
             "fact_payments": lambda: cleaning.traced_payments(
                 self._dealt_by_order(
                     cleaning.single_payments(stg["stg_order_payments"]), "payment_seq"
@@ -257,6 +251,18 @@ class Warehouse(Mapping[str, DataFrame]):
             ),
         }
 
+    def _dealt_orders(self) -> DataFrame:
+        stg = self.staging
+        # What orders and hot orders are made from, written side by side.
+        at_once(stg, ["stg_order_items", "stg_orders", "stg_customers", "stg_order_payments"])
+        return dealt_orders(
+            mart.traced_orders(
+                cleaning.traced_headers(stg["stg_orders"]), self["dim_customers"]
+            ),
+            self["hot_orders"],
+            self._bucket_count,
+        )
+
     def _dealt_by_order(self, rows: DataFrame, by: str) -> DataFrame:
         return dealt(rows, by, self["hot_orders"], self._bucket_count)
 

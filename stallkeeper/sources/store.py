@@ -4,6 +4,7 @@ import hashlib
 import json
 import threading
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
 from functools import cache, reduce
 from tempfile import TemporaryDirectory
@@ -31,34 +32,38 @@ class TableStore:
     A table is built on first request. Later requests, and recovery after a lost
     executor, read the written files instead of recomputing the lineage. How many rows and files
     were written is noted beside the tables, and compared with what is there without reading them.
+    Different tables can be written at the same time, a table by one thread.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._tables: dict[str, DataFrame] = {}
-        self._lock = threading.RLock()
+        self._locks: dict[str, threading.RLock] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def _lock(self, name: str) -> threading.RLock:
+        return self._locks.setdefault(name, threading.RLock())
+
     def table(
         self, name: str, build: Callable[[], DataFrame], buckets: Buckets | None = None
     ) -> DataFrame:
-        with self._lock:
+        with self._lock(name):
             if name not in self._tables and not self._complete(name):
                 return self.replace(name, build(), buckets=buckets)
             return self._read(name)
 
     def existing(self, name: str) -> DataFrame:
-        with self._lock:
+        with self._lock(name):
             if name not in self._tables and not self._complete(name):
                 raise FileNotFoundError(self.path(name))
             return self._read(name)
 
     def export(self, name: str, write: Callable[[str], None]) -> str:
         """Path of files in another format, written once by the given writer."""
-        with self._lock:
+        with self._lock(name):
             if not self._complete(name):
                 write(self.path(name))
                 write_text(self.spark, f"{self.path(name)}/{_MARKER}", name)
@@ -76,7 +81,7 @@ class TableStore:
         as many partitions, by the same columns."""
         if rejected is None:
             rejected = F.lit(False)
-        with self._lock:
+        with self._lock(name):
             seen = Observation(f"{name}-{uuid4().hex}")
             counted = df.observe(
                 seen, F.count(F.lit(1)).alias("rows"), F.count_if(rejected).alias("rejected")
@@ -191,6 +196,13 @@ class StoredTables(Mapping[str, DataFrame]):
         return len(self._source)
 
 
+def at_once(tables: Mapping[str, DataFrame], names: list[str]) -> list[DataFrame]:
+    """The named tables, those to be written at the same time: what one task is busy with leaves the
+    other cores to the other tables."""
+    with ThreadPoolExecutor(len(names)) as pool:
+        return list(pool.map(tables.__getitem__, names))
+
+
 @cache
 def _local_folder() -> TemporaryDirectory:
     """One for the process, removed at its end."""

@@ -2,6 +2,7 @@
 
 import re
 from decimal import Decimal
+from threading import Barrier
 
 import pytest
 from conftest import TESTDATA
@@ -200,3 +201,31 @@ def test_stored_files_can_be_read_in_parts(spark, tmp_path, monkeypatch, buckets
     assert len(files) == 2
     assert all(ParquetFile(file).num_row_groups > 2 for file in files)
     assert written.count() == 400_000 and all(n < 100_000 for n in sizes)
+
+
+def test_tables_are_written_side_by_side(spark, tmp_path):
+    """Each build waits until the other has begun."""
+    both = Barrier(2, timeout=60)
+
+    class Source(dict):
+        def __getitem__(self, name):
+            both.wait()
+            return super().__getitem__(name)
+
+    source = Source(a=spark.range(3), b=spark.range(4))
+    tables = store.StoredTables(TableStore(spark, str(tmp_path)), source)
+    assert [df.count() for df in store.at_once(tables, ["a", "b"])] == [3, 4]
+    assert [tables[name].count() for name in "ab"] == [3, 4]  # read, not built again
+
+
+def test_a_table_is_built_by_one_thread(spark, tmp_path):
+    built = []
+
+    class Source(dict):
+        def __getitem__(self, name):
+            built.append(name)
+            return super().__getitem__(name)
+
+    tables = store.StoredTables(TableStore(spark, str(tmp_path)), Source(a=spark.range(3)))
+    assert [df.count() for df in store.at_once(tables, ["a", "a", "a"])] == [3, 3, 3]
+    assert built == ["a"]
