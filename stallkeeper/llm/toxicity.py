@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallkeeper.llm.scratch import written
+from stallkeeper.llm.scratch import LARGE_ROWS, written
 
 # The model is fitted on a bounded sample of labelled rows, those with the smallest hashes.
 MOST_ROWS = 10_000
@@ -30,6 +31,8 @@ STEPS = 400
 
 PREFIXES = (4, 6)
 MOST_CACHED = 50_000
+# Features that a worker holds before it hands them on; those of one text stay together.
+BATCH_FEATURES = 50_000
 
 _words = regex.compile(r"\p{L}+").findall
 
@@ -51,6 +54,32 @@ def feature_counts(text: str | None) -> Counter[str]:
     return counts
 
 
+def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`_toxic` and the `found` features of each `text`, in batches bounded by their features:
+    a text may have thousands of them, and a batch of texts thousands of texts."""
+
+    def batch(toxic: list[bool], names: list[str], counts: list[int], ends: list[int]):
+        pairs = pa.StructArray.from_arrays(
+            [pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["feature", "n"]
+        )
+        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+        return pa.RecordBatch.from_arrays([pa.array(toxic, pa.bool_()), found], ["_toxic", "found"])
+
+    for given in batches:
+        toxic, names, counts, ends = [], [], [], [0]
+        for text, mark in zip(given["text"], given["_toxic"], strict=True):
+            found = feature_counts(text.as_py())
+            toxic.append(mark.as_py())
+            names.extend(found)
+            counts.extend(found.values())
+            ends.append(len(names))
+            if len(names) >= BATCH_FEATURES:
+                yield batch(toxic, names, counts, ends)
+                toxic, names, counts, ends = [], [], [], [0]
+        if toxic:
+            yield batch(toxic, names, counts, ends)
+
+
 @dataclass
 class Model:
     """Weights by feature, and ascending thresholds, one for each grade above 0."""
@@ -176,16 +205,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     keyed = texts.join(F.broadcast(sampled), ["doc_id", "_text"])
     keyed = keyed.dropDuplicates(["doc_id", "_text"])
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [list(feature_counts(text).items()) for text in batch["text"]]
-            yield pd.DataFrame({"_toxic": batch["_toxic"], "found": found})
-
     rows = written(
-        keyed.select("text", "_toxic").mapInPandas(
-            split, "_toxic boolean, found array<struct<feature: string, n: bigint>>"
+        keyed.select("text", "_toxic").mapInArrow(
+            feature_batches, "_toxic boolean, found array<struct<feature: string, n: bigint>>"
         ),
         "labelled-features",
+        LARGE_ROWS,
     )
     sizes = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
     if len(sizes) < 2:

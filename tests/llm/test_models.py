@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import TESTDATA
 from samples import documents, odd_rows, sentence, with_clashes
@@ -149,6 +150,24 @@ def test_rows_of_the_fit_are_bounded(spark, monkeypatch, copies):
     assert model.severity("vileword foulword " * 5)[0] >= 0
 
 
+def test_features_leave_the_worker_in_bounded_batches(monkeypatch):
+    """However many texts come at once, features of few of them are held at a time."""
+    monkeypatch.setattr(toxicity, "BATCH_FEATURES", 500)
+    r = random.Random(5)
+    texts = [sentence(r, r.randrange(60)) for _ in range(400)] + [None, "", "Straße straßen", " 12 "]
+    toxic = [i % 3 == 0 for i in range(len(texts))]
+    given = pa.RecordBatch.from_pydict({"text": texts, "_toxic": toxic})
+    found = list(toxicity.feature_batches(iter([given, given.slice(0, 0), given.slice(1, 2)])))
+    longest = max(len(toxicity.feature_counts(text)) for text in texts)
+    assert max(len(batch["found"].flatten()) for batch in found) < 500 + longest
+    rows = [row for batch in found for row in batch.to_pylist()]
+    expected = [*zip(texts, toxic, strict=True), *zip(texts[1:3], toxic[1:3], strict=True)]
+    assert [row["_toxic"] for row in rows] == [mark for _, mark in expected]
+    assert [[(x["feature"], x["n"]) for x in row["found"]] for row in rows] == [
+        list(toxicity.feature_counts(text).items()) for text, _ in expected
+    ]
+
+
 @pytest.mark.parametrize("marks", [[], [(1, 1, 0), (2, 0, 0)], [(None, 1, 1), (3, 1, None)]])
 def test_toxicity_without_examples(spark, marks):
     labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
