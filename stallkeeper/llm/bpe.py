@@ -4,15 +4,17 @@ A token sequence is what the merges would give exactly if each two neighbours in
 merging the bytes of both, by rank, ends with just these two tokens. So a text is encoded by
 taking the longest token at each place, going back to shorter ones where neighbours do not fit,
 and never trying a place again from which there was no way on. Which tokens begin where is found
-by one Aho-Corasick pass over the bytes, each written as the character of the same number.
+by one Aho-Corasick pass over the bytes, each written as the character of the same number; often
+no going back is needed, and the longest tokens alone are looked at first.
 """
 
 import base64
-from array import array
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -23,7 +25,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 # Bounds for each Python worker; what does not fit is worked out again.
 MAX_PAIRS = 150_000
-MAX_CACHED = 60_000
+MAX_CACHED = 200_000
+LONGEST_CACHED = 64  # characters; text without spaces would fill the caches with whole lines
 NONE = -1
 
 
@@ -103,9 +106,24 @@ class Vocabulary:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        lengths, known, fits = self.lengths, self._fits, self.fits
+        ids: list[int] = []
+        at, last, text = 0, NONE, piece.decode("latin-1")
+        for end, token in self._places.iter_long(text):
+            if last >= 0:
+                fit = known.get((last, token))
+                if not (fit or fit is None and fits(last, token)):
+                    break
+            ids.append(token)
+            at, last = at + lengths[token], token
+        if at == len(piece):
+            return ids
+        return self._go_back(piece, text)
+
+    def _go_back(self, piece: bytes, text: str) -> list[int]:
         lengths, shorter, known, fits = self.lengths, self.shorter, self._fits, self.fits
         longest = [NONE] * (len(piece) + 1)
-        for end, token in self._places.iter(piece.decode("latin-1")):
+        for end, token in self._places.iter(text):
             longest[end + 1 - lengths[token]] = token  # ends ascend, so the longest stays
         dead = bytearray(len(piece) + 1)
         ids: list[int] = []
@@ -132,7 +150,7 @@ class Vocabulary:
 
 
 class _Recent(dict):
-    """What `make` gives, kept for at least the last `MAX_CACHED` different keys."""
+    """What `make` gives, kept for at least the last `MAX_CACHED` different keys but long ones."""
 
     def __init__(self, make):
         super().__init__()
@@ -143,6 +161,8 @@ class _Recent(dict):
         found = self._before.get(key)
         if found is None:
             found = self._make(key)
+            if len(key) > LONGEST_CACHED:
+                return found
         if len(self) >= MAX_CACHED:
             self._before = dict(self)
             self.clear()
@@ -163,7 +183,7 @@ class Encoder:
         # Under this pattern a space after any other character than white space begins a piece.
         self._cut_at_spaces = pattern == PATTERN
         self._other_space = regex.compile(r"\s ").search
-        self._recent = _Recent(self._encode_piece), _Recent(lambda word: self._encode(f" {word}"))
+        self._recent = _Recent(self._encode_piece), _Recent(self._encode_word)
         self._of_piece, self._of_word = (recent.__getitem__ for recent in self._recent)
 
     def __call__(self, text: str) -> bytes:
@@ -180,19 +200,32 @@ class Encoder:
     def _encode(self, text: str) -> bytes:
         return b"".join(map(self._of_piece, self._pieces(text)))
 
+    def _encode_word(self, word: str) -> bytes:
+        """What a space and `word` give. The first piece begins with that space and is a piece by
+        itself, too, so a word is kept once, whatever marks follow it."""
+        text = f" {word}"
+        if word.isascii() and word.isalpha():
+            return self._encode_piece(text)
+        first, *others = self._pieces(text)
+        if not others:
+            return self._encode_piece(text)
+        return self._of_word(first[1:]) + b"".join(map(self._of_piece, others))
+
     def _encode_piece(self, piece: str) -> bytes:
         ids = self._vocabulary.encode_piece(piece.encode())
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Decoder:
     """Ids, as the encoder gives them, to the bytes of their tokens."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self._token = {rank: token for token, rank in ranks.items()}.__getitem__
+        self._tokens = np.full(max(ranks.values()) + 1, None, object)
+        for token, rank in ranks.items():
+            self._tokens[rank] = token
 
     def __call__(self, ids: bytes) -> bytes:
-        return b"".join(map(self._token, array("I", ids)))
+        return b"".join(self._tokens[np.frombuffer(ids, "<u4")].tolist())
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:

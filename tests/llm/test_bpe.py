@@ -85,6 +85,35 @@ def test_caches_forget_but_stay_right(ranks, library, monkeypatch):
     assert ids_of(encode(text)) == library(text)
 
 
+def test_words_are_kept_once_whatever_follows(ranks, library):
+    encode = bpe.Encoder(bpe.Vocabulary(ranks))
+    words = [f"{a}{b}thri" for a in "abcdé" for b in "xyzßñ"]
+    text = "start " + " ".join(f"{word} {word}" for word in words)
+    assert ids_of(encode(text)) == library(text)
+    assert sum(map(len, encode._recent)) == 1 + len(words)
+    marked = "start " + " ".join(f"{word}, {word}.\n'{word}'s " for word in words)
+    assert ids_of(encode(marked)) == library(marked)
+
+
+def test_lines_without_spaces_are_not_kept(ranks, library):
+    encode = bpe.Encoder(bpe.Vocabulary(ranks))
+    text = " ".join("漢字" * n for n in range(40, 60)) + " " + "x" * 5000
+    for _ in range(2):
+        assert ids_of(encode(text)) == library(text)
+    assert sum(map(len, encode._recent)) == 0
+
+
+def test_nothing_goes_back_where_the_longest_tokens_fit(ranks, library, monkeypatch):
+    vocabulary, gone = bpe.Vocabulary(ranks), []
+    back = vocabulary._go_back
+    monkeypatch.setattr(vocabulary, "_go_back", lambda *a: gone.append(a[0]) or back(*a))
+    r = random.Random(8)
+    words = {"".join(r.choice(["an", "ed", "ing", "re", "th"]) for _ in range(5)) for _ in range(500)}
+    for word in words:
+        assert vocabulary.encode_piece(f" {word}".encode()) == library(f" {word}")
+    assert 0 < len(gone) < 0.8 * len(words)
+
+
 def expected(rows, library):
     for doc_id, text, *_ in rows:
         ids = library(text or "")
