@@ -26,6 +26,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # Bounds for each Python worker; what does not fit is worked out again.
 MAX_PAIRS = 150_000
 MAX_CACHED = 200_000
+BATCH_BYTES = 1 << 20  # of ids, beyond which a worker hands on what it has
 LONGEST_CACHED = 64  # characters; text without spaces would fill the caches with whole lines
 NONE = -1
 
@@ -244,11 +245,20 @@ def _decoder(content: bytes) -> Decoder:
 
 
 def _encoded(texts: Iterator[pd.Series], content: bytes, pattern: str) -> Iterator[list[bytes]]:
-    """The ids of each batch; what the worker keeps for its next task is the vocabulary alone."""
+    """The ids of all texts, a few texts at a time, as a batch may hold thousands; what the worker
+    keeps for its next task is the vocabulary alone."""
     encoder = _encoder(content, pattern)
     try:
         for batch in texts:
-            yield [encoder(text or "") for text in batch]
+            found, size = [], 0
+            for text in batch:
+                found.append(encoder(text or ""))
+                size += len(found[-1])
+                if size >= BATCH_BYTES:
+                    yield found
+                    found, size = [], 0
+            if found:
+                yield found
     finally:
         encoder.forget()
 
@@ -300,8 +310,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = PATTERN) -> Data
     """doc_id, n_tokens, ids and the decoded bytes of every document, a row for each row.
 
     Null and empty texts have no tokens. Repeated rows and null ids stay as they are; other
-    columns are not read. There is no shuffle, and nothing is kept beyond one batch of texts
-    and bounded caches.
+    columns are not read. There is no shuffle, and nothing is kept beyond one batch of texts,
+    the ids of a few of them and bounded caches.
     """
     bpe = ByteBpe(docs.sparkSession, path, pattern)
     found = docs.select("doc_id", bpe.round_trip(F.col("text")).alias("_found"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 
+import pandas as pd
 import pytest
 import tiktoken
 from samples import documents, odd_rows, same, with_clashes
@@ -114,6 +115,28 @@ def test_nothing_goes_back_where_the_longest_tokens_fit(ranks, library, monkeypa
     assert 0 < len(gone) < 0.8 * len(words)
 
 
+def test_ids_leave_the_worker_in_bounded_batches(library, monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 400)
+    with open(vocabulary_path(), "rb") as file:
+        content = file.read()
+    r = random.Random(4)
+    texts = [" ".join(["word"] * r.randrange(30)) for _ in range(300)] + [None, "", "x y " * 900]
+    batches = list(bpe._encoded(iter([pd.Series(texts), pd.Series([], dtype=object)]), content, bpe.PATTERN))
+    assert all(sum(map(len, found[:-1])) < 400 for found in batches)
+    assert [ids_of(x) for found in batches for x in found] == [library(t or "") for t in texts]
+
+
+def test_more_text_than_a_batch(spark, library):
+    """Several batches of ids for one of texts: every row keeps its own."""
+    rows = [(i, f"row {i} has its own words " * (i % 90), "en", "s", 0) for i in range(9000)]
+    docs = documents(spark, rows).coalesce(1)
+    found = bpe.encode_documents(docs, vocabulary_path())
+    assert sum(len(x.ids) for x in found.collect()) > 3 * bpe.BATCH_BYTES
+    for row in found.where("doc_id % 500 < 3").collect():
+        assert ids_of(row.ids) == library(rows[row.doc_id][1])
+        assert bytes(row.decoded) == rows[row.doc_id][1].encode()
+
+
 def expected(rows, library):
     for doc_id, text, *_ in rows:
         ids = library(text or "")
