@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stallkeeper.llm.scratch import bound_batches
+
 # Fixed value: how this family of vocabularies cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -270,6 +272,7 @@ class ByteBpe:
     """
 
     def __init__(self, spark, path: str, pattern: str = PATTERN):
+        bound_batches(spark)
         with open(path, "rb") as file:
             content = spark.sparkContext.broadcast(file.read())
 

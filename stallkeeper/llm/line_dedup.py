@@ -18,7 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stallkeeper.llm.runs import shared_rows
-from stallkeeper.llm.scratch import NO_ID, document_key, given_id, partitions_for, written
+from stallkeeper.llm.scratch import (
+    NO_ID,
+    bound_batches,
+    document_key,
+    given_id,
+    partitions_for,
+    written,
+)
 
 LEAST_CODE_POINTS = 20
 LEAST_DOCUMENTS = 3
@@ -82,6 +89,7 @@ def keep_bitmaps(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     others. Rows with the same id and text share a bitmap. Null and empty texts have no key that
     counts. Keys are compared by 128-bit hashes.
     """
+    bound_batches(docs.sparkSession)
     lines = docs.select(*document_key(), "text").mapInArrow(
         _keyed_lines, "_k1 bigint, _k2 bigint, _doc bigint, _text bigint, _pos bigint"
     )
@@ -124,6 +132,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     and `n_dropped`. Columns of these two names are replaced, all others stay. A document whose
     lines all go has an empty text, a null text stays null.
     """
+    bound_batches(docs.sparkSession)
     added = ("n_lines", "n_dropped")
     columns = [c for c in docs.columns if c not in added]
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")

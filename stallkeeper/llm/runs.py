@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,8 +181,9 @@ def _settle(summaries: DataFrame, least: int, descending: bool) -> DataFrame:
         _first=("_first", "first"), _docs=("_docs", "sum")
     )
     totals = totals[totals["_docs"] >= least]
+    # Of Arrow columns, as Spark converts a list of rows in Python workers of their own.
     settled = spark.createDataFrame(
-        [tuple(map(int, row)) for row in totals[["_k1", "_k2", "_first"]].itertuples(index=False)],
+        pa.table({c: totals[c].to_numpy(_LONG) for c in ("_k1", "_k2", "_first")}),
         "_k1 bigint, _k2 bigint, _first bigint",
     )
     return F.broadcast(settled) if len(totals) <= MOST_BROADCAST else settled

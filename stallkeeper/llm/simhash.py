@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallkeeper.llm.components import components
-from stallkeeper.llm.scratch import document_key, written
+from stallkeeper.llm.scratch import bound_batches, document_key, written
 
 BITS = 64
 # Fixed value: the seed of the shingle hashes.
@@ -48,6 +48,8 @@ def fingerprint(text: str | None, shingle_words: int) -> int:
 def fingerprints(docs: DataFrame, shingle_words: int) -> DataFrame:
     """`_id`, `_text` (see `document_key`), `doc_id` and `_fp` of every row."""
 
+    bound_batches(docs.sparkSession)
+
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t.as_py(), shingle_words) for t in batch.column("text")]

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallkeeper.llm.scratch import LARGE_ROWS, written
+from stallkeeper.llm.scratch import LARGE_ROWS, bound_batches, written
 
 # The model is fitted on a bounded sample of labelled rows, those with the smallest hashes.
 MOST_ROWS = 10_000
@@ -190,6 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     Counts of features are made by Spark; the driver gets at most `MOST_ROWS` rows of at most
     `MOST_FEATURES` numbers and values.
     """
+    bound_batches(docs.sparkSession)
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
     marks = marks.agg((F.max("toxic") > 0).alias("_toxic"))
     chosen = written(
@@ -235,7 +236,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     number = {word: i for i, word in enumerate(vocabulary["feature"])}
     tells = vocabulary["z"].to_numpy(float) > 0
     spark = docs.sparkSession
-    known = spark.createDataFrame(list(number.items()) or [("", 0)], "feature string, at int")
+    # Of Arrow columns, as Spark converts a list of rows in Python workers of their own.
+    known = pa.table(
+        {"feature": list(number) or [""], "at": pa.array(range(len(number) or 1), pa.int32())}
+    )
+    known = spark.createDataFrame(known, "feature string, at int")
 
     sample = (
         rows.withColumn("_row", F.monotonically_increasing_id())
@@ -263,6 +268,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Repeated rows are judged alike, each in its place.
     """
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("severity double, toxic boolean")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:

@@ -1,8 +1,10 @@
 """Every stage of the pipeline against brute force, and what is registered."""
 
 import duckdb
+import pandas as pd
 import pytest
 from conftest import TESTDATA
+from pyspark.sql import functions as F
 from samples import documents, same
 from test_lines import brute as brute_lines
 from test_native import brute_leaks
@@ -10,7 +12,7 @@ from test_simhash import fingerprint, roots
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from stallkeeper.llm import toxicity
+from stallkeeper.llm import runs, toxicity
 from stallkeeper.llm.queries import ORACLE_SQL, QUERIES
 
 SF = f"{TESTDATA}/sf0.001"
@@ -109,3 +111,33 @@ def test_same_as_sql(spark, name):
     got = contract.queries()[name](spark, folder)
     assert got.columns == want.columns
     assert same(got.collect()) == same(want.fetchall())
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "line_dedup", "simhash", "byte_bpe"])
+@pytest.mark.parametrize("given, most", [(None, 16), ("64m", 16), ("1m", 4)])
+def test_workers_get_texts_by_bytes(spark, stage, given, most):
+    """Texts of 256 KiB: each stage asks for 4 MiB at once, or for what the session has if less."""
+
+    @F.pandas_udf("bigint")
+    def rows(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 18).alias("text"))
+    spark.conf.unset(key) if given is None else spark.conf.set(key, given)
+    try:
+        dict(corpus_pipeline.STAGES)[stage](spark, documents(spark), SF)
+        assert texts.select(rows("text").alias("n")).agg(F.max("n")).first()[0] <= most + 1
+    finally:
+        spark.conf.unset(key)
+
+
+def test_small_tables_of_the_driver_need_no_workers(spark):
+    """A list of rows would be converted by Python workers, which stay beside those of the texts."""
+    rows = [(1, 1, 5, 4, 2), (1, 1, 4, 3, 2), (2, 2, 9, 9, 1), (-3, 3, 2, 0, 3)]
+    schema = "_k1 bigint, _k2 bigint, _doc bigint, _last bigint, _docs bigint"
+    for found in (rows, []):
+        settled = runs._settle(spark.createDataFrame(found, schema), 3, True)
+        assert "ExistingRDD" not in settled._jdf.queryExecution().toString()
+        assert settled.columns == ["_k1", "_k2", "_first"]
+        assert same(settled.collect()) == same([(1, 1, 5), (-3, 3, 2)] if found else [])
