@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 _LONG = np.int64
 MOST_WAITING = 1 << 18
 MOST_BROADCAST = 200_000
+# Partitions that a task streams one after another into one file, once all cores have tasks. They are
+# sized for the sort, and many for little text if the session has many; each file costs processes, too,
+# where its permissions are set by a command.
+PARTITIONS_PER_FILE = 8
 
 
 class _Run:
@@ -146,6 +150,8 @@ def shared_rows(
         F.desc("_doc") if descending else F.asc("_doc"),
         *[F.col(c) for c in payload],
     ]
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    files = max(-(-partitions // PARTITIONS_PER_FILE), min(partitions, 2 * cores))
     schema = ", ".join(f"{c} bigint" for c in [*columns, "_docs", "_last"])
     names = [*columns, "_docs", "_last", "_later", "_open"]
     streamed = write(
@@ -156,6 +162,7 @@ def shared_rows(
             lambda batches: (out[names] for out in _Stream(payload, least, most_waiting)(batches)),
             f"{schema}, _later boolean, _open boolean",
         )
+        .coalesce(files)
     )
     settled = _settle(streamed.where("_docs > 0"), least, descending)
     judged = streamed.where("_docs = 0 AND NOT _open").select(*columns, "_later")

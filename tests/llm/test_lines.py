@@ -209,6 +209,23 @@ def test_rows_that_wait_are_bounded(spark, partitions, least):
     assert same(map(tuple, got)) == same(wanted)
 
 
+def test_many_small_partitions_make_few_files(spark):
+    """Each partition is still judged by itself, with a key over all of them and many inside."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = [(0, 0, d, 0) for d in range(2000)] + [(k, k, d, 0) for k in range(1, 500) for d in (1, 2, 3)]
+    table = spark.createDataFrame(rows, "_k1 bigint, _k2 bigint, _doc bigint, _at bigint")
+    tables = []
+
+    def write(df):
+        tables.append(written(df, "many"))
+        return tables[-1]
+
+    got = runs.shared_rows(table, ["_at"], 3, True, 20 * cores, write).collect()
+    assert len(tables) == 1 and len(tables[0].inputFiles()) <= 20 * cores // 8 + 1
+    last = {k: 1999 if k == 0 else 3 for k in range(500)}
+    assert same(map(tuple, got)) == same((*row, row[2] != last[row[0]]) for row in rows)
+
+
 def test_partitions_follow_the_bytes(spark):
     docs = documents(spark, [(i, "x" * 1000, "en", "s", 0) for i in range(100)])
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
